@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finevidence.llm import bpe, exact_dedup, line_dedup, packing
+from finevidence.llm import bpe, exact_dedup, line_dedup, packing, quality, toxicity
 from finevidence.llm.common import table
 
 
@@ -12,6 +12,16 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,7 +34,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op4_toxicity, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
