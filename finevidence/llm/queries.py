@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finevidence.llm import bpe, exact_dedup, line_dedup, packing, quality, toxicity
+from finevidence.llm import bpe, exact_dedup, licenses, line_dedup, packing, quality, toxicity
 from finevidence.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -34,7 +38,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op4_toxicity, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op4_toxicity, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
