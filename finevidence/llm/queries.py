@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finevidence.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, toxicity
+from finevidence.llm import bpe, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
 from finevidence.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_pii, op4_toxicity, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
