@@ -38,3 +38,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # one of the rows that repeat the winner's id and text
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("salt"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"), "text_sha256")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns. Rows that repeat id and text stay together."""
+    keep = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(whole_text(docs[text_col]).cast("binary"), 256)
+    return docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(keep["kept_id"]) & (sha == keep["kept_sha"]), "left_semi")

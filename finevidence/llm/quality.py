@@ -176,9 +176,8 @@ def _table(net: ByteConvNet, key: int) -> np.ndarray:
     return _tables[key]
 
 
-def score(docs: DataFrame, net: ByteConvNet, folds: int = 4, fold: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row, then the columns of ``docs`` named in ``keep``
-    (prefixed ``kept_``, so their names can't clash)."""
+def _scored(docs: DataFrame, net: ByteConvNet, text_col: str, rest: list[str]) -> DataFrame:
+    """``rest struct, score``, and the text only where ``rest`` has it."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net)
     key = hash(tuple(float(x.sum()) for x in net.p.values()))
@@ -196,12 +195,18 @@ def score(docs: DataFrame, net: ByteConvNet, folds: int = 4, fold: int = 2, thre
                     end += 1
                 found[at:end] = own.score(texts[at:end], _table(own, key))
                 at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found), *b.columns[1 : 1 + bool(keep) * 99]], names)
-
-    kinds = dict(docs.dtypes)
-    cols = [F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep)]
-    names = ["doc_id", "score", *(["text"] if keep else []), *(f"kept_{c}" for c in keep)]
-    schema = ", ".join([f"doc_id {kinds[id_col]}", "score double", *(["text string"] if keep else []), *(f"`kept_{c}` {kinds[c]}" for c in keep)])
-    out = docs.select(*cols).mapInArrow(run, schema)
-    rest = [F.col(f"kept_{c}") for c in keep]
-    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *rest)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["rest", "score"])
+
+    rows = docs.select(F.struct(*rest).alias("rest"), whole_text(text_col).alias("text"))
+    return rows.mapInArrow(run, f"rest {dict(rows.dtypes)['rest']}, score double")
+
+
+def score(docs: DataFrame, net: ByteConvNet, folds: int = 4, fold: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row."""
+    id_ = F.col("rest").getField(id_col)
+    return _scored(docs, net, text_col, [id_col]).select(id_.alias("doc_id"), held_out(id_, folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, net: ByteConvNet, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, all columns."""
+    return _scored(docs, net, text_col, docs.columns).where(F.col("score") >= threshold).select("rest.*")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finevidence.llm import bpe, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
+from finevidence.llm import ann, bpe, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
 from finevidence.llm.common import table
 
 
@@ -25,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
