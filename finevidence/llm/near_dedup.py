@@ -9,8 +9,8 @@ of diagonals that so many edits can reach, so it is exact. Classes are the conne
 
 Equal texts are one node, whatever their number. In each bucket all members are first aligned with
 the least member; where that leaves more than one component in a bucket, all pairs across
-components are compared on small signatures, in blocks of at most ``BLOCK`` members by ``BLOCK``,
-and those that could be similar are aligned, so no link between the texts of a bucket is lost. Components are
+components are compared on small signatures, in blocks of ``BLOCK`` members by ``BLOCK`` or so,
+and those that could be similar are aligned, until the block's components that have a link are one. Components are
 found by alternating large-star and small-star joins on tables in the shared folder.
 
 Null texts count as empty. Texts without words are alone; texts of fewer than five words are one
@@ -26,14 +26,17 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finevidence.llm.common import materialise, small_batches, whole_text
 
 SHINGLE, SKETCHES, SAMPLED = 5, 20, 4
 #: Members of a bucket compared in one block.
-BLOCK = 1024
+BLOCK = 512
+#: Of the 2 * SKETCHES least hashes that pairs are first compared by, those of similarity 0.8 share
+#: 32 on average; fewer than this many come with a chance of under one in ten thousand.
+LEAST_SHARED = 22
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -91,18 +94,11 @@ def sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, least
 
 
-def may_be_similar(n: int, k: int, similarity: float) -> bool:
-    return min(n, k) >= similarity * max(n, k)
-
-
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the alignment of two shingle sequences reaches ``similarity``."""
     most = int((len(a) + len(b)) * (1 - similarity) / (1 + similarity) + 1e-9)  # edits, insertions and deletions
     if abs(len(a) - len(b)) > most:
         return False
-    common = np.intersect1d(a, b, assume_unique=False)
-    if 2 * np.isin(a, common).sum() + most < len(a) + len(b) and 2 * np.isin(b, common).sum() + most < len(a) + len(b):
-        return False  # shingles that one side lacks are edits in any alignment
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -114,6 +110,9 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     n, m = len(x), len(y)
     if not n or not m:
         return n + m <= most
+    own, other = set(x), set(y)
+    if sum(v not in other for v in x) + sum(v not in own for v in y) > most:
+        return False  # shingles that one side lacks are edits in any alignment
     reach = {1: 0}
     for d in range(most + 1):
         for k in range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2):
@@ -185,45 +184,48 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def possible_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` across components within buckets, whose lengths and signatures leave them possible.
-    members: ``key, node, component, n, least``, of buckets with more than one component."""
+def links_across(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` within buckets: similar texts of different components, as far as they join components
+    that are still apart. members: ``key, node, component, n, least, sequence``, of buckets with more than
+    one component. A block emits fewer rows than it has members."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "least")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "least", "sequence")
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    # of 2 * SKETCHES least hashes, pairs at `similarity` share about that many; a third of that is far below
-    share = int(2 * SKETCHES * similarity / 3)
 
-    def pairs(rows):
-        node, component, n = (np.array([r[k] for r in rows], dtype=object) for k in (4, 5, 6))
-        n = n.astype(np.int64)
+    def links(rows):
+        n = np.array([r[6] for r in rows])
         least = np.stack([np.frombuffer(r[7], np.uint32).reshape(SKETCHES, 2) for r in rows])
+        sequences = [np.frombuffer(r[8], "<u4") for r in rows]
+        numbers: dict[bytes, int] = {}
+        root = np.array([numbers.setdefault(r[5], len(numbers)) for r in rows])
         left = np.array([r[3] == r[1] for r in rows])
         across = rows[0][1] != rows[0][2]
-        for x in range(len(rows)):
-            ok = (n >= similarity * n[x]) & (similarity * n <= n[x]) & (node > node[x]) & (component != component[x])
-            if across:
-                ok &= left != left[x]
-            at = np.flatnonzero(ok)
-            if len(at):
-                some = least[at]
-                same = (some == least[x]).sum((1, 2)) + (some == least[x][:, ::-1]).sum((1, 2))
-                for y in at[same >= share]:
-                    yield node[x], node[y]
+        for x in range(len(rows) - 1):
+            at = np.arange(x + 1, len(rows))
+            ok = (root[at] != root[x]) & (n[at] >= similarity * n[x]) & (similarity * n[at] <= n[x])
+            at = at[ok & (left[at] != left[x])] if across else at[ok]
+            if not len(at):
+                continue
+            some = least[at]
+            same = (some == least[x]).sum((1, 2)) + (some == least[x][:, ::-1]).sum((1, 2))
+            for y in at[same >= LEAST_SHARED].tolist():
+                if root[y] != root[x] and aligned(sequences[x], sequences[y], similarity):
+                    root[root == root[y]] = root[x]
+                    yield rows[x][4], rows[y][4]
 
     def run(batches):
         group, held = None, []
         for b in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if (k := (r[0], r[1], r[2])) != group:
-                    out += pairs(held) if held else []
+                if (k := r[:3]) != group:
+                    out += links(held) if held else []
                     group, held = k, []
-                held.append((r[0], r[1], r[2], r[3], *r[4:]))
+                held.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
-        out = list(pairs(held)) if held else []
+        out = list(links(held)) if held else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
@@ -236,7 +238,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     buckets = materialise(nodes.select("node", F.explode("keys").alias("key")))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = materialise(buckets.join(leaders, "key"))
-    star = shared.where("node <> a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     candidates = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "least", "sequence")
     candidates = materialise(candidates)
     links = materialise(verify(star, candidates, similarity))
@@ -244,8 +246,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     members = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = members.join(open_, "key", "left_semi").join(candidates.drop("sequence"), "node")
-    more = materialise(verify(possible_pairs(members, similarity), candidates, similarity))
+    members = members.join(open_, "key", "left_semi").join(candidates, "node")
+    more = materialise(links_across(members, similarity))
     found = components(links.unionByName(more)) if not more.isEmpty() else found
 
     of_rows = rows.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
