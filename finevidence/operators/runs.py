@@ -165,3 +165,18 @@ def latest_state(events: DataFrame) -> DataFrame:
 def report_rows(stats: DataFrame) -> DataFrame:
     """``step, line``: a text row a step."""
     return stats.select("step", F.format_string("%-12s %8.2f s  max %8.2f s  %10.6f USD  %d ok  %d failed", "step", "mean_seconds", "max_seconds", "mean_cost", "runs_ok", "runs_failed").alias("line"))
+
+
+def node_status(trace: DataFrame, nodes: list[tuple[str, str]]) -> DataFrame:
+    """``run_id, node, status``: every node of every run; skipped where no step took it."""
+    known = F.explode(F.array(*(F.lit(n) for n, _ in nodes)))
+    every = trace.select("run_id").distinct().select("run_id", known.alias("node"))
+    ok = trace.groupBy("run_id", F.lower("step").alias("step")).agg(F.every("ok").alias("ok"))
+    taken = node_of_step(trace, nodes).join(ok, ["run_id", "step"])
+    status = F.when(F.col("ok").isNull(), "skipped").when(F.col("ok"), "ok").otherwise("failed")
+    return every.join(taken, ["run_id", "node"], "left").select("run_id", "node", status.alias("status"))
+
+
+def write_report(stats: DataFrame, path: str) -> None:
+    """Step statistics as JSON lines, one row a step."""
+    stats.write.mode("overwrite").json(path)

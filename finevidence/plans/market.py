@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from finevidence.operators import technicals as T
 from finevidence.sources import adapters as A
+from finevidence.sources import payloads
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
@@ -75,6 +78,13 @@ def t09_fact_sheet(spark, sf_dir):
     return T.fact_sheet(T.summary(A.line_bars(spark, sf_dir)))
 
 
+def s09_csv_bars(spark, sf_dir):
+    """One symbol's bars written as CSV and read again, by the header's names."""
+    path = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    payloads.write_bars_csv(A.order_bars(spark, sf_dir).where("symbol = '1-URGENT'"), path)
+    return payloads.read_bars_csv(spark, path)
+
+
 def p01_look_back(spark, sf_dir):
     return T.look_back(A.line_bars(spark, sf_dir), "6mo").select("symbol", "day", R6("c"))
 
@@ -88,7 +98,7 @@ def u02_known_levels(spark, sf_dir):
     return T.known_levels(T.summary(A.line_bars(spark, sf_dir))).select("symbol", F.round("level", 6).alias("level")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (a00_line_bars, w01_w07_series, w02_sma_orders, w04_ema_series, w08_pivots, w09_levels, w10_supports_resistances, w13_chart_series, w14_technical_summary, w14_technical_summary_short, a01_a06_scalars, t01_t06_relations, t09_fact_sheet, p01_look_back, p02_history_gate, u02_known_levels)}
+QUERIES = {f.__name__: f for f in (a00_line_bars, w01_w07_series, w02_sma_orders, w04_ema_series, w08_pivots, w09_levels, w10_supports_resistances, w13_chart_series, w14_technical_summary, w14_technical_summary_short, a01_a06_scalars, t01_t06_relations, t09_fact_sheet, s09_csv_bars, p01_look_back, p02_history_gate, u02_known_levels)}
 
 # -- SQL --------------------------------------------------------------------------------------------
 
@@ -187,6 +197,7 @@ ORACLE_SQL = {
              CASE WHEN rsi14 > 70 THEN 'overbought' WHEN rsi14 < 30 THEN 'oversold' WHEN rsi14 IS NOT NULL THEN 'neutral' END AS rsi_zone,
              round(last_close / range_low - 1, 6) AS above_low, round(1 - last_close / range_high, 6) AS below_high, round((last_close - range_low) / (range_high - range_low), 6) AS range_position
       FROM tech""",
+    "s09_csv_bars": f"WITH {_ORDER} SELECT day AS fecha, o AS open, h AS high, l AS low, c AS close, v AS volume FROM bars WHERE symbol = '1-URGENT'",
     "p01_look_back": f"WITH {_LINE} SELECT symbol, day, round(c, 6) AS c FROM (SELECT *, max(day) OVER (PARTITION BY symbol) AS newest FROM bars) WHERE day >= newest - 183",
     "p02_history_gate": f"WITH {_LINE} SELECT symbol, count(*) AS n_bars FROM bars GROUP BY 1 HAVING count(*) < 550",
     "u02_known_levels": f"""WITH {_LINE}, {_SERIES}, {_SCALAR_SQL}, {_PIVOTS}, {_LEVELS}

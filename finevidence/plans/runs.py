@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from finevidence.operators import runs as R
 from finevidence.sources import adapters as A
+from finevidence.sources.adapters import shared_folder
 
 r = lambda c, n=6: F.round(c, n).alias(c)
 NODES = [("intake", "sign"), ("reader", "e"), ("buyer", "purchase"), ("viewer", "view"), ("rest", "c")]
@@ -67,6 +70,17 @@ def m15_report_rows(spark, sf_dir):
     return R.report_rows(R.step_stats(_costed(spark, sf_dir)))
 
 
+def m10_node_status(spark, sf_dir):
+    return R.node_status(A.trace(spark, sf_dir), NODES)
+
+
+def s13_report_sink(spark, sf_dir):
+    """Step statistics written out and read again."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    R.write_report(m03_step_stats(spark, sf_dir), path)
+    return spark.read.schema("step STRING, model STRING, mean_seconds DOUBLE, runs_ok BIGINT, runs_failed BIGINT").json(path)
+
+
 def a13_steps_by_model(spark, sf_dir):
     return R.steps_by_model(A.trace(spark, sf_dir))
 
@@ -96,7 +110,7 @@ def z02_latest_state(spark, sf_dir):
     return R.latest_state(_events(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (m01_step_cost, m03_step_stats, m04_run_summary, m05_components, m06_cost_origin, m07_retries, m08_run_kpis, m11_outcomes, m12_service_levels, m13_cost_shares, m14_plan_margins, m15_report_rows, a13_steps_by_model, w12_timeline, j10_step_nodes, u01_phase_union, z02_latest_state)}
+QUERIES = {f.__name__: f for f in (m01_step_cost, m03_step_stats, m04_run_summary, m05_components, m06_cost_origin, m07_retries, m08_run_kpis, m11_outcomes, m12_service_levels, m13_cost_shares, m14_plan_margins, m15_report_rows, m10_node_status, s13_report_sink, a13_steps_by_model, w12_timeline, j10_step_nodes, u01_phase_union, z02_latest_state)}
 
 _TRACE = """tr AS (
   SELECT user_id AS run_id, ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS nth, event_type AS step, concat('m', k % 3) AS model, value / 100 AS seconds,
@@ -138,6 +152,7 @@ ORACLE_SQL = {
       i AS (SELECT *, sum(seconds) OVER (PARTITION BY run_id, block, step ORDER BY nth ROWS UNBOUNDED PRECEDING) AS in_block FROM b),
       t AS (SELECT run_id, block, sum(lasts) OVER (PARTITION BY run_id ORDER BY block ROWS UNBOUNDED PRECEDING) - lasts AS t0 FROM (SELECT run_id, block, max(in_block) AS lasts FROM i GROUP BY 1, 2))
       SELECT run_id, event_id, step, parallel, round(t0 + in_block - seconds, 6) AS started, round(t0 + in_block, 6) AS ended FROM i JOIN t USING (run_id, block)""",
+    "s13_report_sink": f"WITH {_TRACE} SELECT step, model, round(mean_seconds, 6) AS mean_seconds, runs_ok, runs_failed FROM stats",
     "u01_phase_union": f"WITH {_TRACE} SELECT run_id, CAST(CASE WHEN parallel THEN 2 ELSE 1 END AS BIGINT) AS phase, string_agg(step, ',' ORDER BY nth) AS steps FROM tr GROUP BY 1, 2",
     "z02_latest_state": "SELECT user_id AS run_id, event_type AS step, CASE WHEN arg_max(event_id, nth) % 2 = 0 THEN 'running' ELSE 'done' END AS state FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events) GROUP BY 1, 2",
 }

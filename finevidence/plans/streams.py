@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from finevidence.sources import adapters as A
+from finevidence.sources.adapters import shared_folder
 from finevidence.streaming import steps
 
 
-def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder of this machine where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or "file://" + tempfile.mkdtemp(prefix="stream-", dir=os.environ.get("TMPDIR", "/tmp"))
-
-
 def z01_live_steps(spark, sf_dir):
     return steps.replay(spark, sf_dir, shared_folder(spark))
 

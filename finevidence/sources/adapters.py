@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(c: Column | str) -> Column:
     """Ids and numbers of results as BIGINT or DOUBLE, so both engines agree on the type."""
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a temporary folder of this machine where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found or "file://" + tempfile.mkdtemp(prefix="shared-", dir=os.environ.get("TMPDIR", "/tmp"))
