@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,31 +164,33 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x @ self.score_weights, -LIMIT, LIMIT)))
 
     def fit(self, texts: list[str], labels: list[int], share: float, level: float = 0.02, steps: int = 20) -> None:
-        words = [WORD.findall(t.lower()) for t in texts]
-        marked = toxic_marks(words, labels, level)
-        tags = np.array([m for w, y in zip(words, labels) for m in ((is_marked(x, marked) if y else False) for x in w)], bool)
-        sizes = np.array([len(w) for w in words], np.int64)
+        vocabulary: dict[str, int] = {}
+        kinds = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+        types = list(vocabulary)
+        sizes = np.array([len(k) for k in kinds], np.int64)
         starts = np.cumsum(sizes) - sizes
-        flat = [x for w in words for x in w]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        kind = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
-        pairs = [(i, f) for w, i in vocabulary.items() for f in features(w)]
-        owner, feature = np.array([i for i, _ in pairs]), np.array([f for _, f in pairs])
-        first = np.zeros(len(flat), bool)
+        kind = np.concatenate(kinds).astype(np.int64)
+        in_toxic = np.repeat(np.array(labels, bool), sizes)
+        marked = toxic_types(types, kind, in_toxic, np.repeat(np.arange(len(texts)), sizes), level)
+        tags = in_toxic & marked[kind]
+        each = [features(w) for w in types]
+        owner, feature = np.repeat(np.arange(len(types)), [len(f) for f in each]), np.fromiter(chain.from_iterable(each), np.int64)
+        del each, vocabulary
+        first = np.zeros(len(kind), bool)
         first[starts[sizes > 0]] = True
         inner = ~first[1:]
         seen = np.zeros((2, 2))
         np.add.at(seen, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
         w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
-        real = np.bincount(kind, tags, len(vocabulary))
+        real = np.bincount(kind, tags, len(types))
         # start and transitions have a closed form as long as emissions don't move them much; they follow the tags
         trans = np.log((seen + 0.5) / (seen.sum(1, keepdims=True) + 1))
         self.trans = trans - trans[0, 0]
         self.start = float(np.log((tags[first].sum() + 0.5) / (first.sum() - tags[first].sum() + 0.5)))
         for _ in range(steps):
-            e = np.exp(np.clip(np.bincount(owner, w[feature], len(vocabulary)), -LIMIT, LIMIT))[kind]
+            e = np.exp(np.clip(np.bincount(owner, w[feature], len(types)), -LIMIT, LIMIT))[kind]
             p, moves = Chain(self.start, self.trans).pair_marginals(e, first)
-            g = np.bincount(feature, (real - np.bincount(kind, p, len(vocabulary)))[owner], BUCKETS) - 0.02 * w
+            g = np.bincount(feature, (real - np.bincount(kind, p, len(types)))[owner], BUCKETS) - 0.02 * w
             squares += g * g
             w += 1.0 * g / np.sqrt(squares)
             self.trans = self.trans + 0.5 * np.clip(np.log((seen + 0.5) / (moves + 0.5)), -0.5, 0.5)
@@ -207,33 +210,32 @@ class Tagger:
         self.score_weights = a
 
 
-def toxic_marks(words: list[list[str]], labels: list[int], level: float) -> set[str]:
-    """Words (``w...``) and beginnings of 4 or 5 characters (``p...``) that mark toxic tokens."""
-    contexts, clean = defaultdict(set), Counter()
-    for doc, y in zip(words, labels):
-        if y:
-            around = ["", *doc, ""]
-            for i, w in enumerate(doc):
-                c = hash((around[i], around[i + 2]))
-                for m in marks(w):
-                    contexts[m].add(c)
-        else:
-            clean.update({m for w in doc for m in marks(w)})
-    size = [sum(len(w) for w, y in zip(words, labels) if bool(y) == b) for b in (False, True)]
-    share = min(0.9, max(0.01, size[1] / max(1, sum(size))))  # a word's chance to stand in a toxic document
-    min_contexts = max(3, int(np.ceil(np.log(max(1, len(contexts)) / level) / -np.log(share))))
-    return {m for m, c in contexts.items() if len(c) >= min_contexts and clean[m] <= 0.02 * len(c)}
+def toxic_types(types: list[str], kind: np.ndarray, in_toxic: np.ndarray, doc: np.ndarray, level: float) -> np.ndarray:
+    """For each word type whether it, or its first 4 or 5 characters, mark toxic tokens."""
+    n = len(types) + 1
+    around = np.append(-1, kind[:-1]) * n + np.append(kind[1:], -1)
+    contexts = np.unique(np.stack([kind[in_toxic], around[in_toxic]]), axis=1)[0]  # a type's different contexts in toxic documents
+    clean = np.unique(np.stack([kind[~in_toxic], doc[~in_toxic]]), axis=1)[0]  # its clean documents
+    dirty, fine = np.bincount(contexts, minlength=len(types)).tolist(), np.bincount(clean, minlength=len(types)).tolist()
+    in_dirty, in_fine = Counter(), Counter()
+    for w, d, f in zip(types, dirty, fine):
+        if d:
+            for m in marks(w):
+                in_dirty[m] += d
+        if f:
+            for m in marks(w):
+                in_fine[m] += f
+    share = min(0.9, max(0.01, in_toxic.mean() if len(in_toxic) else 0))  # a word's chance to stand in a toxic document
+    least = max(3, int(np.ceil(np.log(max(1, len(in_dirty)) / level) / -np.log(share))))
+    marked = {m for m, d in in_dirty.items() if d >= least and in_fine[m] <= 0.02 * d}
+    return np.array([any(m in marked for m in marks(w)) for w in types], bool)
 
 
 def marks(word: str) -> list[str]:
     return ["w" + word, *("p" + word[:k] for k in (4, 5) if len(word) > k)]
 
 
-def is_marked(word: str, marked: set[str]) -> bool:
-    return any(m in marked for m in marks(word))
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: int = 1500, max_train_bytes: int = 12_000, clean_per_toxic: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: int = 1000, max_train_bytes: int = 6_000, clean_per_toxic: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     texts, y, share = labelled_sample(docs, labels, label_col, folds, fold, (clean_per_toxic * per_class, per_class), max_train_bytes, id_col, text_col)
     tagger = Tagger()
     if len(set(y)) < 2:
