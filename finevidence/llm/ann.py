@@ -5,7 +5,8 @@ nearest vector is the one with the largest inner product. A tree of k-means spli
 bounded sample; every vector goes down to a leaf. A query visits leaves best bin first: a priority queue
 holds the branches seen so far by their centroids' distance and the nearest is opened next. How many
 leaves a query visits is calibrated: for a bounded number of queries the true neighbours are computed over all
-vectors, and visits widen until the mean recall reaches ``recall``. A visit also goes on until enough
+vectors, and visits widen until the mean recall reaches ``recall``. The first leaves give each query a bound
+that candidates of its later leaves must reach to be sent at all. A search also goes on until enough
 candidates are met, so a query gets all its neighbours if there are few.
 
 Equal vectors are searched once: of each distinct vector the ``k + 1`` least ids can be among a query's
@@ -30,6 +31,8 @@ from finevidence.llm.common import materialise
 BRANCH = 8
 #: Rows and queries of one block.
 ROWS, QUERIES = 4096, 1024
+#: Leaves that a query visits first, for a bound on the scores that it takes from the others.
+FIRST = 3
 
 
 class KMeansTree:
@@ -157,7 +160,7 @@ def exact(nodes: DataFrame, queries: np.ndarray, dim: int, k: int) -> DataFrame:
     return each.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth", "id")
 
 
-def search(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97, sample: int = 20_000, calibrate: int = 128, leaf_rows: int = 256) -> DataFrame:
+def search(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.96, sample: int = 20_000, calibrate: int = 128, leaf_rows: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows for which ``is_query`` (a column over ``id``; default
     all) holds. The tree is fitted on at most ``sample`` distinct vectors (fewer if they are long),
     calibrated on at most ``calibrate`` queries."""
@@ -195,31 +198,42 @@ def search(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vector_col
 
     def route(batches):
         for b in batches:
-            at, leaves = [], []
+            at, leaves, turns = [], [], []
             for i, x in enumerate(matrix(b.column(1), dim)):
                 own = sent.value.visits(x, wide, sizes, k + 1)
                 at += [i] * len(own)
                 leaves += own
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaves, pa.int32())], ["q_node", "q_vec", "leaf"])
-
-    routed = materialise(q_nodes.mapInArrow(route, "q_node string, q_vec array<double>, leaf int"))
-    per_leaf = routed.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks"))
-    leaves = per_leaf.join(spark.createDataFrame([(i, int(x)) for i, x in enumerate(blocks)], "leaf int, blocks int"), "leaf")
-    leaves = F.broadcast(leaves)  # one row a leaf
-    left = index.join(leaves, "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    right = routed.join(leaves, "leaf").withColumn("q_block", F.pmod(F.xxhash64("q_node"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                turns += range(len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(leaves, pa.int32()), pa.array(turns, pa.int32())], ["q_node", "leaf", "turn"])
+
+    routed = materialise(q_nodes.mapInArrow(route, "q_node string, leaf int, turn int"))
     keys = ["leaf", "block", "q_block"]
+    row_blocks = spark.createDataFrame([(i, int(x)) for i, x in enumerate(blocks)], "leaf int, blocks int")
 
     def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("q_node", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int64())))})
         ids = rows["ids"].combine_chunks()
         which, at, score = top(matrix(queries["q_vec"], dim), matrix(rows["vec"], dim), ids.flatten().take(ids.offsets[:-1]).to_numpy(), k + 1)
-        return pa.table({"q_node": queries["q_node"].take(pa.array(which)), "score": pa.array(score), "ids": ids.take(pa.array(at))})
+        ok = score >= queries["least"].to_numpy()[which]
+        return pa.table({"q_node": queries["q_node"].take(pa.array(which[ok])), "score": pa.array(score[ok]), "ids": ids.take(pa.array(at[ok]))})
+
+    def visit(asked_leaves: DataFrame) -> DataFrame:
+        """The k + 1 best of each leaf for the queries (``q_node, leaf, least``) that visit it, if they reach ``least``."""
+        per_leaf = asked_leaves.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks"))
+        leaves = F.broadcast(per_leaf.join(row_blocks, "leaf"))  # one row a leaf
+        left = index.join(leaves, "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+        right = asked_leaves.join(q_nodes.withColumnsRenamed({"node": "q_node", "vec": "q_vec"}), "q_node").join(leaves, "leaf")
+        right = right.withColumn("q_block", F.pmod(F.xxhash64("q_node"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = left.select(*keys, "vec", "ids").groupBy(*keys).cogroup(right.select(*keys, "q_node", "q_vec", "least").groupBy(*keys))
+        return both.applyInArrow(compare, "q_node string, score double, ids array<long>")
 
-    found = left.select(*keys, "vec", "ids").groupBy(*keys).cogroup(right.select(*keys, "q_node", "q_vec").groupBy(*keys)).applyInArrow(compare, "q_node string, score double, ids array<long>")
     best = Window.partitionBy("q_node").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
+    lowest = F.lit(float("-inf"))
+    near = visit(routed.where(F.col("turn") < FIRST).select("q_node", "leaf", lowest.alias("least")))
+    near = materialise(near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth"))
+    least = near.groupBy("q_node").agg(F.when(F.count("*") > k, F.min("score")).otherwise(lowest).alias("least"))
+    found = near.unionByName(visit(routed.where(F.col("turn") >= FIRST).join(least, "q_node").select("q_node", "leaf", "least")))
     kept = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     lists = kept.groupBy("q_node").agg(F.flatten(F.collect_list(F.transform("ids", lambda x: F.struct((-F.col("score")).alias("minus"), x.alias("id"))))).alias("near"))
     own = asked.join(lists, asked["node"] == lists["q_node"]).select("id", F.filter("near", lambda x: x["id"] != F.col("id")).alias("near"))
