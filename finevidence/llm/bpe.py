@@ -25,8 +25,8 @@ from finevidence.llm.common import small_batches, whole_text
 
 BATCH_WIDTH = 64
 NONE = np.iinfo(np.int64).max
-#: Words kept encoded in each worker; when full it starts anew.
-CACHE_WORDS = 900_000
+#: Words kept encoded in each worker. When there are more, these become the older ones, and those before them go.
+CACHE_WORDS = 450_000
 
 
 def default_tokenizer() -> str:
@@ -70,9 +70,9 @@ class BytePairCodec:
         self.sorted_keys, self.sorted_ranks = keys[order], order
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.single_space = regex.compile(r"(?<=\S) (?=\S)")
-        self.uneven = regex.compile(r"\s |\A | \s| \Z")
         self.any_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- the tree -------------------------------------------------------------------------------
 
@@ -182,37 +182,49 @@ class BytePairCodec:
     # -- texts ----------------------------------------------------------------------------------
 
     def _chunks(self, text: str) -> list[str]:
-        """Cuts at single spaces between other characters: a word always begins at such a space. The
-        space stays with what follows."""
-        parts = text.split(" ") if not self.uneven.search(text) else self.single_space.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
+        """Cuts where a word always begins: at single spaces and line breaks between other characters. The
+        space stays with what follows. Texts with other or more white space are cut at such spaces only."""
+        if text.replace("\n", " ").split(" ") != text.split():
+            parts = self.single_space.split(text)
+            return parts[:1] + [" " + p for p in parts[1:]]
+        out = []
+        for line in text.split("\n"):
+            parts = line.split(" ")
+            out.append(parts[0])
+            out += [" " + p for p in parts[1:]]
+            out.append("\n")
+        return out[:-1]
 
     def _learn(self, chunks: Iterable[str]) -> None:
         """Encode the chunks that are not known yet."""
-        cut = {c: self.words.findall(c) for c in chunks}
-        words = {w for ws in cut.values() for w in ws if w not in self.known}
+        known, older = self.known, self.older
+        cut: dict[str, list[str]] = {}
+        for c in chunks:
+            if c in older:
+                known[c] = older[c]
+            else:
+                cut[c] = [c] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else self.words.findall(c)
         short: dict[int, list[str]] = {}
-        found: dict[str, bytes] = {}
-        for w in words:
+        for w in {w for ws in cut.values() for w in ws if w not in known}:
             n = len(w.encode())
-            if n <= BATCH_WIDTH:
+            if w in older:
+                known[w] = older[w]
+            elif n <= BATCH_WIDTH:
                 short.setdefault(max(4, (n - 1).bit_length()), []).append(w)
             else:
-                found[w] = np.array(self.encode_one(w.encode()), "<u4").tobytes()
+                known[w] = np.array(self.encode_one(w.encode()), "<u4").tobytes()
         for group in short.values():
             for at in range(0, len(group), 4096):
                 some = group[at : at + 4096]
-                found.update(zip(some, self.encode_many([w.encode() for w in some])))
-        for w, data in found.items():
-            self.known[w] = data
+                known.update(zip(some, self.encode_many([w.encode() for w in some])))
         for c, ws in cut.items():
-            if c not in self.known:
-                self.known[c] = b"".join(found[w] if w in found else self.known[w] for w in ws)
+            if c not in known:
+                known[c] = b"".join(map(known.__getitem__, ws))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.older, self.known = self.known, {}
         for at in range(0, len(texts), 200):
             parts = []
             for text in texts[at : at + 200]:
