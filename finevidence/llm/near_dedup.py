@@ -63,7 +63,8 @@ def shingles(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
-    """Each shingle's hash together with how often it has occurred before."""
+    """Each shingle's hash together with how often it has occurred before; a first occurrence keeps its hash,
+    whether or not others repeat."""
     order = np.argsort(s, kind="stable")
     r = s[order]
     new = np.append(True, r[1:] != r[:-1])
@@ -72,7 +73,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     at = np.arange(len(s))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty_like(s)
-    out[order] = mix(r + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out[order] = np.where(new, r, mix(r + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return out
 
 

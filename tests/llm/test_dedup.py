@@ -129,3 +129,12 @@ def test_near_odd(odd, empty):
     kept = near_dedup.one_of_each(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 3, 4, 5, 7, 8}
     assert near_dedup.classes(empty).count() == 0
+
+
+def test_copies_that_repeat_a_passage(spark):
+    texts = [[f"d{k}w{i}" for i in range(300)] for k in range(6)]
+    pairs = [(2 * k, w) for k, w in enumerate(texts)]
+    pairs += [(2 * k + 1, [*w[: 40 * k + 12], *w[40 * k :]]) for k, w in enumerate(texts)]  # twelve words doubled
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in pairs], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(made).collect()}
+    assert got == brute_classes([(r.doc_id, r.text) for r in made.collect()]) == {i: i - i % 2 for i in range(12)}
