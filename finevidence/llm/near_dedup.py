@@ -2,7 +2,9 @@
 
 A text is the sequence of its five-word shingles (lower-cased words), each labelled with how often it
 has occurred so far. Each of ``SKETCHES`` hash functions picks the ``SAMPLED`` smallest labelled
-shingles and keeps their order in the text; texts that share a sketch are candidates. They are similar
+shingles and keeps their order in the text; texts that share a sketch are candidates. Texts of up to
+``SHORT`` shingles have the exact keys of ``end_keys`` besides, as sketches alone would miss 1.2 % of the pairs of
+4 and 5; of pairs of more shingles that are just similar and lack some at random, sketches miss 0.012 % at most. They are similar
 if an alignment of their shingle sequences keeps ``similarity`` of all shingles of both: with m aligned
 of n and k, m / (n + k - m) reaches it. The alignment is the greedy furthest-reaching one, in the band
 of diagonals that so many edits can reach, so it is exact. Classes are the connected components.
@@ -37,6 +39,8 @@ BLOCK = 512
 #: Of the 2 * SKETCHES least hashes that pairs are first compared by, those of similarity 0.8 share
 #: 32 on average; fewer than this many come with a chance of under one in ten thousand.
 LEAST_SHARED = 22
+#: Texts of up to so many shingles meet by their exact ends, too.
+SHORT = 10
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -95,6 +99,16 @@ def sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, least
 
 
+def end_keys(s: np.ndarray) -> np.ndarray:
+    """Keys of the sequence of a short text, whole and without the shingles at its ends that a text of
+    similarity 0.8 can lack; none for longer texts."""
+    n = len(s)
+    if n > SHORT:
+        return np.zeros(0, np.uint64)
+    parts = {s[i : n - d + i].tobytes() for d in range(n // 5 + 1) for i in range(d + 1)}
+    return np.array([xxhash.xxh64_intdigest(p, SHINGLE) for p in parts], np.uint64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the alignment of two shingle sequences reaches ``similarity``."""
     most = int((len(a) + len(b)) * (1 - similarity) / (1 + similarity) + 1e-9)  # edits, insertions and deletions
@@ -147,6 +161,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 s = shingles(words, known)
                 keys, least = sketches(s)
+                keys = np.append(keys, end_keys(s))
                 for c, v in zip(cols, (hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest(), len(s), keys.view(np.int64), least.tobytes(), (s >> np.uint64(32)).astype("<u4").tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["doc_id", "node", "n", "keys", "least", "sequence"])

@@ -138,3 +138,13 @@ def test_copies_that_repeat_a_passage(spark):
     made = spark.createDataFrame([(i, " ".join(w)) for i, w in pairs], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.classes(made).collect()}
     assert got == brute_classes([(r.doc_id, r.text) for r in made.collect()]) == {i: i - i % 2 for i in range(12)}
+
+
+def test_short_texts_meet(spark):
+    rows = []
+    for k in range(0, 2400, 4):
+        w = [f"s{k}w{i}" for i in range(15)]
+        rows += [(k, w[:8]), (k + 1, w[:9] if k % 8 else [w[14], *w[:8]])]  # 4 and 5 shingles
+        rows += [(k + 2, w[1:14]), (k + 3, w[2:15])] if k % 3 else [(k + 2, w[1:15]), (k + 3, w[2:14])]  # 9 and 9, 10 and 8
+    made = spark.createDataFrame([(i, " ".join(x + "ab"[i % 4 // 2] for x in w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(made).collect()} == {i: i - i % 2 for i, _ in rows}
