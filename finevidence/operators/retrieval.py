@@ -150,7 +150,7 @@ def contexts(hits: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     return one.select("query_id", F.when(F.size("blocks") > 0, F.array_join("blocks", "\n")).otherwise("(none)").alias("context"))
 
 
-def conversation_context(turns: DataFrame, limit: int = TRANSCRIPT) -> DataFrame:
-    """``conv_id, turns, context``: a conversation's turns in order, cut at ``limit`` characters."""
+def conversation_context(turns: DataFrame) -> DataFrame:
+    """``conv_id, turns, context``: all of a conversation's turns in order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", F.coalesce("text", F.lit("(none)"))).alias("line")))), lambda x: x["line"])
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.left(F.array_join(lines, "\n"), F.lit(limit)).alias("context"))
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(lines, "\n").alias("context"))

@@ -111,3 +111,11 @@ def test_fold_of_events_ignores_order():
     e = ([3, 1, 2], ["a", "a", "b"], ["end", "start", "start"], [3, 1, 2])
     want = steps.fold({}, *e)
     assert want == steps.fold(steps.fold({}, *(x[1:] for x in e)), *(x[:1] for x in e)) and want["a"][2] == "end"
+
+
+def test_long_conversations_stay_whole(spark):
+    from finevidence.operators import retrieval
+
+    rows = [(1, k, "user", f"turn {k} " + "x" * 500) for k in range(40)]
+    got = retrieval.conversation_context(spark.createDataFrame(rows[::-1], "conv_id long, turn int, role string, text string")).first()
+    assert got.turns == 40 and got.context == "\n".join(f"{r}: {t}" for _, _, r, t in rows)
