@@ -1,14 +1,15 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 The base patterns find emails, IP addresses, card and phone numbers. Each distinct value is a protected
-entity. Words within ``WINDOW`` words of an entity are terms that might reveal it. Over the corpus
+entity. The other words of a document with the entity are terms that might reveal it: all that have
+a digit or ``MIN_TERM`` letters. Over the corpus
 
     disclosure(t; e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 is the share of the entity's information that the term gives away: 1 if the term stands only where the
-entity does. n(t, e) counts the documents with the term near the entity, n(t) and n(e) all documents
-with the term or the entity, N all documents. Where the entity stands, terms near it that reach
-``generalise`` are replaced by their kind, those that reach ``remove`` are removed, if the two
+entity does. n(t, e) counts the documents with both, at any distance, n(t) and n(e) all documents
+with the term or the entity, N all documents. At all their places in all documents, terms that reach
+``generalise`` for some entity are replaced by their kind, those that reach ``remove`` are removed, if the two
 stand together in at least ``support`` documents (a pair seen once tells nothing about either).
 
 n(t) needs all words of the corpus, but only for terms that might disclose; a bitmap of fixed size
@@ -32,8 +33,7 @@ from pyspark.sql import functions as F
 from finevidence.llm.common import materialise, small_batches, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Words on either side of an entity.
-WINDOW = 10
+#: Least length of terms without digits.
 MIN_TERM = 4
 #: Bits of the terms' bitmap; it fills up as terms grow, and then only lets more words through.
 BITS = 1 << 23
@@ -94,28 +94,20 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def words_around(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms within WINDOW words of each span. Only the text beside
-    the spans is read, up to the words that are needed."""
-    out = []
-    for a, b, k in spans:
-        entity = f"{KINDS[k]}:{text[a:b].lower()}"
-        reach = 40
-        while True:  # widen until there are enough words, whole ones, on the left
-            low = max(0, a - reach)
-            left = [(m.start(), m.end()) for m in _WORD.finditer(text, low, a)]
-            if low == 0 or len(left) > WINDOW:
-                break
-            reach *= 2
-        near = left[-WINDOW:]
-        for i, m in enumerate(_WORD.finditer(text, b)):
-            if i == WINDOW:
-                break
-            near.append((m.start(), m.end()))
-        for s, e in near:
-            if e - s >= MIN_TERM and not _DIGIT.search(text, s, e) and not any(s < y and x < e for x, y, _ in spans):
-                out.append((entity, text[s:e].lower(), s, e))
-    return out
+def terms_outside(text: str, spans: list[tuple[int, int, int]]):
+    """(term, start, end) for the words of the whole text that overlap no span; ``spans`` by start."""
+    i, covered = 0, -1
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while i < len(spans) and spans[i][0] < e:
+            covered = max(covered, spans[i][1])
+            i += 1
+        if covered <= s and (e - s >= MIN_TERM or _DIGIT.search(text, s, e)):
+            yield m.group().lower(), s, e
+
+
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {f"{KINDS[k]}:{text[a:b].lower()}" for a, b, k in spans}
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str):
@@ -125,22 +117,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str):
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, id_key, version, base array<struct<start, end, kind>>, near array<struct<entity, term, start, end>>``
-    for every row."""
+    """``doc_id, id_key, version, base array<struct<start, end, kind>>, entities array<string>`` for every row;
+    entities are distinct."""
     small_batches(docs.sparkSession)
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            base, near = [], []
+            base, entities = [], []
             for text in b.column(3).to_pylist():
                 spans = base_spans(text)
                 base.append([{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in words_around(text, spans)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(base, base_type), pa.array(near, near_type)], ["doc_id", "id_key", "version", "base", "near"])
+                entities.append(sorted(entities_of(text, spans)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(base, base_type), pa.array(entities, pa.list_(pa.string()))], ["doc_id", "id_key", "version", "base", "entities"])
 
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, id_key string, version long, base array<struct<start:int,end:int,kind:string>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, id_key string, version long, base array<struct<start:int,end:int,kind:string>>, entities array<string>"
     return docs.select(*_rows(docs, id_col, text_col)).mapInArrow(run, schema)
 
 
@@ -154,15 +145,43 @@ def bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
+def _bits(terms: DataFrame):
+    return terms.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap(terms), bitorder="little").astype(bool))
+
+
+def pair_counts(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
+    """``entity, term, n_both`` over whole texts for the entities in ``entities``."""
+    small_batches(docs.sparkSession)
+    bits = _bits(entities.select(F.col("entity").alias("term")))
+
+    def run(batches):
+        set_, counts = bits.value, Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                spans = base_spans(text)
+                own = [e for e in entities_of(text, spans) if set_[zlib.crc32(e.encode()) % BITS]]
+                terms = {t for t, _, _ in terms_outside(text, spans)} if own else ()
+                for e in own:
+                    counts.update((e, t) for t in terms)
+                    if len(counts) > 200_000:
+                        yield flush()
+                        counts.clear()
+        yield flush()
+
+    partial = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "entity string, term string, n long")
+    return partial.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(entities, "entity", "left_semi")
+
+
 def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, n_docs`` over all rows of ``docs`` for the terms in ``terms``."""
     small_batches(docs.sparkSession)
-    bits = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap(terms), bitorder="little").astype(bool))
+    bits = _bits(terms)
 
     def run(batches):
-        set_, known = bits.value, {}
+        set_, known, counts = bits.value, {}, Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
         for b in batches:
-            counts: Counter[str] = Counter()
             for text in b.column(0).to_pylist():
                 for w in set(_WORD.findall(text.lower())):
                     if (hit := known.get(w)) is None:
@@ -171,7 +190,10 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
                         hit = known[w] = bool(set_[zlib.crc32(w.encode()) % BITS])
                     if hit:
                         counts[w] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            if len(counts) > 300_000:
+                yield flush()
+                counts.clear()
+        yield flush()
 
     partial = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "term string, n long")
     return partial.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
@@ -179,10 +201,9 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
 
 def disclosures(docs: DataFrame, found: DataFrame, support: int = 3, text_col: str = "text") -> DataFrame:
     """``entity, term, disclosure`` for pairs that stand together in at least ``support`` documents."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p")).select("p.*")
-    together = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
-    entity = lambda x: F.concat(x["kind"], F.lit(":"), x["value"])
-    entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counted = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = materialise(counted.where(F.col("n_entity") >= support))  # others can't reach it with any term
+    together = materialise(pair_counts(docs, entities, text_col).where(F.col("n_both") >= support))
     df = document_frequencies(docs, together.select("term").distinct(), text_col)
     n = found.count()
     gain = F.log(F.lit(float(max(1, n))) * F.col("n_both") / (F.col("n_docs") * F.col("n_entity")))
@@ -190,19 +211,31 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = 3, text_col: s
     return together.join(df, "term").join(entities, "entity").select("entity", "term", F.when(known > 0, gain / known).otherwise(0.0).alias("disclosure"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, support: int = 3, text_col: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_key, version, terms array<struct<start, end, disclosure>>`` for each distinct (id, text) with any."""
     strong = disclosures(docs, found, support, text_col).where(F.col("disclosure") >= generalise)
-    near = found.select("id_key", "version", F.explode("near").alias("x")).select("id_key", "version", "x.*")
-    hits = near.join(strong, ["entity", "term"]).groupBy("id_key", "version", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("id_key", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    strong = materialise(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    bits = _bits(strong)
+
+    def run(batches):
+        set_ = bits.value
+        for b in batches:
+            rows: list[tuple] = []
+            for key, version, text in zip(*(c.to_pylist() for c in b.columns)):
+                if any(set_[zlib.crc32(w.encode()) % BITS] for w in set(_WORD.findall(text.lower()))):
+                    rows += [(key, version, *x) for x in terms_outside(text, base_spans(text)) if set_[zlib.crc32(x[0].encode()) % BITS]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["id_key", "version", "term", "start", "end"])
+
+    places = docs.select(*_rows(docs, id_col, text_col)[1:]).mapInArrow(run, "id_key string, version long, term string, start int, end int")
+    hits = places.join(strong, "term")
+    return hits.groupBy("id_key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, support: int = 3) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row."""
     found = materialise(find(docs, id_col, text_col))
-    terms = term_spans(docs, found, generalise, support, text_col)
-    both = found.drop("near").join(terms, ["id_key", "version"], "left")
+    terms = term_spans(docs, found, generalise, support, id_col, text_col)
+    both = found.drop("entities").join(terms, ["id_key", "version"], "left")
     as_text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     in_order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"], F.array_position(F.array(*map(F.lit, [*KINDS, "term"])), x["kind"]).alias("o"), x["end"], x["kind"]))), as_text)
     every = F.concat("base", F.coalesce(F.transform("terms", lambda x: F.struct(x["start"], x["end"], F.lit("term").alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:string>>")))
@@ -231,7 +264,7 @@ def redact(text: str, terms: list[dict], remove: float) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, remove: float = 0.97, support: int = 3) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of ``text_col``; other columns stay as they are."""
     small_batches(docs.sparkSession)
-    terms = term_spans(docs, materialise(find(docs, id_col, text_col)), generalise, support, text_col)
+    terms = term_spans(docs, materialise(find(docs, id_col, text_col)), generalise, support, id_col, text_col)
     rest = [c for c in docs.columns if c != text_col]
     own = docs.select(F.struct(*rest).alias("rest"), *_rows(docs, id_col, text_col)[1:])
     both = own.join(terms.hint("shuffle_hash"), ["id_key", "version"], "left").select("rest", "text", "terms")

@@ -195,3 +195,12 @@ def test_neighbours_of_odd_vectors(spark):
     few = ann.search(df.where("vec_id IN (0, 20, 3)"), F.col("id") % 20 == 0).collect()
     assert Counter(x.query_id for x in few) == {0: 2, 20: 2}
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_terms_at_all_places(spark):
+    pad = " ".join(f"common{'abcdefgh'[i % 8]}" for i in range(50))
+    texts = [f"mail jo@x.example.com {pad} badge77 Quillfeather {pad} badge77" for _ in range(4)] + [f"{pad} ask Quillfeather"] + [pad] * 2000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("badge77" not in clean[i] and "Quillfeather" not in clean[i] for i in range(5))
+    assert clean[5] == pad and all(clean[i].count(pad) == 2 for i in range(4))
