@@ -5,7 +5,7 @@ Pieces of equal length are interchangeable, so the plan is made on the histogram
 longest first, each with the longest other one that fits beside it, so at most two share a bin; shorter
 ones, longest first, go to the fullest bin they fit. The plan is a list of runs: the t-th piece of a
 length, for t in a range, goes to a bin and offset that follow from t. Each piece finds its run by its
-rank among the pieces of its length, which is counted in salted buckets, so no task holds a whole length.
+rank among the pieces of its length, which is counted in salted buckets, so no task holds a whole common length.
 
 A null text counts as empty; an empty text is one piece that holds only the end id. Repeated rows are
 packed once each. Null ids are allowed. Empty tables give an empty result.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from finevidence.llm.bpe import codec, default_tokenizer
 from finevidence.llm.common import materialise, small_batches, whole_text
 
-#: Pieces that one task ranks, about.
-RANKED_ROWS = 200_000
+#: A bucket of one length holds about this share of all pieces (or LEAST_RANKED), so the pieces of a length
+#: that is very common are ranked by many tasks.
+BUCKETS = 2048
+LEAST_RANKED = 500
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -96,16 +98,20 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
     def run(batches):
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(codec(tokenizer).encode_batch(b.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append(row)
-                    piece.append(k)
-                    start.append(i)
-                    length.append(j - i)
-                    crc.append(zlib.crc32(ids[4 * i : 4 * j]))
+            row = 0
+            for ids, ends in codec(tokenizer).encode_column(b.column(1)):
+                data, at = memoryview(ids.tobytes()), 0
+                for stop in ends.tolist():
+                    n = stop - at + 1  # with the end id
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                        rows.append(row)
+                        piece.append(k)
+                        start.append(i)
+                        length.append(j - i)
+                        crc.append(zlib.crc32(data[4 * (at + i) : 4 * min(at + j, stop)]))
+                    crc[-1] = zlib.crc32(end, crc[-1])
+                    row, at = row + 1, stop
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
@@ -120,14 +126,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         by_length.setdefault(r[0], []).append(r[1:])
     runs = {k: np.array(sorted(v), np.int64).T for k, v in by_length.items()}
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, -(-max(counts.values(), default=0) // RANKED_ROWS)))))
+    bucket = max(LEAST_RANKED, sum(counts.values()) // BUCKETS)
+    per_length = docs.sparkSession.createDataFrame([(k, -(-n // bucket)) for k, n in counts.items()], "length long, salts int")  # at most `capacity` rows
+    salted = pieces.join(F.broadcast(per_length), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     )
     ranked = (
         salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-        .join(before, ["length", "salt"])
+        .join(F.broadcast(before), ["length", "salt"])  # fewer than BUCKETS + capacity rows
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("rank"))
     )
 

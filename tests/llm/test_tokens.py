@@ -98,6 +98,24 @@ def packed_rightly(texts, rows, capacity=2048):
     return len(bins)
 
 
+def test_packing_of_a_common_length(spark, monkeypatch):
+    """A length whose pieces are ranked by many tasks."""
+    monkeypatch.setattr(packing, "LEAST_RANKED", 5)
+    texts = [(i, "same length here" if i % 3 else "word " * (i + 1)) for i in range(120)] + [(7, "same length here"), (None, None), (None, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = packing.pack(df, capacity=64).collect()
+    assert packed_rightly([(i, t) for i, t in texts], rows, 64)
+
+
+def test_slices_of_a_column(monkeypatch):
+    codec, r = bpe.BytePairCodec(PATH), random.Random(3)
+    texts = [r.choice(["", "a  b", "x\n\ny", "plain words here", "\ttab", "é ü", "line\nline", "<|endoftext|> a", "don't stop"]) for _ in range(60)]
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 30)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 4)
+    assert [ids_of(x) for x in codec.encode_batch(texts)] == [known_ids(t) for t in texts]
+    assert list(codec.encode_batch([])) == []
+
+
 def test_packing(odd, empty, docs):
     packed_rightly([(r.doc_id, r.text) for r in odd.collect()], packing.pack(odd).collect())
     assert packing.pack(empty).count() == 0
