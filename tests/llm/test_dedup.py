@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from finevidence.llm import exact_dedup, line_dedup, near_dedup
+from finevidence.llm import common, exact_dedup, line_dedup, near_dedup
+from pyspark.sql import functions as F
 
 
 def sha(text):
@@ -148,3 +149,63 @@ def test_short_texts_meet(spark):
         rows += [(k + 2, w[1:14]), (k + 3, w[2:15])] if k % 3 else [(k + 2, w[1:15]), (k + 3, w[2:14])]  # 9 and 9, 10 and 8
     made = spark.createDataFrame([(i, " ".join(x + "ab"[i % 4 // 2] for x in w)) for i, w in rows], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.classes(made).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_many_blocks_and_hot_keys(spark, monkeypatch):
+    """More than one block a bucket, and keys that are spread over salts."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(common, "COOL_ROWS", 3)
+    r = random.Random(6)
+    common_part = " ".join(f"c{i}" for i in range(70))
+    texts = [common_part + " " + " ".join(f"u{k // 2}_{i}" if r.random() < 0.97 else "x" for i in range(30)) for k in range(60)]
+    texts += [texts[0]] * 12 + [common_part] * 9 + [common_part + " tail"]
+    made = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (None, texts[1])], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(made).collect() if x.doc_id is not None}
+    assert got == brute_classes(list(enumerate(texts))) and len(set(got.values())) > 5
+    stay = near_dedup.one_of_each(made).collect()
+    assert sorted(x.doc_id for x in stay) == sorted(set(got.values()))
+    groups = exact_dedup.exact_groups(made).collect()
+    sizes = Counter([*texts, texts[1], texts[1]])
+    text_of = dict(enumerate(texts))
+    assert all(x.group_size == sizes[text_of.get(x.doc_id, texts[1])] for x in groups) and len(groups) == len(texts) + 2
+    assert Counter(x.text for x in exact_dedup.one_of_each(made).collect()) == Counter(set(texts))
+
+
+def test_one_digest_of_several_texts(spark, monkeypatch):
+    """If a digest stands for several texts, rows find their winner by text."""
+    rows = [(i, t) for i, t in enumerate(["a", "b", "a", "c", None, "", "b", "a"])]
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_groups(df).collect()}
+    assert got == {0: (7, 3, False), 2: (7, 3, False), 7: (7, 3, True), 1: (6, 2, False), 6: (6, 2, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True)}
+
+
+def test_rows_that_repeat_id_and_text(spark):
+    rows = [(1, "one text of some words"), (1, "one text of some words"), (None, "other text"), (None, "other text"), (None, "other text"), (2, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for stay in (exact_dedup.one_of_each, near_dedup.one_of_each):
+        assert Counter(tuple(r) for r in stay(df).collect()) == Counter(set(rows))
+
+
+def test_a_line_that_crosses_partitions(spark):
+    df = spark.createDataFrame([(i, f"a very common line\nown line number {i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.kept_digests(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_lines([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_first_occurrences_over_batches():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = sorted((r.choice(b"abcd").to_bytes() * 4, r.randint(0, 5), 0, k) for k in range(60))
+    names = ["hash", "doc", "version", "place"]
+    for cut in (1, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[a : a + cut]], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32()))], names) for a in range(0, 60, cut)]
+        got = [x for b in line_dedup._first_occurrences(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        first = {h: min(d for g, d, _, _ in rows if g == h) for h in {x[0] for x in rows}}
+        want = [(0 if d != first[h] else 1, h, d, v, k) for h, d, v, k in rows if d != first[h] or h == rows[0][0]]
+        assert got == [*want, (2, rows[-1][0], first[rows[-1][0]], 0, 0)]
