@@ -5,7 +5,7 @@ and position, and a stream over each partition keeps the lines of the first docu
 The ranges cut between documents, not between hashes, so a very common line spreads over many
 partitions. What a partition can't know is whether its first hash began in an earlier one; it returns
 those lines apart, with the first document of its last hash, and a small join settles them.
-The result is a zlib-compressed bitmap of kept lines for each document, not text.
+The result is a zlib-compressed bitmap of kept lines for each document, not text. Ids are integers.
 
 A null or empty text is one empty line. Keys under ``min_chars`` code points never go. A null id counts
 as the least one. Rows that share id and text get the same bitmap; rows that share only the id count
@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +43,23 @@ def _first_occurrences(batches):
     """From rows sorted by hash, doc, place: (kind 0) lines that go, (1) lines of the first document of
     the partition's first hash, which an earlier partition may overrule, (2) the last hash's first document."""
     names = ["kind", "hash", "doc", "version", "place"]
-    opening = hash_ = first = None
+    last = first = None
+    opening = True
     for b in batches:
-        kinds, at = [], []
-        for i, (h, d) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            if h != hash_:
-                opening = h if opening is None else opening
-                hash_, first = h, d
-            if d != first:
-                kinds.append(0)
-                at.append(i)
-            elif h == opening:
-                kinds.append(1)
-                at.append(i)
-        if at:
-            taken = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *taken.columns], names)
-    if hash_ is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([hash_], pa.binary()), *(pa.array([x], pa.int64()) for x in (first, 0)), pa.array([0], pa.int32())], names)
+        if not len(b):
+            continue
+        hashes, doc = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+        begins = np.append(hashes[0].as_py() != last, pc.not_equal(hashes.slice(1), hashes.slice(0, len(b) - 1)).to_numpy(zero_copy_only=False))
+        group = np.cumsum(begins)  # 0: goes on from the batch before
+        firsts = np.append(first or 0, doc[begins])[group]
+        in_opening = (group == (last is None)) & opening
+        kinds = np.where(doc != firsts, 0, np.where(in_opening, 1, -1))
+        opening = bool(in_opening[-1])
+        last, first = hashes[len(b) - 1].as_py(), int(firsts[-1])
+        if len(at := np.flatnonzero(kinds >= 0)):
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[at].astype(np.int32)), *b.take(pa.array(at)).columns], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([last], pa.binary()), *(pa.array([x], pa.int64()) for x in (first, 0)), pa.array([0], pa.int32())], names)
 
 
 def _bitmaps(batches):

@@ -1,8 +1,8 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 The base patterns find emails, IP addresses, card and phone numbers. Each distinct value is a protected
-entity. The other words of a document with the entity are terms that might reveal it: all that have
-a digit or ``MIN_TERM`` letters. Over the corpus
+entity. The other words of a document with the entity, short ones and numbers too, are terms that might
+reveal it. Over the corpus
 
     disclosure(t; e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
@@ -30,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finevidence.llm.common import materialise, small_batches, whole_text
+from finevidence.llm.common import join_groups, materialise, small_batches, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Least length of terms without digits.
-MIN_TERM = 4
 #: Bits of the terms' bitmap; it fills up as terms grow, and then only lets more words through.
 BITS = 1 << 23
 
@@ -102,7 +100,7 @@ def terms_outside(text: str, spans: list[tuple[int, int, int]]):
         while i < len(spans) and spans[i][0] < e:
             covered = max(covered, spans[i][1])
             i += 1
-        if covered <= s and (e - s >= MIN_TERM or _DIGIT.search(text, s, e)):
+        if covered <= s:
             yield m.group().lower(), s, e
 
 
@@ -208,7 +206,12 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = 3, text_col: s
     n = found.count()
     gain = F.log(F.lit(float(max(1, n))) * F.col("n_both") / (F.col("n_docs") * F.col("n_entity")))
     known = F.log(F.lit(float(max(1, n))) / F.col("n_entity"))
-    return together.join(df, "term").join(entities, "entity").select("entity", "term", F.when(known > 0, gain / known).otherwise(0.0).alias("disclosure"))
+    total = together.count()
+    per_term = together.groupBy("term").agg(F.count("*").alias("size")).join(df, "term")
+    per_entity = together.groupBy("entity").agg(F.count("*").alias("size")).join(entities, "entity")
+    both = join_groups(together, per_term, ["term"], "size", total, ["entity"]).drop("size")
+    both = join_groups(both, per_entity, ["entity"], "size", total, ["term"])
+    return both.select("entity", "term", F.when(known > 0, gain / known).otherwise(0.0).alias("disclosure"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +230,9 @@ def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, suppo
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["id_key", "version", "term", "start", "end"])
 
     places = docs.select(*_rows(docs, id_col, text_col)[1:]).mapInArrow(run, "id_key string, version long, term string, start int, end int")
-    hits = places.join(strong, "term")
+    places = materialise(places)
+    per_term = places.groupBy("term").agg(F.count("*").alias("size")).join(strong, "term")
+    hits = join_groups(places, per_term, ["term"], "size", places.count(), ["id_key", "version"])
     return hits.groupBy("id_key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 

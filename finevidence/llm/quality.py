@@ -5,13 +5,14 @@ filters see ``PAIRS`` neighbouring byte pairs at a time, at every pair; their re
 max-pooled over the chunk and go through a small hidden layer. The hidden features of all chunks,
 as their maximum, mean and minimum, give one logit and one probability for the whole document.
 
-The model is fitted on the driver on at most ``per_class`` labelled rows of either class (texts of at
-most ``max_train_bytes`` bytes, the rows with the smallest hashes of their ids); scoring is a map over
-all rows. Only the text is seen. Rows of the held-out fold are never learned from.
+The model is fitted on the driver on the whole texts of at most ``per_class`` labelled rows of either class
+(those with the smallest hashes of their ids among the labelled ids that documents have); scoring is a map
+over all rows. Only the text is seen. Rows of the held-out fold are never learned from.
 
 A null text counts as empty; an empty text is one chunk of padding and has the score that this gives.
-Labels that are null are left out, of several labels for one id one counts. With no rows of one class
-to learn from, the score is the other class for all. Empty tables give an empty result.
+Labels that are null are left out, of several labels for one id the largest counts, of several texts for one
+id the least. With no rows of one class to learn from, the score is the other class for all. Empty tables
+give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finevidence.llm.common import held_out, small_batches, whole_text
+from finevidence.llm.common import held_out, materialise, release, small_batches, whole_text
 
 CHUNK, STEP, PAIRS, FILTERS, HIDDEN, DIM = 256, 224, 3, 48, 16, 8
 #: Chunks in one numpy call.
@@ -57,15 +58,19 @@ class ByteConvNet:
         return (high[:, None, :] + low[None, :, :]).reshape(65536, -1)
 
     def pooled(self, pairs: np.ndarray, table: np.ndarray, places: bool = False):
-        """Max of each filter over each chunk, and where it is."""
+        """Max of each filter over each chunk, and where it is; BLOCK chunks at a time."""
+        top = np.empty((len(pairs), FILTERS), np.float32)
+        at = np.empty((len(pairs), FILTERS), np.int64) if places else None
         n = pairs.shape[1] - PAIRS + 1
-        y = table[:, :FILTERS][pairs[:, :n]]
-        for k in range(1, PAIRS):
-            y += table[:, k * FILTERS : (k + 1) * FILTERS][pairs[:, k : k + n]]
-        if not places:
-            return y.max(1), None
-        at = y.argmax(1)
-        return np.take_along_axis(y, at[:, None, :], 1)[:, 0], at
+        for i in range(0, len(pairs), BLOCK):
+            some = pairs[i : i + BLOCK]
+            y = table[:, :FILTERS][some[:, :n]]
+            for k in range(1, PAIRS):
+                y += table[:, k * FILTERS : (k + 1) * FILTERS][some[:, k : k + n]]
+            if places:
+                at[i : i + BLOCK] = y.argmax(1)
+            top[i : i + BLOCK] = y.max(1)
+        return top, at
 
     def chunk_features(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = np.maximum(pooled + self.p["bias"], 0)
@@ -132,27 +137,28 @@ class ByteConvNet:
         cut = [chunks(t) for t in texts]
         starts = np.cumsum([0, *(len(c) for c in cut[:-1])])
         every = np.concatenate(cut)
-        top = np.concatenate([self.pooled(every[i : i + BLOCK], table)[0] for i in range(0, len(every), BLOCK)])
-        logit = self.logits(self.chunk_features(top)[1], starts)[0]
+        logit = self.logits(self.chunk_features(self.pooled(every, table)[0])[1], starts)[0]
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, per_class: tuple[int, int], max_train_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """At most ``per_class`` texts of class 0 and of class 1, their labels, and the share of label 1 among all rows
-    that may be learned from. The ids are chosen among the labels alone, so the texts are only filtered."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
+    """At most ``per_class`` whole texts of class 0 and of class 1, their labels, and the share of label 1 among all
+    rows that may be learned from. The rows are drawn by id, whatever their texts."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    own = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    known = materialise(known.join(own.select("doc_id"), "doc_id", "left_semi"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    some = known.where("label = 0").orderBy(F.xxhash64("doc_id")).limit(per_class[0]).unionByName(known.where("label = 1").orderBy(F.xxhash64("doc_id")).limit(per_class[1]))
-    text = whole_text(text_col)
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= max_train_bytes)
-    rows = own.join(F.broadcast(some), "doc_id").collect()  # at most sum(per_class) rows are broadcast
-    rows = sorted({(r["doc_id"], r["text"], r["label"]) for r in rows})
-    return [r[1] for r in rows], [r[2] for r in rows], n.get(1, 0) / max(1, sum(n.values()))
+    some = known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[0]).unionByName(known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[1]))
+    rows = own.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # at most sum(per_class) rows are broadcast
+    rows.sort(key=lambda r: r["doc_id"])
+    release(known)
+    return [r["text"] for r in rows], [r["label"] for r in rows], n.get(1, 0) / max(1, sum(n.values()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: int = 1500, max_train_bytes: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> ByteConvNet:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, fold: int = 2, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> ByteConvNet:
     """Fit on equal numbers of either class, then move the bias to the share that the classes really have."""
-    texts, y, share = labelled_sample(docs, labels, label_col, folds, fold, (per_class, per_class), max_train_bytes, id_col, text_col)
+    texts, y, share = labelled_sample(docs, labels, label_col, folds, fold, (per_class, per_class), id_col, text_col)
     net = ByteConvNet()
     if len(set(y)) < 2:
         net.p["out"][:] = 0

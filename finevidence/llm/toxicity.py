@@ -14,10 +14,11 @@ Chains of all documents in a batch are evaluated together, cut into equal strips
 states' messages moves by a Moebius map a token, and the product of a strip's maps links the strips, so
 marginals are those of the whole chains.
 
-Fitting takes at most ``per_class`` toxic and ``clean_per_toxic`` times as many clean labelled rows (texts of at most ``max_train_bytes``
-bytes, smallest hashes of the ids) on the driver; scoring is a map over all rows. Rows of the held-out
-fold are never learned from. A null text counts as empty; a text without words has the least score.
-Null labels are left out. With no rows of one class to learn from, all scores are the other class.
+Fitting takes the whole texts of at most ``per_class`` toxic and ``clean_per_toxic`` times as many clean labelled rows
+(smallest hashes of the ids) on the driver, in blocks of documents; scoring is a map over all rows. Rows of the
+held-out fold are never learned from. A null text counts as empty; a text without words has the least score.
+Null labels are left out, of several for one id the largest counts. With no rows of one class to learn from, all
+scores are the other class.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BUCKETS = 1 << 18
 STRIP = 256
 #: Words whose emission is kept in each worker.
 KNOWN_WORDS = 500_000
+#: Tokens that are evaluated together, and bytes of texts; a longer document goes alone.
+BLOCK_TOKENS, BLOCK_BYTES = 200_000, 4_000_000
 LIMIT = 30.0
 
 
@@ -49,6 +52,24 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words; as many as WORD finds in the text itself."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def blocks(sizes: list[int], most: int):
+    """Neighbouring (first, end) ranges of up to ``most`` in sum, or of one."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 class Chain:
     """Forward-backward over many chains at once. e: each token's emission odds, first: a chain's first token."""
 
@@ -140,7 +161,7 @@ class Tagger:
 
     def tag(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, each text's first word in the chain of all, marginals of all."""
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(sizes) - sizes
         e = self.emissions([x for w in words for x in w])
@@ -158,49 +179,64 @@ class Tagger:
             out[some, 2] = np.log1p(np.add.reduceat(np.where(p > 0.1, p, 0), starts[some]))
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def scored(self, texts: list[str], span_threshold: float) -> tuple[np.ndarray, list[list[dict]]]:
+        """Score and toxic spans of each text."""
         words, starts, p = self.tag(texts)
-        x = self.document_features(np.array([len(w) for w in words]), starts, p)
-        return 1 / (1 + np.exp(-np.clip(x @ self.score_weights, -LIMIT, LIMIT)))
+        sizes = np.array([len(w) for w in words], np.int64)
+        x = self.document_features(sizes, starts, p)
+        hits = np.flatnonzero(p >= span_threshold)
+        spans: list[list[dict]] = [[] for _ in texts]
+        for doc in np.unique(np.searchsorted(starts + sizes, hits, "right")).tolist():
+            spans[doc] = toxic_spans(texts[doc], p[starts[doc] : starts[doc] + sizes[doc]], span_threshold)
+        return 1 / (1 + np.exp(-np.clip(x @ self.score_weights, -LIMIT, LIMIT))), spans
 
     def fit(self, texts: list[str], labels: list[int], share: float, level: float = 0.02, steps: int = 20) -> None:
         vocabulary: dict[str, int] = {}
-        kinds = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+        kinds = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t in texts]
         types = list(vocabulary)
+        del vocabulary
         sizes = np.array([len(k) for k in kinds], np.int64)
         starts = np.cumsum(sizes) - sizes
-        kind = np.concatenate(kinds).astype(np.int64)
+        kind = np.concatenate(kinds)
+        del kinds
         in_toxic = np.repeat(np.array(labels, bool), sizes)
-        marked = toxic_types(types, kind, in_toxic, np.repeat(np.arange(len(texts)), sizes), level)
+        marked = toxic_types(types, kind, in_toxic, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), level)
         tags = in_toxic & marked[kind]
         each = [features(w) for w in types]
-        owner, feature = np.repeat(np.arange(len(types)), [len(f) for f in each]), np.fromiter(chain.from_iterable(each), np.int64)
-        del each, vocabulary
+        owner, feature = np.repeat(np.arange(len(types), dtype=np.int32), [len(f) for f in each]), np.fromiter(chain.from_iterable(each), np.int32)
+        del each
         first = np.zeros(len(kind), bool)
         first[starts[sizes > 0]] = True
         inner = ~first[1:]
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
+        seen = np.bincount(2 * tags[:-1][inner] + tags[1:][inner], minlength=4).reshape(2, 2).astype(float)
         w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
         real = np.bincount(kind, tags, len(types))
         # start and transitions have a closed form as long as emissions don't move them much; they follow the tags
         trans = np.log((seen + 0.5) / (seen.sum(1, keepdims=True) + 1))
         self.trans = trans - trans[0, 0]
         self.start = float(np.log((tags[first].sum() + 0.5) / (first.sum() - tags[first].sum() + 0.5)))
+        parts = [(starts[i], starts[j - 1] + sizes[j - 1]) for i, j in blocks(sizes.tolist(), BLOCK_TOKENS) if sizes[i:j].sum()]
+        odds = lambda: np.exp(np.clip(np.bincount(owner, w[feature], len(types)), -LIMIT, LIMIT))
         for _ in range(steps):
-            e = np.exp(np.clip(np.bincount(owner, w[feature], len(types)), -LIMIT, LIMIT))[kind]
-            p, moves = Chain(self.start, self.trans).pair_marginals(e, first)
-            g = np.bincount(feature, (real - np.bincount(kind, p, len(types)))[owner], BUCKETS) - 0.02 * w
+            e, expected, moves, links = odds(), np.zeros(len(types)), np.zeros((2, 2)), Chain(self.start, self.trans)
+            for a, b in parts:
+                p, some = links.pair_marginals(e[kind[a:b]], first[a:b])
+                expected += np.bincount(kind[a:b], p, len(types))
+                moves += some
+            g = np.bincount(feature, (real - expected)[owner], BUCKETS) - 0.02 * w
             squares += g * g
             w += 1.0 * g / np.sqrt(squares)
             self.trans = self.trans + 0.5 * np.clip(np.log((seen + 0.5) / (moves + 0.5)), -0.5, 0.5)
             self.trans -= self.trans[0, 0]
         self.weights = w.astype(np.float32)
-        self._fit_score(texts, np.array(labels, float), share)
-
-    def _fit_score(self, texts: list[str], y: np.ndarray, share: float) -> None:
-        words, starts, p = self.tag(texts)
-        x = self.document_features(np.array([len(v) for v in words]), starts, p)
+        e, links, x = odds(), Chain(self.start, self.trans), []
+        for i, j in blocks(sizes.tolist(), BLOCK_TOKENS):
+            a = starts[i]
+            p = links.marginals(e[kind[a : a + sizes[i:j].sum()]], first[a : a + sizes[i:j].sum()])
+            x.append(self.document_features(sizes[i:j], starts[i:j] - a, p))
+        self._fit_score(np.concatenate(x), np.array(labels, float), share)
+
+    def _fit_score(self, x: np.ndarray, y: np.ndarray, share: float) -> None:
         weight = np.where(y == 1, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6))
         a = np.zeros(3)
         for _ in range(30):  # Newton's method with a small ridge
@@ -213,9 +249,11 @@ class Tagger:
 def toxic_types(types: list[str], kind: np.ndarray, in_toxic: np.ndarray, doc: np.ndarray, level: float) -> np.ndarray:
     """For each word type whether it, or its first 4 or 5 characters, mark toxic tokens."""
     n = len(types) + 1
-    around = np.append(-1, kind[:-1]) * n + np.append(kind[1:], -1)
-    contexts = np.unique(np.stack([kind[in_toxic], around[in_toxic]]), axis=1)[0]  # a type's different contexts in toxic documents
-    clean = np.unique(np.stack([kind[~in_toxic], doc[~in_toxic]]), axis=1)[0]  # its clean documents
+    around = (np.append(-1, kind[:-1]).astype(np.int64) * n + np.append(kind[1:], -1))[in_toxic]
+    different, around = np.unique(around, return_inverse=True)
+    contexts = np.unique(kind[in_toxic] * np.int64(max(1, len(different))) + around) // max(1, len(different))  # a type's different contexts in toxic documents
+    n_docs = np.int64(doc[-1] + 1 if len(doc) else 1)
+    clean = np.unique(kind[~in_toxic] * n_docs + doc[~in_toxic]) // n_docs  # its clean documents
     dirty, fine = np.bincount(contexts, minlength=len(types)).tolist(), np.bincount(clean, minlength=len(types)).tolist()
     in_dirty, in_fine = Counter(), Counter()
     for w, d, f in zip(types, dirty, fine):
@@ -235,8 +273,8 @@ def marks(word: str) -> list[str]:
     return ["w" + word, *("p" + word[:k] for k in (4, 5) if len(word) > k)]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: int = 1000, max_train_bytes: int = 6_000, clean_per_toxic: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    texts, y, share = labelled_sample(docs, labels, label_col, folds, fold, (clean_per_toxic * per_class, per_class), max_train_bytes, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, per_class: int = 1000, clean_per_toxic: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
+    texts, y, share = labelled_sample(docs, labels, label_col, folds, fold, (clean_per_toxic * per_class, per_class), id_col, text_col)
     tagger = Tagger()
     if len(set(y)) < 2:
         tagger.score_weights = np.array([LIMIT if y and y[0] else -LIMIT, 0.0, 0.0])
@@ -256,14 +294,10 @@ def score(docs: DataFrame, tagger: Tagger, folds: int = 3, fold: int = 1, thresh
         own = model.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            words, starts, p = own.tag(texts)
-            sizes = np.array([len(w) for w in words], np.int64)
-            x = own.document_features(sizes, starts, p)
-            found = 1 / (1 + np.exp(-np.clip(x @ own.score_weights, -LIMIT, LIMIT)))
-            hits = np.flatnonzero(p >= span_threshold)
-            spans = [[] for _ in texts]
-            for doc in np.unique(np.searchsorted(starts + sizes, hits, "right")).tolist():
-                spans[doc] = toxic_spans(texts[doc], p[starts[doc] : starts[doc] + sizes[doc]], span_threshold)
+            found, spans = np.zeros(len(texts)), []
+            for i, j in blocks([len(t) for t in texts], BLOCK_BYTES):
+                found[i:j], some = own.scored(texts[i:j], span_threshold)
+                spans += some
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found), pa.array(spans, span_type)], ["doc_id", "score", "spans"])
 
     kind = dict(docs.dtypes)[id_col]
@@ -273,7 +307,7 @@ def score(docs: DataFrame, tagger: Tagger, folds: int = 3, fold: int = 1, thresh
 
 def toxic_spans(text: str, p: np.ndarray, threshold: float) -> list[dict]:
     spans, open_ = [], False
-    for m, x in zip(WORD.finditer(text.lower() if len(text.lower()) == len(text) else text), p.tolist()):
+    for m, x in zip(WORD.finditer(text), p.tolist()):
         if x >= threshold and open_:
             spans[-1]["end"], spans[-1]["p"] = m.end(), max(spans[-1]["p"], x)
         elif x >= threshold:

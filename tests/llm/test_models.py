@@ -134,12 +134,12 @@ def test_disclosing_terms(spark, odd, empty):
     base = {i: brute_base(t) for i, t in enumerate(texts)}
     for i, spans in base.items():
         for a, b, _ in spans:
-            near.update({w for w in re.findall(r"\w+", (texts[i][:a] + " " + texts[i][b:]).lower()) if len(w) >= pii.MIN_TERM and not re.search("[0-9]", w)})
+            near.update(set(re.findall(r"\w+", (texts[i][:a] + " " + texts[i][b:]).lower())))
     strong = {w for w, k in near.items() if k >= 3 and math.log(n * k / (have[w] * 6)) / math.log(n / 6) >= 0.9}
-    assert strong == {"zanzibarish", "speaking", "reply"} & strong and "zanzibarish" in strong and "please" not in strong
+    assert strong == {"zanzibarish", "speaking", "of"} and "please" not in strong  # short words and numbers are terms as well
     for r in pii.detect(df).collect():
         got = {texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in r.spans.split(",") if s.startswith("term")}
-        assert got == (strong & set(re.findall(r"\w+", texts[r.doc_id].lower())) if base[r.doc_id] else set())
+        assert got == strong & set(re.findall(r"\w+", texts[r.doc_id].lower()))
         assert r.n_email == len(base[r.doc_id])
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "[EMAIL]" in clean[0] and "zanzibarish" not in clean[0].lower() and clean[10] == texts[10]
@@ -162,6 +162,54 @@ def test_licenses(spark, odd, empty, docs):
     assert [r.labels for r in rows if r.doc_id == -5] == ["mit"] and licenses.scan(empty).count() == 0
 
 
+def brute_spans(words, templates=licenses.TEMPLATES, coverage=0.8):
+    """Best chain of equal runs of three words and more for each template, over all chains."""
+    best = {}
+    for t, (text, _) in enumerate(templates):
+        w = re.findall(licenses.WORDS, text.translate(str.maketrans(licenses.CAPITALS, licenses.SMALL)))
+        runs = []
+        for i in range(len(words)):
+            for j in range(len(w)):
+                if words[i : i + 1] == w[j : j + 1] and not (i and j and words[i - 1] == w[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(w) and words[i + n] == w[j + n]:
+                        n += 1
+                    if n >= 3:
+                        runs.append((i, j, n))
+        runs.sort()
+        chains = []
+        for i, j, n in runs:
+            chains.append((i, i + n, j + n, n))
+            chains += [(s, i + n, j + n, m + n) for s, e, p, m in chains[:-1] if e <= i and p <= j]
+        best[t] = max((m / (len(w) + e - s - m) for s, e, _, m in chains), default=0.0)
+    return {t: x for t, x in best.items() if x >= coverage}
+
+
+def test_license_spans(spark):
+    import random
+
+    r = random.Random(8)
+    texts = ["this work zz work is zz is licensed zz licensed under zz under a zz a creative zz creative commons zz commons attribution", "this work is licensed under a creative commons attribution"]
+    for _ in range(60):
+        w = re.findall(licenses.WORDS, r.choice(licenses.TEMPLATES)[0].lower())
+        for _ in range(r.choice([0, 1, 2, 4, 8])):
+            k = r.randrange(len(w))
+            w[k : k + r.choice([0, 1, 2])] = [f"x{r.randint(0, 9)}"] * r.choice([0, 1, 1, 2])
+            w = w or ["x"]
+        texts.append(" ".join([f"p{i}" for i in range(r.randint(0, 5))] + w + w[: r.choice([0, 0, 4, len(w)])]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for row in licenses.scan(df).collect():
+        words = re.findall(licenses.WORDS, texts[row.doc_id])
+        found = brute_spans(words)
+        own = {licenses.TEMPLATES[t][1] for t in found}
+        assert set(filter(None, row.labels.split(","))) == own | set(filter(None, row.base_labels.split(","))), texts[row.doc_id]
+        if found and not row.base_labels:
+            assert row.score == pytest.approx(max(found.values()))
+            n += 1
+    assert n > 20
+
+
 def brute_neighbours(rows, k=20):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
     out = {}
@@ -192,11 +240,105 @@ def test_neighbours_of_odd_vectors(spark):
     exact = brute_neighbours([(i, np.float32(v).astype(float)) for i, v in rows])
     assert set(got) == set(exact)
     assert got[120] == exact[120] == [100 + i for i in range(21) if i != 20][:20]
+    short = [(i, [float(i % 7 + 1), 1.0, float(i % 3)]) for i in range(1000, 1060)]  # vectors of another length have their own neighbours
+    both = defaultdict(list)
+    for x in sorted(ann.search(df.unionByName(spark.createDataFrame(short, "vec_id long, embedding array<float>"), allowMissingColumns=True), F.col("id") % 20 == 0).collect(), key=lambda x: (x.query_id, x.rank)):
+        both[x.query_id].append(x.vec_id)
+    assert both == {**got, **brute_neighbours(short)}
     few = ann.search(df.where("vec_id IN (0, 20, 3)"), F.col("id") % 20 == 0).collect()
     assert Counter(x.query_id for x in few) == {0: 2, 20: 2}
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """More than one row and query block a leaf, and leaves that the ball bound rules out."""
+    monkeypatch.setattr(ann, "ROWS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "AT_ONCE", 3)
+    r = np.random.default_rng(1)
+    rows = [(i, (r.standard_normal(6) * 0.1 + 5 * np.eye(6)[i % 6]).tolist()) for i in range(900)] + [(i, [1.0] * 6) for i in range(900, 960)]
+    got = defaultdict(list)
+    for x in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, recall=1.0, leaf_rows=64).collect(), key=lambda x: (x.query_id, x.rank)):
+        got[x.query_id].append(x.vec_id)
+    want = brute_neighbours(rows)
+    assert set(got) == set(want) and sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.99 * 20 * len(want)
+
+
+def test_models_against_plain_versions(spark):
+    """Rows of op4 and op7 recomputed plainly: which rows are learned from, and every score."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["plain", "words", "about", "things", "zorgle" if i % 3 == 0 else "fine", f"n{i}"], 12 if i % 40 else 3000)) for i in range(400)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5])], "doc_id long, text string")
+    y = {i: int(i % 3 == 0) for i in range(402)}
+    rows = [(i, v, v) for i, v in y.items()] + [(7, 1, 1), (8, None, None), (None, 1, 1), (9999, 1, 1), (9, 0, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    conflicts = {**y, 7: 1, 9: 1}
+    fold = lambda i, n: zlib.crc32(str(i).encode()) % n
+    got_texts, got_y, share = quality.labelled_sample(docs, labels, "quality", 4, 2, (1500, 1500))
+    want = [(texts[i] or "", v) for i, v in sorted(conflicts.items()) if fold(i, 4) != 2]
+    assert list(zip(got_texts, got_y)) == want and share == pytest.approx(np.mean([v for _, v in want]))  # long texts are learned from as well
+    few = quality.labelled_sample(docs, labels, "quality", 4, 2, (10, 5))
+    assert sorted(few[1]) == [0] * 10 + [1] * 5 and few[2] == share
+
+    net = quality.train(docs, labels)
+    p = net.p
+
+    def plain_quality(text):
+        data, logits = text.encode(), []
+        n = max(1, -(-(len(data) - (quality.CHUNK - quality.STEP)) // quality.STEP))
+        data += b"\xff" * (quality.STEP * (n - 1) + quality.CHUNK - len(data))
+        for c in range(n):
+            e = p["embed"][np.frombuffer(data[c * quality.STEP : c * quality.STEP + quality.CHUNK], np.uint8)].reshape(quality.CHUNK // 2, -1)
+            y = np.stack([sum(e[i + k] @ p["filters"][:, k] for k in range(quality.PAIRS)) for i in range(len(e) - quality.PAIRS + 1)]).max(0)
+            logits.append(np.tanh(np.maximum(y + p["bias"], 0) @ p["hidden"] + p["hidden_bias"]))
+        h = np.stack(logits)
+        return 1 / (1 + math.exp(-float(np.concatenate([h.max(0), h.mean(0), h.min(0)]) @ p["out"] + p["out_bias"][0])))
+
+    for row in quality.score(docs, net).collect():
+        if row.doc_id % 10 < 3 or row.doc_id >= 400:
+            assert row.score == pytest.approx(plain_quality(texts[row.doc_id] or ""), abs=1e-4) and row.held_out == (fold(row.doc_id, 4) == 2)
+            assert row.predicted == int(row.score >= 0.7)
+
+    tagger = toxicity.train(docs, labels)
+
+    def plain_toxicity(text):
+        words = re.findall(r"\w+", text.lower())
+        if not words:
+            x = [1, -12, 0]
+        else:
+            e = [math.exp(sum(tagger.weights[f] for f in toxicity.features(w))) for w in words]
+            t = np.exp(tagger.trans)
+            a = [np.array([1, math.exp(tagger.start) * e[0]])]
+            for v in e[1:]:
+                a.append(a[-1] @ t * np.array([1, v]))
+                a[-1] = a[-1] / a[-1].sum()
+            b = [np.ones(2)]
+            for v in e[:0:-1]:
+                b.insert(0, t @ (np.array([1, v]) * b[0]))
+                b[0] = b[0] / b[0].sum()
+            m = np.array([f[1] * g[1] / (f @ g) for f, g in zip(a, b)])
+            top = min(max(m.max(), 1e-6), 1 - 1e-6)
+            x = [1, math.log(top / (1 - top)), math.log1p(m[m > 0.1].sum())]
+        return 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, tagger.score_weights))))))
+
+    for row in toxicity.score(docs, tagger).collect():
+        if row.doc_id % 10 < 3 or row.doc_id >= 400:
+            assert row.score == pytest.approx(plain_toxicity(texts[row.doc_id] or ""), abs=1e-5) and row.held_out == (fold(row.doc_id, 3) == 1)
+    for model, score in ((quality.train(docs, labels.limit(0)), quality.score), (toxicity.train(docs, labels.limit(0)), toxicity.score)):
+        assert {x.predicted for x in score(docs, model).collect()} == {0}
+
+
+def test_blocks_of_a_fit_do_not_matter(monkeypatch):
+    texts = [f"some words here {'vorpal blade' if i % 2 else 'calm sea'} number n{i} end" for i in range(80)]
+    whole = toxicity.Tagger()
+    whole.fit(texts, [i % 2 for i in range(80)], 0.5)
+    monkeypatch.setattr(toxicity, "BLOCK_TOKENS", 20)
+    parts = toxicity.Tagger()
+    parts.fit(texts, [i % 2 for i in range(80)], 0.5)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.score_weights, parts.score_weights, atol=1e-4)
+    assert whole.scored(texts, 0.5)[0] == pytest.approx(parts.scored(texts, 0.5)[0], abs=1e-4)
+
+
 def test_terms_at_all_places(spark):
     pad = " ".join(f"common{'abcdefgh'[i % 8]}" for i in range(50))
     texts = [f"mail jo@x.example.com {pad} badge77 Quillfeather {pad} badge77" for _ in range(4)] + [f"{pad} ask Quillfeather"] + [pad] * 2000
