@@ -12,8 +12,9 @@ with the term or the entity, N all documents. At all their places in all documen
 ``generalise`` for some entity are replaced by their kind, those that reach ``remove`` are removed, if the two
 stand together in at least ``support`` documents (a pair seen once tells nothing about either).
 
-n(t) needs all words of the corpus, but only for terms that might disclose; a bitmap of fixed size
-of their hashes keeps the others out of the shuffle.
+n(t) needs all words of the corpus, but only for terms that might disclose: n(t) is at least the number of
+documents with the term and any base match, which rules out most common words before (exactly, as disclosure
+only falls with n(t)). A bitmap of fixed size of the hashes of the others keeps the rest of the corpus out of the shuffle.
 
 A null text counts as empty. Rows with equal id and text get the same spans. Null ids are allowed, and
 empty tables give empty results. Base spans never change or go; terms never overlap them.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finevidence.llm.common import join_groups, materialise, small_batches, whole_text
+from finevidence.llm.common import join_groups, materialise, release, small_batches, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Bits of the terms' bitmap; it fills up as terms grow, and then only lets more words through.
@@ -148,7 +149,7 @@ def _bits(terms: DataFrame):
 
 
 def pair_counts(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, n_both`` over whole texts for the entities in ``entities``."""
+    """``entity, term, n_both`` over whole texts for the entities in ``entities``; entity "" stands for any base match."""
     small_batches(docs.sparkSession)
     bits = _bits(entities.select(F.col("entity").alias("term")))
 
@@ -159,8 +160,8 @@ def pair_counts(docs: DataFrame, entities: DataFrame, text_col: str = "text") ->
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
                 own = [e for e in entities_of(text, spans) if set_[zlib.crc32(e.encode()) % BITS]]
-                terms = {t for t, _, _ in terms_outside(text, spans)} if own else ()
-                for e in own:
+                terms = {t for t, _, _ in terms_outside(text, spans)} if spans else ()
+                for e in ["", *own]:
                     counts.update((e, t) for t in terms)
                     if len(counts) > 200_000:
                         yield flush()
@@ -168,7 +169,31 @@ def pair_counts(docs: DataFrame, entities: DataFrame, text_col: str = "text") ->
         yield flush()
 
     partial = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "entity string, term string, n long")
-    return partial.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(entities, "entity", "left_semi")
+    known = entities.select("entity").unionByName(entities.sparkSession.createDataFrame([("",)], "entity string"))
+    return partial.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(known, "entity", "left_semi")
+
+
+def _disclosure(n: int, n_both: str, n_term: str, n_entity: str):
+    gain = F.log(F.lit(float(max(1, n))) * F.col(n_both) / (F.col(n_term) * F.col(n_entity)))
+    known = F.log(F.lit(float(max(1, n))) / F.col(n_entity))
+    return F.when(known > 0, gain / known).otherwise(0.0)
+
+
+def candidate_pairs(docs: DataFrame, found: DataFrame, least: float, support: int = 3, text_col: str = "text") -> tuple[DataFrame, int]:
+    """``entity, term, n_both, n_entity`` for pairs that stand together in at least ``support`` documents and whose
+    disclosure might be ``least``; and the number of documents."""
+    counted = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = materialise(counted.where(F.col("n_entity") >= support))  # others can't reach it with any term
+    together = materialise(pair_counts(docs, entities, text_col).where(F.col("n_both") >= support))
+    n, total = found.count(), together.count()
+    pairs = together.where("entity <> ''")
+    per_term = pairs.groupBy("term").agg(F.count("*").alias("size")).join(together.where("entity = ''").select("term", F.col("n_both").alias("n_any")), "term")
+    both = join_groups(pairs, per_term, ["term"], "size", total, ["entity"]).drop("size")
+    per_entity = pairs.groupBy("entity").agg(F.count("*").alias("size")).join(entities, "entity")
+    both = join_groups(both, per_entity, ["entity"], "size", total, ["term"])
+    out = materialise(both.where(_disclosure(n, "n_both", "n_any", "n_entity") >= least - 1e-9).select("entity", "term", "n_both", "n_entity"))
+    release(entities, together)
+    return out, n
 
 
 def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -181,13 +206,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
         for b in batches:
             for text in b.column(0).to_pylist():
-                for w in set(_WORD.findall(text.lower())):
-                    if (hit := known.get(w)) is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        hit = known[w] = bool(set_[zlib.crc32(w.encode()) % BITS])
-                    if hit:
-                        counts[w] += 1
+                counts.update(marked_words(text, known, set_))
             if len(counts) > 300_000:
                 yield flush()
                 counts.clear()
@@ -197,42 +216,42 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
     return partial.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = 3, text_col: str = "text") -> DataFrame:
-    """``entity, term, disclosure`` for pairs that stand together in at least ``support`` documents."""
-    counted = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entities = materialise(counted.where(F.col("n_entity") >= support))  # others can't reach it with any term
-    together = materialise(pair_counts(docs, entities, text_col).where(F.col("n_both") >= support))
-    df = document_frequencies(docs, together.select("term").distinct(), text_col)
-    n = found.count()
-    gain = F.log(F.lit(float(max(1, n))) * F.col("n_both") / (F.col("n_docs") * F.col("n_entity")))
-    known = F.log(F.lit(float(max(1, n))) / F.col("n_entity"))
-    total = together.count()
-    per_term = together.groupBy("term").agg(F.count("*").alias("size")).join(df, "term")
-    per_entity = together.groupBy("entity").agg(F.count("*").alias("size")).join(entities, "entity")
-    both = join_groups(together, per_term, ["term"], "size", total, ["entity"]).drop("size")
-    both = join_groups(both, per_entity, ["entity"], "size", total, ["term"])
-    return both.select("entity", "term", F.when(known > 0, gain / known).otherwise(0.0).alias("disclosure"))
+def marked_words(text: str, known: dict[str, bool], bits: np.ndarray) -> list[str]:
+    """The different words of a text whose bits are set; ``known`` keeps what was looked up."""
+    words = set(_WORD.findall(text.lower()))
+    if len(known) > 300_000:
+        known.clear()
+    known.update((w, bool(bits[zlib.crc32(w.encode()) % BITS])) for w in words.difference(known))
+    return list(filter(known.__getitem__, words))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_key, version, terms array<struct<start, end, disclosure>>`` for each distinct (id, text) with any."""
-    strong = disclosures(docs, found, support, text_col).where(F.col("disclosure") >= generalise)
-    strong = materialise(strong.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
-    bits = _bits(strong)
+def term_places(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_key, version, term, start, end`` for the places of ``terms`` outside base spans, and of the few others
+    that their bitmap doesn't tell from them."""
+    bits = _bits(terms)
 
     def run(batches):
-        set_ = bits.value
+        set_, known = bits.value, {}
         for b in batches:
             rows: list[tuple] = []
             for key, version, text in zip(*(c.to_pylist() for c in b.columns)):
-                if any(set_[zlib.crc32(w.encode()) % BITS] for w in set(_WORD.findall(text.lower()))):
+                if marked_words(text, known, set_):
                     rows += [(key, version, *x) for x in terms_outside(text, base_spans(text)) if set_[zlib.crc32(x[0].encode()) % BITS]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["id_key", "version", "term", "start", "end"])
 
-    places = docs.select(*_rows(docs, id_col, text_col)[1:]).mapInArrow(run, "id_key string, version long, term string, start int, end int")
-    places = materialise(places)
-    per_term = places.groupBy("term").agg(F.count("*").alias("size")).join(strong, "term")
-    hits = join_groups(places, per_term, ["term"], "size", places.count(), ["id_key", "version"])
+    return docs.select(*_rows(docs, id_col, text_col)[1:]).mapInArrow(run, "id_key string, version long, term string, start int, end int")
+
+
+def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_key, version, terms array<struct<start, end, disclosure>>`` for each distinct (id, text) with any."""
+    pairs, n = candidate_pairs(docs, found, generalise, support, text_col)
+    frequencies = materialise(document_frequencies(docs, pairs.select("term").distinct(), text_col))
+    per_term = pairs.groupBy("term").agg(F.count("*").alias("size")).join(frequencies, "term")
+    judged = join_groups(pairs, per_term, ["term"], "size", pairs.count(), ["entity"]).withColumn("disclosure", _disclosure(n, "n_both", "n_docs", "n_entity"))
+    strong = materialise(judged.where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    places = materialise(term_places(docs, strong, id_col, text_col))
+    per_term = strong.join(places.groupBy("term").agg(F.count("*").alias("places")), "term")
+    hits = join_groups(places, per_term, ["term"], "places", places.count(), ["id_key", "version"])
     return hits.groupBy("id_key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 
