@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accented Latin letters and their plain forms, in the same order.
-ACCENTED = "áàâäãåāăąçćčďéèêëēėęěíìîïīįñńňóòôöõōőřšśťúùûüūůűýÿžźż"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorsstuuuuuuuyyzzz"
 # Spanish stop words, without accents.
 STOP_WORDS = (
     "a al algo ante como con cual cuando de del desde donde el ella ellas ello ellos en entre era es esa esas ese eso esos esta "
@@ -19,9 +19,28 @@ STOP_WORDS = (
 CHUNK_CHARS, OVERLAP_CHARS, PAGE_BUDGET = 1000, 150, 300_000
 
 
+@functools.cache
+def plain_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition (NFKD) without marks is one other character, those characters in
+    the same order, and the decompositions of several characters. Hangul syllables stay whole."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if unicodedata.decomposition(c) and not "가" <= c <= "힣":
+            d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if d != c:
+                (one if len(d) == 1 else several)[c] = d
+    return "".join(one), "".join(one.values()), {c: d for c, d in several.items() if d}
+
+
 def fold(c: Column | str) -> Column:
-    """Lower case without accents or combining marks."""
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{M}", "")
+    """Lower case, every character in its plain compatibility form (ligatures and digits too), no combining marks."""
+    one, plain, several = plain_forms()
+    low = F.lower(c)
+    forms = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    some = "[" + "".join(several) + "]"
+    met = F.array_distinct(F.regexp_extract_all(low, F.lit(some), F.lit(0)))
+    whole = F.when(low.rlike(some), F.aggregate(met, low, lambda t, x: F.replace(t, x, forms[x]))).otherwise(low)
+    return F.regexp_replace(F.translate(whole, one, plain), r"\p{M}", "")
 
 
 def one_line(c: Column | str) -> Column:

@@ -45,34 +45,40 @@ AT_START = [
 ]
 
 
-def matches(sentence: Column) -> Column:
+#: What a sentence, or a text with one, must hold to match anything; also where a start pattern isn't at its start.
+ANY = "|".join([*ANYWHERE, *(p.replace("^", r"\b", 1) for p in AT_START)])
+
+
+def matches(folded: Column) -> Column:
     """``array<string>``: what a sentence says that it shouldn't, on its normalised form."""
-    s = F.trim(X.visible(sentence))
-    macro = s.rlike(MACRO) & ~s.rlike(SECURITY)
-    every = [F.regexp_extract_all(s, F.lit(p), F.lit(0)) for p in [*ANYWHERE, *AT_START]]
-    return F.filter(F.concat(*every), lambda m: ~(m.rlike(TARGET_PRICE) & macro))
+    macro = folded.rlike(MACRO) & ~folded.rlike(SECURITY)
+    every = [F.regexp_extract_all(folded, F.lit(p), F.lit(0)) for p in [*ANYWHERE, *AT_START]]
+    found = F.filter(F.concat(*every), lambda m: ~(m.rlike(TARGET_PRICE) & macro))
+    return F.when(folded.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
 
 
-def sentence_table(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``*keys, nth, sentence, matches``."""
-    s = texts.select(*keys, F.posexplode(X.sentences(text)).alias("nth", "sentence"))
-    return s.withColumn("matches", matches(F.col("sentence")))
+def judged(text: str) -> Column:
+    """``array<struct<s, matches>>`` of a text's sentences; each is normalised once, and texts that hold nothing of
+    the kind aren't split."""
+    folded = F.transform(X.sentences(text), lambda s: F.struct(s.alias("s"), F.trim(X.visible(s)).alias("folded")))
+    each = F.transform(folded, lambda x: F.struct(x["s"].alias("s"), matches(x["folded"]).alias("matches")))
+    return F.when(X.visible(text).rlike(ANY), each)
 
 
 def violations(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``*keys, nth, match``: one row a match."""
-    return sentence_table(texts, keys, text).select(*keys, "nth", F.explode("matches").alias("match"))
+    s = texts.select(*keys, F.posexplode(judged(text)).alias("nth", "x"))
+    return s.select(*keys, "nth", F.explode("x.matches").alias("match"))
 
 
 def clean(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``*keys, clean, removed``: a text without its offending sentences, the notice where none is left;
     texts without an offence stay exactly as they are, so do blank ones. Works within each row."""
-    judged = F.transform(X.sentences(text), lambda s: F.struct(F.trim(s).alias("s"), F.size(matches(s)).alias("n")))
-    t = texts.select(*keys, F.col(text).alias("original"), judged.alias("judged"))
-    kept = F.transform(F.filter("judged", lambda x: x["n"] == 0), lambda x: x["s"])
-    removed = F.aggregate("judged", F.lit(0), lambda a, x: a + x["n"])
-    shown = F.when(F.coalesce(removed, F.lit(0)) == 0, F.col("original")).when(F.size(kept) == 0, NOTICE).otherwise(F.array_join(kept, " "))
-    return t.select(*keys, shown.alias("clean"), F.coalesce(removed, F.lit(0)).cast("bigint").alias("removed"))
+    t = texts.select(*keys, F.col(text).alias("original"), judged(text).alias("judged"))
+    kept = F.transform(F.filter("judged", lambda x: F.size(x["matches"]) == 0), lambda x: F.trim(x["s"]))
+    removed = F.coalesce(F.aggregate("judged", F.lit(0), lambda a, x: a + F.size(x["matches"])), F.lit(0))
+    shown = F.when(removed == 0, F.col("original")).when(F.size(kept) == 0, NOTICE).otherwise(F.array_join(kept, " "))
+    return t.select(*keys, shown.alias("clean"), removed.cast("bigint").alias("removed"))
 
 
 def sanitise_report(fields: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ rounding to 12 decimals, so that float noise doesn't reorder equal scores.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +87,11 @@ def semantic(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFram
     """``query_id, *keys, score, rank`` of all chunks by cosine. corpus: keys, vector; queries: query_id, vector."""
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     own = queries.select("query_id", unit("vector").alias("q"))
-    if own.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        own = F.broadcast(own)
-    pairs = corpus.select(*keys, unit("vector").alias("v")).join(own, F.size("v") == F.size("q"))
+    n = max(1, -(-own.count() // BROADCAST_QUERIES))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    sides = corpus.select(*keys, unit("vector").alias("v"))
+    slices = [sides.join(F.broadcast(own.where(part == i)), F.size("v") == F.size("q")) for i in range(n)]  # about BROADCAST_QUERIES rows each
+    pairs = reduce(DataFrame.unionByName, slices)
     return ranked(pairs.select("query_id", *keys, dot.alias("score")), keys)
 
 

@@ -71,13 +71,13 @@ def latest(updates: DataFrame) -> DataFrame:
     return updates.groupBy("run_id").agg(F.max_by(F.struct("running", "done", "stuck"), "events").alias("s"), F.max("events").alias("events")).select("run_id", "events", "s.running", "s.done")
 
 
-def replay(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Run the stream over the landed event files and return the last state of each run. ``folder`` is
-    shared by driver and executors."""
+def replay(spark: SparkSession, sf_dir: str, folder: str, silence_ms: int = 0, files_a_batch: int = 1000) -> DataFrame:
+    """Run the stream over the landed event files (one file, or a folder of parts) and return the last state of
+    each run. ``folder`` is shared by driver and executors. A batch that is tried again replaces what it wrote."""
     base = f"{folder}/{uuid.uuid4().hex}"
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = live_state(step_events(raw))
-    write = lambda df, _: df.write.mode("append").parquet(f"{base}/updates")
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_batch).option("latestFirst", "false").parquet(f"{sf_dir}/events.parquet*")
+    out = live_state(step_events(raw), silence_ms)
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/updates/batch={batch}")
     q = out.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return latest(spark.read.schema(OUT).parquet(f"{base}/updates"))
+    return latest(spark.read.schema(OUT).option("recursiveFileLookup", "true").parquet(f"{base}/updates"))

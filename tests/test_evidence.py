@@ -57,10 +57,27 @@ def test_clean_keeps_the_rest(spark):
     assert got == {1: "Sales rose. Margins fell.", 2: "  Quiet  text\n", 3: compliance.NOTICE, 4: None}
 
 
-def test_chart_claims():
-    kinds = [(c["kind"], c["zone"]) for c in chart_claims.claims("Soporte en 58.000 - 60.000 y precio de 63k. RSI 14 en 55. Sube 3 %. 12 velas. El 2026-04-06 cae.")]
-    assert kinds[0] == ("level", True) and ("level", False) in kinds and len(kinds) == 2
-    assert chart_claims.claims("Volumen: 120K y 100K") == []
+def test_chart_claims(spark):
+    texts = ["Soporte en 58.000 - 60.000 y precio de 63k. RSI 14 en 55. Sube 3 %. 12 velas. El 2026-04-06 cae.", "Volumen: 120K y 100K", "Soporte 10,5 a 11 y 12 - 13,25 - 14. Precio 99", "En mayo de 2024 cierra en 2024,5", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in chart_claims.price_claims(df, ["id"]).orderBy("id", "nth").collect():
+        got.setdefault(r.id, []).append((r.kind, r.zone, r.token, list(r["values"])))
+    assert [x[:2] for x in got[0]] == [("level", True), ("level", False)] and 1 not in got and 4 not in got
+    assert got[0][0][2:] == ("58.000 - 60.000", [58000.0, 60000.0]) and got[0][1][3] == [63000.0]
+    assert got[2] == [("level", True, "10,5 - 11", [10.5, 11.0]), ("level", True, "12 - 13,25", [12.0, 13.25]), ("level", False, "14", [14.0]), ("price", False, "99", [99.0])]
+    assert got[3] == [("price", False, "2024,5", [2024.5])]
+
+
+def test_fold(spark):
+    import unicodedata
+
+    text = "ğ ọ ά ﬁ ² Ǆ … É İ 한국 ½ Ａ 𝐀 o\u0301 ẛ̣ plain ø"
+    want = "".join(c for c in unicodedata.normalize("NFKD", text.replace("한국", "").lower()) if not unicodedata.combining(c))
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    assert [r.f and r.f.replace("한국", "") for r in df.select(X.fold("text").alias("f")).collect()] == [want, None, ""]
+    hidden = spark.createDataFrame([(1, "Ｓtrong ｂuy."), (2, "You should buy this ﬁne stock. Sales rose.")], "id int, text string")
+    assert {r.id: r.clean for r in compliance.clean(hidden, ["id"]).collect()} == {1: compliance.NOTICE, 2: "Sales rose."}
 
 
 def test_filings(spark):
@@ -119,3 +136,20 @@ def test_long_conversations_stay_whole(spark):
     rows = [(1, k, "user", f"turn {k} " + "x" * 500) for k in range(40)]
     got = retrieval.conversation_context(spark.createDataFrame(rows[::-1], "conv_id long, turn int, role string, text string")).first()
     assert got.turns == 40 and got.context == "\n".join(f"{r}: {t}" for _, _, r, t in rows)
+
+
+def test_replay_of_a_folder_of_files(spark, tmp_path):
+    """Several files, in order and with late, repeated and silent events."""
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    rows = [[(2, at(0), 1, "load", 1.0, "{}"), (4, at(0), 2, "load", 1.0, "{}")], [(3, at(0.5), 1, "load", 1.0, "{}"), (2, at(0), 1, "load", 1.0, "{}")], [(6, at(9), 3, "load", 1.0, "{}")], [(12, at(9.05), 4, "load", 1.0, "{}")], [(8, at(1), 2, "rank", 1.0, "{}"), (10, at(9.1), 3, "rank", 1.0, "{}")]]
+    for name, batch in (("one", 1000), ("each", 1)):
+        for i, part in enumerate(rows):
+            df = spark.createDataFrame(part, steps.EVENTS).coalesce(1)
+            df.write.mode("append").parquet(f"{tmp_path}/{name}/events.parquet")
+        got = {r.run_id: (r.events, r.running, r.done) for r in steps.replay(spark, f"{tmp_path}/{name}", f"file://{tmp_path}/{name}-out", files_a_batch=batch).collect()}
+        late = (1, "load", "") if batch == 1 else (2, "load,rank", "")  # eight hours behind the watermark of the batch before last
+        assert got == {1: (2, "", "load"), 2: late, 3: (2, "load,rank", ""), 4: (1, "load", "")}, name
+    stuck = steps.replay(spark, f"{tmp_path}/each", f"file://{tmp_path}/stuck", silence_ms=3_600_000, files_a_batch=1)
+    assert {r.run_id for r in stuck.collect()} == {1, 2, 3, 4}
