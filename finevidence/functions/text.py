@@ -37,9 +37,9 @@ def fold(c: Column | str) -> Column:
     one, plain, several = plain_forms()
     low = F.lower(c)
     forms = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
-    some = "[" + "".join(several) + "]"
-    met = F.array_distinct(F.regexp_extract_all(low, F.lit(some), F.lit(0)))
-    whole = F.when(low.rlike(some), F.aggregate(met, low, lambda t, x: F.replace(t, x, forms[x]))).otherwise(low)
+    met = F.array_intersect(F.split(low, ""), F.array(*map(F.lit, several)))
+    # most texts hold no character of the ranges in which all of these are
+    whole = F.when(low.rlike(r"[\x{A8}-\x{BE}\x{132}-\x{10FFFF}]"), F.aggregate(met, low, lambda t, x: F.replace(t, x, forms[x]))).otherwise(low)
     return F.regexp_replace(F.translate(whole, one, plain), r"\p{M}", "")
 
 
