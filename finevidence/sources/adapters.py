@@ -62,6 +62,8 @@ def clean(c: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder of this machine where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder for a session on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "file://" + tempfile.mkdtemp(prefix="shared-", dir=os.environ.get("TMPDIR", "/tmp"))
