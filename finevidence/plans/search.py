@@ -224,7 +224,7 @@ ORACLE_SQL = {
     "r15_fallback": f"""WITH {_PAGES} SELECT doc_id AS query_id, page, 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM lines)
       WHERE nth <= 4 AND doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "r16_j09_vector_mismatches": "SELECT doc_id, 'vector' AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'chunk' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
-    "r20_conversation_context": "SELECT conv_id, count(*) AS turns, md5(left(string_agg(concat(role, ': ', coalesce(text, '(none)')), chr(10) ORDER BY turn), 8000)) AS context_md5 FROM conversations GROUP BY 1",
+    "r20_conversation_context": "SELECT conv_id, count(*) AS turns, md5(string_agg(concat(role, ': ', coalesce(text, '(none)')), chr(10) ORDER BY turn)) AS context_md5 FROM conversations GROUP BY 1",
     "x01_fold": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",
     "x03_sentences": r"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (
       SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', concat('\1', chr(10)), 'g'), '\n+'), lambda x: trim(x) <> '') AS s FROM documents)""",
