@@ -79,9 +79,9 @@ def t09_fact_sheet(spark, sf_dir):
 
 
 def s09_csv_bars(spark, sf_dir):
-    """One symbol's bars written as CSV and read again, by the header's names."""
+    """All symbols' bars written as CSV and read again, by the header's names."""
     path = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
-    payloads.write_bars_csv(A.order_bars(spark, sf_dir).where("symbol = '1-URGENT'"), path)
+    payloads.write_bars_csv(A.order_bars(spark, sf_dir), path)
     return payloads.read_bars_csv(spark, path)
 
 
@@ -197,7 +197,7 @@ ORACLE_SQL = {
              CASE WHEN rsi14 > 70 THEN 'overbought' WHEN rsi14 < 30 THEN 'oversold' WHEN rsi14 IS NOT NULL THEN 'neutral' END AS rsi_zone,
              round(last_close / range_low - 1, 6) AS above_low, round(1 - last_close / range_high, 6) AS below_high, round((last_close - range_low) / (range_high - range_low), 6) AS range_position
       FROM tech""",
-    "s09_csv_bars": f"WITH {_ORDER} SELECT day AS fecha, o AS open, h AS high, l AS low, c AS close, v AS volume FROM bars WHERE symbol = '1-URGENT'",
+    "s09_csv_bars": f"WITH {_ORDER} SELECT day AS fecha, o AS open, h AS high, l AS low, c AS close, v AS volume FROM bars",
     "p01_look_back": f"WITH {_LINE} SELECT symbol, day, round(c, 6) AS c FROM (SELECT *, max(day) OVER (PARTITION BY symbol) AS newest FROM bars) WHERE day >= newest - 183",
     "p02_history_gate": f"WITH {_LINE} SELECT symbol, count(*) AS n_bars FROM bars GROUP BY 1 HAVING count(*) < 550",
     "u02_known_levels": f"""WITH {_LINE}, {_SERIES}, {_SCALAR_SQL}, {_PIVOTS}, {_LEVELS}
