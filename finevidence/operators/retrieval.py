@@ -1,12 +1,13 @@
 """Chunks, TF-IDF, vector and hybrid ranking for many queries at once.
 
-Lexical scores come from an equi-join on terms that is summed per (query, chunk) on the map side;
-semantic scores from a query set of checked size sent to every chunk. Ranks break ties by chunk order, after
+Queries are sent to the chunks in slices of a counted size, and a chunk's scores are made where it is; of them
+only the best of each task are shuffled. Ranks break ties by chunk order, after
 rounding to 12 decimals, so that float noise doesn't reorder equal scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,8 @@ from finevidence.functions import text as X
 
 # Damping of reciprocal ranks, results, reserved semantic results, transcript limit.
 RRF_K, TOP_K, FLOOR, TRANSCRIPT = 60, 8, 3, 8000
-#: Queries with vectors that are broadcast; more are joined in slices of this many.
-BROADCAST_QUERIES = 2000
+#: Queries, and terms of queries, that are broadcast at once; more are joined in slices of about this many.
+BROADCAST_QUERIES, BROADCAST_TERMS = 1000, 1_000_000
 
 
 def page_budget(pages: DataFrame, budget: int = X.PAGE_BUDGET) -> DataFrame:
@@ -52,19 +53,33 @@ def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def tf_idf(counts: DataFrame, n: DataFrame, df: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
     """``*keys, term, weight``: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), of unit length per key. n and df
-    are per ``scope`` (one document, or nothing for the whole corpus)."""
+    are per ``scope`` (one document, or nothing for the whole corpus). Rows stay partitioned by key."""
     idf = df.join(n, scope) if scope else df.crossJoin(F.broadcast(n))  # one row
     idf = idf.select(*scope, "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = counts.join(idf, [*scope, "term"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norms = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return w.select(*keys, "term", (F.col("w") / norm).alias("weight"))
+
+
+def lexical_scores(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str]) -> DataFrame:
+    """``query_id, *keys, score``: chunks with a positive cosine. The queries' weights are sent to the chunks in
+    slices of a counted size, so a frequent term is no hot key, and a chunk's scores are summed where it is."""
+    out = []
+    for part in slices(query_weights.select("query_id", "term", F.col("weight").alias("qw")), BROADCAST_TERMS):
+        out.append(chunk_weights.join(F.broadcast(part), "term").groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("qw")).alias("score")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def slices(rows: DataFrame, most: int) -> list[DataFrame]:
+    """``rows`` by query in parts of about ``most`` rows each."""
+    n = max(1, -(-rows.count() // most))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return [rows.where(part == i) for i in range(n)] if n > 1 else [rows]
 
 
 def lexical(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str]) -> DataFrame:
     """``query_id, *keys, score, rank``: chunks with a positive cosine, best first."""
-    q = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
-    scores = chunk_weights.join(q, "term").groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-    return ranked(scores, keys)
+    return ranked(lexical_scores(chunk_weights, query_weights, keys), keys)
 
 
 def ranked(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,30 +98,71 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def semantic(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """``query_id, *keys, score, rank`` of all chunks by cosine. corpus: keys, vector; queries: query_id, vector."""
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    own = queries.select("query_id", unit("vector").alias("q"))
-    n = max(1, -(-own.count() // BROADCAST_QUERIES))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def semantic_scores(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """``query_id, *keys, score`` of all chunks by cosine. corpus: keys, vector; queries: query_id, vector, sent to
+    the chunks in slices of a counted size."""
     sides = corpus.select(*keys, unit("vector").alias("v"))
-    slices = [sides.join(F.broadcast(own.where(part == i)), F.size("v") == F.size("q")) for i in range(n)]  # about BROADCAST_QUERIES rows each
-    pairs = reduce(DataFrame.unionByName, slices)
-    return ranked(pairs.select("query_id", *keys, dot.alias("score")), keys)
+    own = slices(queries.select("query_id", unit("vector").alias("q")), BROADCAST_QUERIES)
+    pairs = reduce(DataFrame.unionByName, [sides.join(F.broadcast(q), F.size("v") == F.size("q")) for q in own])
+    return pairs.select("query_id", *keys, _dot("v", "q").alias("score"))
+
+
+def semantic(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """``query_id, *keys, score, rank`` of all chunks by cosine, best first."""
+    return ranked(semantic_scores(corpus, queries, keys), keys)
+
+
+def positions(scores: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """``query_id, *keys, score, rank``: the rank that ``chosen`` rows (query_id, keys, score; few a query) have among
+    all scores. The others are only counted by the first chosen row that they stand before, never sorted."""
+    order = F.struct((-F.round("score", 12)).alias("s"), *keys)
+    within = Window.partitionBy("query_id").orderBy("o")
+    mine = chosen.select("query_id", *keys, "score", order.alias("o")).withColumn("nth", F.row_number().over(within))
+    listed = mine.groupBy("query_id").agg(F.array_sort(F.collect_list("o")).alias("list"))
+    others = scores.join(F.broadcast(chosen.select("query_id", *keys)), ["query_id", *keys], "left_anti").select("query_id", order.alias("o"))
+    met = others.join(F.broadcast(listed), "query_id").where(F.col("o") < F.element_at("list", -1))
+    counted = met.select("query_id", (1 + F.size(F.filter("list", lambda w: w < F.col("o")))).alias("nth")).groupBy("query_id", "nth").agg(F.count("*").alias("n"))
+    before = F.sum(F.coalesce("n", F.lit(0))).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return mine.join(counted, ["query_id", "nth"], "left").select("query_id", *keys, "score", (F.col("nth") + before).alias("rank"))
 
 
 def fuse(rankings: list[tuple[DataFrame, Column]], keys: list[str]) -> DataFrame:
     """``query_id, *keys, fused``: weighted reciprocal ranks over all rankings."""
     parts = [r.select("query_id", *keys, (w / (RRF_K + F.col("rank"))).alias("part")) for r, w in rankings]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("query_id", *keys).agg(F.sum("part").alias("fused"))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", *keys).agg(F.sum("part").alias("fused"))
+
+
+def candidate_ranks(chunk_weights: DataFrame, query_weights: DataFrame, corpus: DataFrame, queries: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame], k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+    """Lexical and semantic ranks of all chunks that can be among the k best of both together.
+
+    The k-th best fused score is at least 1 / (RRF_K + k), as the k semantically best have it (a query without a
+    vector has one ranking alone), and weights are at most 1, so a chunk after rank RRF_K + 2k in both rankings
+    can't reach it. Those up to it in either are taken, and their ranks in the other are counted exactly. Queries
+    are taken in slices, so what is sent to the chunks is bounded. ``keep`` writes a table that is read again."""
+    deep, lexes, sems = RRF_K + 2 * k, [], []
+    asked = query_weights.select("query_id").union(queries.select("query_id")).distinct()
+    for part in slices(keep(asked), BROADCAST_QUERIES):
+        qw, qv = query_weights.join(F.broadcast(part), "query_id", "left_semi"), queries.join(F.broadcast(part), "query_id", "left_semi")
+        lex, sem = lexical_scores(chunk_weights, qw, keys), semantic_scores(corpus, qv, keys)
+        top = [keep(ranked(x, keys).where(F.col("rank") <= deep)) for x in (lex, sem)]
+        both = keep(reduce(DataFrame.union, [t.select("query_id", *keys) for t in top]).distinct())
+        late = [both.join(t, ["query_id", *keys], "left_anti") for t in top]
+        in_lex = late[0].join(chunk_weights, keys).join(qw.withColumnRenamed("weight", "qw"), ["query_id", "term"]).groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+        in_sem = late[1].join(corpus.select(*keys, unit("vector").alias("v")), keys).join(qv.select("query_id", unit("vector").alias("q")), "query_id").where(F.size("v") == F.size("q")).select("query_id", *keys, _dot("v", "q").alias("score"))
+        for out, scores, best, own in ((lexes, lex, top[0], in_lex), (sems, sem, top[1], in_sem)):
+            chosen = keep(best.drop("rank").unionByName(own))
+            out.append(positions(scores, chosen, keys))
+    return reduce(DataFrame.unionByName, lexes), reduce(DataFrame.unionByName, sems)
 
 
 def hybrid(lex: DataFrame, sem: DataFrame, cover: DataFrame, keys: list[str], k: int = TOP_K, floor: int = FLOOR) -> DataFrame:
     """``query_id, *keys, score, rank, mode``: the k best fused chunks with at least ``floor`` of the
-    semantically best. Queries without a semantic ranking degrade to their lexical hits."""
+    semantically best. Queries without a semantic ranking degrade to their lexical hits. Whole rankings, or those
+    of ``candidate_ranks``, which give the same."""
     weighted = lex.join(cover, "query_id")
     fused = fuse([(weighted, F.col("coverage")), (sem, F.lit(1.0))], keys)
     reserved = sem.where(F.col("rank") <= floor).select("query_id", *keys, F.lit(1).alias("reserved"))

@@ -47,11 +47,16 @@ def r05_tokens(spark, sf_dir):
 
 def _corpus_weights(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    counts = Q.term_counts(p, KEYS)
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = p.agg(F.count("*").alias("n"))
     queries = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return Q.tf_idf(counts, n, df, KEYS, []), Q.tf_idf(Q.term_counts(queries, ["query_id"]), n, df, ["query_id"], []), df, queries
+    return *_weighted(p, KEYS, queries), queries
+
+
+def _weighted(texts, keys, queries):
+    """Term weights of texts and queries, and document frequencies; terms are counted once."""
+    counts = A.kept(Q.term_counts(texts, keys))
+    df = A.kept(counts.groupBy("term").agg(F.count("*").alias("df")))
+    n = texts.agg(F.count("*").alias("n"))
+    return Q.tf_idf(counts, n, df, keys, []), A.kept(Q.tf_idf(Q.term_counts(queries, ["query_id"]), n, df, ["query_id"], [])), df
 
 
 def r06_tf_idf(spark, sf_dir):
@@ -77,10 +82,10 @@ def _vectors(spark, sf_dir):
     return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
-def _queries(spark, sf_dir, n=10):
-    """The first line of the first documents as queries, with their vectors."""
-    v = _vectors(spark, sf_dir).where(F.col("doc_id") < n)
-    d = A.table(spark, sf_dir, "documents").where(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+def _queries(spark, sf_dir):
+    """Every twentieth document as a query with its whole text, and those of them that have a vector."""
+    v = _vectors(spark, sf_dir).where("doc_id % 20 = 0")
+    d = A.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return d, v.select(F.col("doc_id").alias("query_id"), "vector")
 
 
@@ -91,23 +96,21 @@ def r10_r11_semantic_top(spark, sf_dir):
 
 def _hybrid_parts(spark, sf_dir):
     texts, vectors = _queries(spark, sf_dir)
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = Q.term_counts(docs, ["doc_id"])
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    lex = Q.lexical(Q.tf_idf(counts, n, df, ["doc_id"], []), Q.tf_idf(Q.term_counts(texts, ["query_id"]), n, df, ["query_id"], []), ["doc_id"])
-    cover = Q.coverage(texts.select("query_id", F.explode_outer(X.words("text")).alias("term")), df)
-    return lex, Q.semantic(_vectors(spark, sf_dir), vectors.where("query_id % 2 = 0"), ["doc_id"]), cover
+    chunks, asked, df = _weighted(A.table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], texts)
+    lex, sem = Q.candidate_ranks(chunks, asked, _vectors(spark, sf_dir), vectors, ["doc_id"], A.kept)
+    return A.kept(lex), A.kept(sem), Q.coverage(texts.select("query_id", F.explode_outer(X.words("text")).alias("term")), df)
 
 
 def r12_r14_hybrid_top(spark, sf_dir):
-    """Every other query has a vector; the others degrade to lexical search."""
+    """Queries without a vector degrade to lexical search."""
     return Q.hybrid(*_hybrid_parts(spark, sf_dir), ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), A.clean("rank").alias("rank"), "mode")
 
 
 def r12_rrf(spark, sf_dir):
+    """The best by fused reciprocal ranks alone, of queries that have a vector."""
     lex, sem, cover = _hybrid_parts(spark, sf_dir)
-    return Q.fuse([(lex.join(cover, "query_id"), F.col("coverage")), (sem, F.lit(1.0))], ["doc_id"]).select("query_id", "doc_id", F.round("fused", 8).alias("fused"))
+    fused = Q.fuse([(lex.join(cover, "query_id"), F.col("coverage")), (sem, F.lit(1.0))], ["doc_id"]).join(sem.select("query_id").distinct(), "query_id", "left_semi")
+    return Q.ranked(fused.withColumnRenamed("fused", "score"), ["doc_id"]).where(F.col("rank") <= Q.TOP_K).select("query_id", "doc_id", F.round("score", 8).alias("fused"), A.clean("rank").alias("rank"))
 
 
 def r15_fallback(spark, sf_dir):
@@ -191,11 +194,11 @@ def _lexical(src: str, keys: str) -> str:
 
 
 _ASKED = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
-_OWN = "asked AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS text FROM documents WHERE doc_id < 10)"
+_OWN = "asked AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 20 = 0)"
 _UNIT = "vectors AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / CASE WHEN nn = 0 THEN 1 ELSE nn END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS nn FROM embeddings))"
 _SEM = """sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM (
-      SELECT q.doc_id AS query_id, c.doc_id, list_inner_product(c.v, q.v) AS score FROM vectors c, vectors q WHERE q.doc_id < 10{}))"""
-_HYBRID = f"""{_OWN}, {_lexical('documents', 'doc_id')}, {_UNIT}, {_SEM.format(' AND q.doc_id % 2 = 0')},
+      SELECT q.doc_id AS query_id, c.doc_id, list_inner_product(c.v, q.v) AS score FROM vectors c, vectors q WHERE q.doc_id % 20 = 0))"""
+_HYBRID = f"""{_OWN}, {_lexical('documents', 'doc_id')}, {_UNIT}, {_SEM},
       cover AS (SELECT query_id, coalesce(avg(CASE WHEN term IS NULL THEN NULL WHEN df IS NULL THEN 0.0 ELSE 1.0 END), 0) AS coverage
                 FROM (SELECT DISTINCT query_id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS term FROM (SELECT query_id, {_words('text')} AS w FROM asked)) LEFT JOIN dfs USING (term) GROUP BY query_id),
       fused AS (SELECT query_id, doc_id, sum(part) AS fused FROM (SELECT query_id, doc_id, coverage / (60 + rank) AS part FROM lex JOIN cover USING (query_id)
@@ -215,10 +218,11 @@ ORACLE_SQL = {
     "r07_r09_lexical_top": f"WITH {_PAGES}, {_ASKED}, {_lexical('lines', 'doc_id, page')} SELECT query_id, doc_id, page, round(score, 6) AS score, rank FROM lex WHERE rank <= 8",
     "r08_coverage": f"""WITH {_PAGES}, {_ASKED}, dfs AS (SELECT DISTINCT term FROM {_terms('lines', 'doc_id, page')})
       SELECT query_id, round(avg(CASE WHEN d.term IS NULL THEN 0.0 ELSE 1.0 END), 6) AS coverage FROM (SELECT DISTINCT query_id, unnest({_words('text')}) AS term FROM asked) a LEFT JOIN dfs d USING (term) GROUP BY 1""",
-    "r10_r11_semantic_top": f"WITH {_UNIT}, {_SEM.format('')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sem WHERE rank <= 50",
-    "r12_rrf": f"WITH {_HYBRID} SELECT query_id, doc_id, round(fused, 8) AS fused FROM fused",
-    "r12_r14_hybrid_top": f"""WITH {_HYBRID}, c AS (SELECT f.query_id, f.doc_id, CASE WHEN f.query_id % 2 = 0 THEN fused ELSE lex.score END AS score, CASE WHEN f.query_id % 2 = 0 THEN 'hybrid' ELSE 'lexical' END AS mode,
-        coalesce(sem.rank <= 3, false) AS reserved FROM fused f LEFT JOIN lex USING (query_id, doc_id) LEFT JOIN sem USING (query_id, doc_id)),
+    "r10_r11_semantic_top": f"WITH {_UNIT}, {_SEM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sem WHERE rank <= 50",
+    "r12_rrf": f"""WITH {_HYBRID} SELECT query_id, doc_id, round(fused, 8) AS fused, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id) AS rank FROM fused WHERE query_id IN (SELECT query_id FROM sem)) WHERE rank <= 8""",
+    "r12_r14_hybrid_top": f"""WITH {_HYBRID}, c AS (SELECT f.query_id, f.doc_id, CASE WHEN h.query_id IS NOT NULL THEN fused ELSE lex.score END AS score, CASE WHEN h.query_id IS NOT NULL THEN 'hybrid' ELSE 'lexical' END AS mode,
+        coalesce(sem.rank <= 3, false) AS reserved FROM fused f LEFT JOIN lex USING (query_id, doc_id) LEFT JOIN sem USING (query_id, doc_id) LEFT JOIN (SELECT DISTINCT query_id FROM sem) h ON h.query_id = f.query_id),
       k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reserved DESC, round(score, 12) DESC, doc_id) AS nth FROM c)
       SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank, mode FROM k WHERE nth <= 8""",
     "r15_fallback": f"""WITH {_PAGES} SELECT doc_id AS query_id, page, 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM lines)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "file://" + tempfile.mkdtemp(prefix="shared-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: neither a lost executor nor a later job computes it anew."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
