@@ -36,8 +36,9 @@ def fold(c: Column | str) -> Column:
     """Lower case, every character in its plain compatibility form (ligatures and digits too), no combining marks."""
     one, plain, several = plain_forms()
     low = F.lower(c)
-    forms = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
-    met = F.array_intersect(F.split(low, ""), F.array(*map(F.lit, several)))
+    # one string that Spark folds to one literal: a literal a character makes plans slow to optimise
+    forms = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01"))
+    met = F.array_intersect(F.split(low, ""), F.map_keys(forms))
     # most texts hold no character of the ranges in which all of these are
     whole = F.when(low.rlike(r"[\x{A8}-\x{BE}\x{132}-\x{10FFFF}]"), F.aggregate(met, low, lambda t, x: F.replace(t, x, forms[x]))).otherwise(low)
     return F.regexp_replace(F.translate(whole, one, plain), r"\p{M}", "")
@@ -63,9 +64,8 @@ def words(c: Column | str) -> Column:
     return F.filter(F.regexp_extract_all(fold(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
-def terms(c: Column | str) -> Column:
-    """Words, then pairs of neighbouring words."""
-    w = words(c)
+def terms(w: Column) -> Column:
+    """Words, then pairs of neighbouring words; of a column of ``words``."""
     pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(w, pairs)
 

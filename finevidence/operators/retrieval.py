@@ -48,7 +48,8 @@ def text_by_page(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return texts.select(*keys, F.explode(X.terms(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    words = texts.select(*keys, X.words(text).alias("w"))
+    return words.select(*keys, F.explode(X.terms(F.col("w"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def tf_idf(counts: DataFrame, n: DataFrame, df: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
