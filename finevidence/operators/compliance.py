@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from finevidence.functions import text as X
 
 NOTICE = "[Removed: not allowed as investment advice]"
+REPORT_NOTICE = "Content was removed that broke the rule against investment advice."
+SPOKEN = "Notice: made with artificial intelligence, for information only; it is no investment advice."
 DISCLAIMER = "Generated with AI for information only. It is no investment advice and no recommendation to buy or sell."
 # Vocabulary and patterns of recommendations in Spanish and English, on folded text.
 _ACTION = r"(?:comprar|vender|acumular|infraponderar|sobreponderar|liquidar|(?:mantener|adquirir)\s+(?:mas\s+)?(?:las\s+|los\s+|la\s+|su\s+|tu\s+)?(?:acciones|titulos|valores|posicion))"
@@ -83,16 +85,19 @@ def clean(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def sanitise_report(fields: DataFrame) -> DataFrame:
     """``report_id, fields, dropped, blocked``: fields (``report_id, kind, ord, text``) cleaned one by one;
-    figures and limitations that offend are dropped, other fields lose sentences, empty ones go too."""
+    figures and limitations that offend are dropped, other fields lose sentences, empty ones go too. A report
+    that lost anything says so in a last line."""
     c = clean(fields, ["report_id", "kind", "ord"])
     gone = (F.col("removed") > 0) & (F.col("kind").isin("figure", "limitation") | (F.col("clean") == NOTICE))
     kept = F.filter(F.array_sort(F.collect_list(F.when(~gone, F.struct("kind", "ord", "clean")))), lambda x: x.isNotNull())
-    return c.groupBy("report_id").agg(F.array_join(F.transform(kept, lambda x: x["clean"]), "\n").alias("fields"), F.count(F.when(gone, 1)).alias("dropped"), F.bool_or(F.col("removed") > 0).alias("blocked"))
+    notice = F.when(F.bool_or(F.col("removed") > 0), F.array(F.lit(REPORT_NOTICE))).otherwise(F.array().cast("array<string>"))
+    return c.groupBy("report_id").agg(F.array_join(F.concat(F.transform(kept, lambda x: x["clean"]), notice), "\n").alias("fields"), F.count(F.when(gone, 1)).alias("dropped"), F.bool_or(F.col("removed") > 0).alias("blocked"))
 
 
 def gate(outputs: DataFrame) -> DataFrame:
     """``*, allowed, shown``: speech that was removed as a whole isn't spoken, an offending image prompt isn't
-    drawn, an answer is cleaned. outputs: ``id, kind, text``."""
+    drawn, an answer is cleaned. Speech ends with the spoken notice, an answer with the written one. outputs: ``id, kind, text``."""
     c = clean(outputs, ["id", "kind"])
     allowed = F.when(F.col("kind") == "speech", F.col("clean") != NOTICE).when(F.col("kind") == "image", F.col("removed") == 0).otherwise(True)
-    return c.select("id", "kind", allowed.alias("allowed"), F.when(allowed, F.concat("clean", F.lit("\n\n" + DISCLAIMER))).alias("shown"))
+    ending = F.when(F.col("kind") == "speech", " " + SPOKEN).when(F.col("kind") == "image", "").otherwise("\n\n" + DISCLAIMER)
+    return c.select("id", "kind", allowed.alias("allowed"), F.when(allowed, F.concat("clean", ending)).alias("shown"))

@@ -108,6 +108,19 @@ def market_targets(technicals: DataFrame) -> DataFrame:
     return technicals.select("symbol", F.explode(F.filter(every, lambda x: x["target"].isNotNull())).alias("x")).select("symbol", "x.*")
 
 
+def derivative_targets(derivatives: DataFrame) -> DataFrame:
+    """``symbol, nth, key, label, target, fraction`` of derivative contexts (as from ``payloads.perp_contexts``), to go
+    with those of ``market_targets``; nulls left out."""
+    d = F.col
+    rows = [
+        ("funding", F.lit("Annual funding"), d("funding_annual"), True), ("funding", F.lit("Hourly funding"), d("funding_hourly"), True),
+        ("oi", F.concat(F.lit("Open interest ("), d("symbol"), F.lit(")")), d("open_interest"), False), ("oi_notional", F.lit("Open interest, notional"), d("open_interest") * d("mark"), False),
+        ("price", F.lit("Mark price"), d("mark"), False), ("price", F.lit("Oracle price"), d("oracle"), False), ("volume", F.lit("Notional volume 24 h"), d("notional"), False), ("price", F.lit("Previous close"), d("previous"), False),
+    ]
+    every = F.array(*(F.struct(F.lit(30 + i).alias("nth"), F.lit(k).alias("key"), label.alias("label"), v.cast("double").alias("target"), F.lit(f).alias("fraction")) for i, (k, label, v, f) in enumerate(rows)))
+    return derivatives.select("symbol", F.explode(F.filter(every, lambda x: x["target"].isNotNull())).alias("x")).select("symbol", "x.*")
+
+
 def alias_keys(name: Column, value: Column) -> Column:
     """Keys that a figure may match; null where its text names none, so all may."""
     t = X.fold(F.concat_ws(" ", name, value))

@@ -1,7 +1,8 @@
 """Run cost, latency and service levels over a trace table.
 
 A trace row is one step of one run: ``run_id, step_ord, step, model, seconds, ok, parallel, tokens_in,
-tokens_out, cost_usd`` (null: not reported). Everything is a groupBy of sums, so the map side combines
+tokens_out, cost_usd`` (null: not reported), ``modality`` (text, speech_to_text, speech, image or embedding) and
+``chars`` (spoken characters). Everything is a groupBy of sums, so the map side combines
 first and a step or run with a third of all rows is no hot spot; only per-run order uses windows.
 """
 
@@ -26,9 +27,10 @@ def tariff(spark: SparkSession, tts_mchar: float | None = None) -> DataFrame:
 def with_cost(trace: DataFrame, prices: DataFrame) -> DataFrame:
     """``cost``: as reported, else by tariff and modality; ``cost_real``: whether it was reported."""
     estimate = (
-        F.when(F.col("step").isin("purchase"), F.col("image"))
-        .when(F.col("step") == "signup", F.col("seconds") / 60 * F.col("stt_minute"))
-        .when(F.col("step") == "view", F.col("tokens_in") / 1e6 * F.col("embed"))
+        F.when(F.col("modality") == "image", F.col("image"))
+        .when(F.col("modality") == "speech_to_text", F.col("seconds") / 60 * F.col("stt_minute"))
+        .when(F.col("modality") == "speech", F.coalesce("chars", F.lit(0)) / 1e6 * F.col("tts_mchar"))
+        .when(F.col("modality") == "embedding", F.col("tokens_in") / 1e6 * F.col("embed"))
         .otherwise((F.col("tokens_in") * F.col("llm_in") + F.col("tokens_out") * F.col("llm_out")) / 1e6)
     )
     out = trace.crossJoin(F.broadcast(prices))  # one row
@@ -48,9 +50,9 @@ def step_stats(costed: DataFrame) -> DataFrame:
     )
 
 
-def run_totals(costed: DataFrame, media: tuple[str, ...] = ("purchase",)) -> DataFrame:
+def run_totals(costed: DataFrame, media: tuple[str, ...] = ("image", "speech")) -> DataFrame:
     """Per run: seconds to the report (all steps but media) and in all, cost, its reported part, models, steps."""
-    report = ~F.col("step").isin(*media)
+    report = ~F.coalesce(F.col("modality").isin(*media), F.lit(False))
     return costed.groupBy("run_id").agg(
         F.count("*").alias("steps"), F.countDistinct(F.when(F.col("model") != "-", F.col("model"))).alias("models"),
         F.coalesce(F.sum(F.when(report, F.col("seconds"))), F.lit(0.0)).alias("report_seconds"), F.sum("seconds").alias("total_seconds"),
@@ -74,10 +76,9 @@ def cost_origin(totals: DataFrame) -> DataFrame:
     return totals.select("run_id", "cost", label.alias("origin"))
 
 
-def components(stats: DataFrame) -> DataFrame:
-    """Fixed list of components, whether they ran or not."""
-    spark = stats.sparkSession
-    known = spark.createDataFrame([("STT", "signup", 1), ("TTS", "speech", 2), ("Image", "purchase", 3), ("Embeddings", "view", 4)], "component string, step string, nth int")
+def components(stats: DataFrame, listed: list[tuple[str, str]]) -> DataFrame:
+    """Listed components (name, step), whether they ran or not, after the language model as a whole."""
+    known = stats.sparkSession.createDataFrame([(c, s, i) for i, (c, s) in enumerate(listed, 1)], "component string, step string, nth int")
     single = F.broadcast(known).join(stats, "step", "left").select("nth", "component", F.col("runs_ok").isNotNull().alias("ran"), F.coalesce("mean_seconds", F.lit(0.0)).alias("mean_seconds"), F.coalesce("mean_cost", F.lit(0.0)).alias("mean_cost"))
     llm = stats.where((F.col("mean_tokens_in") > 0) | (F.col("mean_tokens_out") > 0)).agg(F.lit(0).alias("nth"), F.lit("LLM").alias("component"), (F.count("*") > 0).alias("ran"), F.coalesce(F.sum("mean_seconds"), F.lit(0.0)).alias("mean_seconds"), F.coalesce(F.sum("mean_cost"), F.lit(0.0)).alias("mean_cost"))
     return llm.unionByName(single)
@@ -96,7 +97,7 @@ def step_kind(costed: DataFrame) -> Column:
     return F.when(~F.col("ok"), "failed").when(local, "local").otherwise("model")
 
 
-def outcomes(trace: DataFrame, required: tuple[str, ...] = ("signup",)) -> DataFrame:
+def outcomes(trace: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Per run: failed if a required step failed, degraded if another did."""
     need = F.col("step").isin(*required)
     broken, warned = F.bool_or(~F.col("ok") & need), F.bool_or(~F.col("ok") & ~need)

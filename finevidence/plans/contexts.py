@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
-from finevidence.operators import filings, reports, routing
+from finevidence.operators import figures, filings, reports, routing
 from finevidence.operators import technicals as T
 from finevidence.plans import evidence as E
 from finevidence.plans import market as M
@@ -30,6 +30,11 @@ def s05_s06_perp_contexts(spark, sf_dir):
     return c.select("symbol", F.round("funding_hourly", 8).alias("funding_hourly"), F.round("funding_annual", 6).alias("funding_annual"), "open_interest", "mark", "oracle", "notional", "previous")
 
 
+def g11_derivative_targets(spark, sf_dir):
+    t = figures.derivative_targets(payloads.perp_contexts(_perps(spark, sf_dir)))
+    return t.select("symbol", A.clean("nth").alias("nth"), "key", F.round("target", 6).alias("target"), "fraction")
+
+
 def t07_t08_derivative_facts(spark, sf_dir):
     d = payloads.derivative_facts(payloads.perp_contexts(_perps(spark, sf_dir)))
     return d.select("symbol", "funding_sign", "oi_notional")
@@ -116,12 +121,18 @@ def j01_market_mix(spark, sf_dir):
     return t.groupBy("market").agg(F.count("*").alias("requests"), F.countDistinct("symbol").alias("symbols"))
 
 
-QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, j01_market_mix)}
+QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, g11_derivative_targets, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, j01_market_mix)}
 
 _PERP = "p AS (SELECT p_partkey AS k, 'P' || p_partkey AS symbol, (p_partkey % 7 - 3) / 10000 AS funding, CAST(p_partkey % 97 + 1 AS DOUBLE) AS mark FROM part WHERE p_partkey % 11 <> 0)"
 _EPOCH = "TIMESTAMP '1970-01-01'"
 ORACLE_SQL = {
     "s05_s06_perp_contexts": f"WITH {_PERP} SELECT symbol, round(funding, 8) AS funding_hourly, round(funding * 8760, 6) AS funding_annual, CAST(k * 2 AS DOUBLE) AS open_interest, mark, mark + 1 AS oracle, CAST(k * 5 AS DOUBLE) AS notional, mark + 2 AS previous FROM p",
+    "g11_derivative_targets": f"""WITH {_PERP}, t AS (SELECT *, CAST(k * 2 AS DOUBLE) AS oi FROM p)
+      SELECT symbol, nth, key, round(target, 6) AS target, fraction FROM (
+        SELECT symbol, 30 AS nth, 'funding' AS key, funding * 8760 AS target, true AS fraction FROM t UNION ALL SELECT symbol, 31, 'funding', funding, true FROM t
+        UNION ALL SELECT symbol, 32, 'oi', oi, false FROM t UNION ALL SELECT symbol, 33, 'oi_notional', oi * mark, false FROM t
+        UNION ALL SELECT symbol, 34, 'price', mark, false FROM t UNION ALL SELECT symbol, 35, 'price', mark + 1, false FROM t
+        UNION ALL SELECT symbol, 36, 'volume', k * 5, false FROM t UNION ALL SELECT symbol, 37, 'price', mark + 2, false FROM t)""",
     "t07_t08_derivative_facts": f"WITH {_PERP} SELECT symbol, CASE WHEN funding > 0 THEN 'positive' WHEN funding < 0 THEN 'negative' ELSE 'zero' END AS funding_sign, k * 2 * mark AS oi_notional FROM p",
     "s07_filer_map": "SELECT 'S' || s_suppkey AS symbol, s_suppkey AS cik FROM supplier",
     "s08_company_facts": E.ORACLE_SQL["f01_f04_annual_facts"],

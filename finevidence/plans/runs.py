@@ -34,7 +34,7 @@ def m04_run_summary(spark, sf_dir):
 
 
 def m05_components(spark, sf_dir):
-    return R.components(R.step_stats(_costed(spark, sf_dir))).select(A.clean("nth").alias("nth"), "component", "ran", r("mean_seconds"), r("mean_cost"))
+    return R.components(R.step_stats(_costed(spark, sf_dir)), [("STT", "signup"), ("TTS", "speech"), ("Image", "purchase"), ("Embeddings", "view")]).select(A.clean("nth").alias("nth"), "component", "ran", r("mean_seconds"), r("mean_cost"))
 
 
 def m06_cost_origin(spark, sf_dir):
@@ -50,7 +50,7 @@ def m08_run_kpis(spark, sf_dir):
 
 
 def m11_outcomes(spark, sf_dir):
-    return R.outcomes(A.trace(spark, sf_dir))
+    return R.outcomes(A.trace(spark, sf_dir), ("signup",))
 
 
 def m12_service_levels(spark, sf_dir):

@@ -41,13 +41,15 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a step of a run: runs are users, steps event types, in time order."""
+    """One row a step of a run: runs are users, steps event types, in time order; some types stand for a modality."""
     e = table(spark, sf_dir, "events").where(F.col("user_id").isNotNull())
     k = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)"), F.lit(0).cast("bigint"))
     return e.select(
         F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("step_ord"), F.col("event_type").alias("step"),
         F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"), (F.col("value") / 100).alias("seconds"), (F.col("event_type") != "error").alias("ok"),
         (k % 2 == 0).alias("parallel"), k.alias("tokens_in"), (k % 7).alias("tokens_out"), F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("value") / 1000).cast("double").alias("cost_usd"),
+        F.when(F.col("event_type") == "purchase", "image").when(F.col("event_type") == "signup", "speech_to_text").when(F.col("event_type") == "view", "embedding").otherwise("text").alias("modality"),
+        F.lit(None).cast("bigint").alias("chars"),
     )
 
 

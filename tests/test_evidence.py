@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from finevidence.functions import numbers as N
 from finevidence.functions import text as X
-from finevidence.operators import chart_claims, compliance, figures, filings, retrieval, routing
+from finevidence.operators import chart_claims, compliance, figures, filings, retrieval, routing, runs
+from finevidence.sources import adapters
 from finevidence.plans.evidence import PHRASES
 from finevidence.sources import payloads
 from finevidence.streaming import steps
@@ -153,3 +154,44 @@ def test_replay_of_a_folder_of_files(spark, tmp_path):
         assert got == {1: (2, "", "load"), 2: late, 3: (2, "load,rank", ""), 4: (1, "load", "")}, name
     stuck = steps.replay(spark, f"{tmp_path}/each", f"file://{tmp_path}/stuck", silence_ms=3_600_000, files_a_batch=1)
     assert {r.run_id for r in stuck.collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_candidate_ranks_equal_whole_rankings(spark, monkeypatch, most):
+    """Repeated vectors and terms make ties; small slices split the queries."""
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", most)
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 4 * most)
+    monkeypatch.setattr(retrieval, "RRF_K", 2)
+    k, keys = 2, ["doc_id"]
+    cell = lambda i, j: float((i * i * 7 + i * j * 3 + j * j) % 11 - 5)
+    w = spark.createDataFrame([(i, f"t{j}", abs(cell(i, j)) / 10) for i in range(60) for j in range(5) if (i + j) % 3], "doc_id long, term string, weight double")
+    v = spark.createDataFrame([(i, [cell(i % 50, j) for j in range(4)]) for i in range(60)], "doc_id long, vector array<double>")
+    qw = spark.createDataFrame([(i, f"t{j}", cell(i + 1, j) ** 2 / 100 + 0.01) for i in range(8) for j in range(5) if (i + j) % 2], "query_id long, term string, weight double")
+    qv = spark.createDataFrame([(i, [cell(i, j + 1) for j in range(4)]) for i in range(0, 8, 2)], "query_id long, vector array<double>")
+    cover = qw.select("query_id").distinct().withColumn("coverage", (1 + F.col("query_id")) / 10)
+    few = retrieval.candidate_ranks(w, qw, v, qv, keys, adapters.kept, k)
+    whole = retrieval.lexical(w, qw, keys), retrieval.semantic(v, qv, keys)
+    rows = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    for a, b in zip(few, whole):
+        got = rows(a)
+        assert got and set(got) <= set(rows(b))
+    assert rows(few[1]) != rows(whole[1])  # some are left out
+    assert rows(retrieval.hybrid(*few, cover, keys, k, 1)) == rows(retrieval.hybrid(*whole, cover, keys, k, 1))
+
+
+def test_costs_by_modality(spark):
+    schema = "run_id long, step string, modality string, chars long, seconds double, tokens_in long, tokens_out long, cost_usd double"
+    rows = [(1, "a", "speech", 2_000_000, 1.0, 0, 0, None), (1, "b", "image", None, 1.0, 0, 0, None), (1, "c", "speech_to_text", None, 120.0, 0, 0, None), (1, "d", None, None, 1.0, 1_000_000, 0, None), (1, "e", "speech", 5, 1.0, 0, 0, 0.5)]
+    got = {r.step: (r.cost, r.cost_real) for r in runs.with_cost(spark.createDataFrame(rows, schema), runs.tariff(spark, tts_mchar=10.0)).collect()}
+    assert got == {"a": (20.0, False), "b": (0.04, False), "c": (pytest.approx(0.012), False), "d": (3.0, False), "e": (0.5, True)}
+
+
+def test_notices_of_reports_and_outputs(spark):
+    bad, good = "You should buy this stock now.", "Sales rose."
+    f = spark.createDataFrame([(1, "summary", 1, f"{good} {bad}"), (1, "figure", 2, bad), (2, "summary", 1, good), (2, "limitation", 2, None)], "report_id int, kind string, ord int, text string")
+    got = {r.report_id: r for r in compliance.sanitise_report(f).collect()}
+    assert got[1].fields == f"{good}\n{compliance.REPORT_NOTICE}" and got[1].dropped == 1 and got[1].blocked
+    assert got[2].fields == good and not got[2].blocked
+    out = spark.createDataFrame([(1, "speech", good), (2, "speech", bad), (3, "image", good), (4, "image", bad), (5, "answer", bad)], "id int, kind string, text string")
+    shown = {r.id: r.shown for r in compliance.gate(out).collect()}
+    assert shown == {1: f"{good} {compliance.SPOKEN}", 2: None, 3: good, 4: None, 5: f"{compliance.NOTICE}\n\n{compliance.DISCLAIMER}"}
