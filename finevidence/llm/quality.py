@@ -57,19 +57,30 @@ class ByteConvNet:
         low, high = e @ w[:DIM], e @ w[DIM:]  # the first byte of a pair is the low one
         return (high[:, None, :] + low[None, :, :]).reshape(65536, -1)
 
-    def pooled(self, pairs: np.ndarray, table: np.ndarray, places: bool = False):
-        """Max of each filter over each chunk, and where it is; BLOCK chunks at a time."""
+    def pooled(self, pairs: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Max of each filter over each chunk; BLOCK chunks at a time."""
         top = np.empty((len(pairs), FILTERS), np.float32)
-        at = np.empty((len(pairs), FILTERS), np.int64) if places else None
         n = pairs.shape[1] - PAIRS + 1
         for i in range(0, len(pairs), BLOCK):
             some = pairs[i : i + BLOCK]
             y = table[:, :FILTERS][some[:, :n]]
             for k in range(1, PAIRS):
                 y += table[:, k * FILTERS : (k + 1) * FILTERS][some[:, k : k + n]]
-            if places:
-                at[i : i + BLOCK] = y.argmax(1)
             top[i : i + BLOCK] = y.max(1)
+        return top
+
+    def pooled_places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``pooled``, and where each maximum is. By matrix products over embedded bytes: in fitting, a table of all
+        pairs would serve a single batch."""
+        top, at = np.empty((len(pairs), FILTERS), np.float32), np.empty((len(pairs), FILTERS), np.int64)
+        wide = PAIRS * 2 * DIM
+        filters = self.p["filters"].transpose(1, 0, 2).reshape(wide, FILTERS)
+        for i in range(0, len(pairs), BLOCK):
+            seen = self.p["embed"][pairs[i : i + BLOCK].view(np.uint8)].reshape(-1, pairs.shape[1] * 2 * DIM)
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(seen, wide, axis=1)[:, :: 2 * DIM])
+            y = (windows.reshape(-1, wide) @ filters).reshape(len(seen), -1, FILTERS)
+            best = y.argmax(1)
+            at[i : i + BLOCK], top[i : i + BLOCK] = best, np.take_along_axis(y, best[:, None], 1)[:, 0]
         return top, at
 
     def chunk_features(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +114,7 @@ class ByteConvNet:
     def gradient(self, pairs: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss. Only the places where a filter is at its maximum carry it."""
         p = self.p
-        top, at = self.pooled(pairs, self.pair_table(), True)
+        top, at = self.pooled_places(pairs)
         z, h = self.chunk_features(top)
         logit, doc = self.logits(h, starts)
         d_logit = ((1 / (1 + np.exp(-logit)) - labels) / len(labels)).astype(np.float32)
@@ -137,7 +148,7 @@ class ByteConvNet:
         cut = [chunks(t) for t in texts]
         starts = np.cumsum([0, *(len(c) for c in cut[:-1])])
         every = np.concatenate(cut)
-        logit = self.logits(self.chunk_features(self.pooled(every, table)[0])[1], starts)[0]
+        logit = self.logits(self.chunk_features(self.pooled(every, table))[1], starts)[0]
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40)))
 
 

@@ -54,7 +54,7 @@ def test_quality_gradient():
     starts, y = np.array([0, 2, 4, 6]), np.array([0, 1, 1, 0], np.float32)
 
     def loss():
-        z = net.logits(net.chunk_features(net.pooled(pairs, net.pair_table())[0])[1], starts)[0].astype(float)
+        z = net.logits(net.chunk_features(net.pooled(pairs, net.pair_table()))[1], starts)[0].astype(float)
         return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
 
     g = net.gradient(pairs, starts, y)
