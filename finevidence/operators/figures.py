@@ -163,6 +163,19 @@ def summary(checks: DataFrame) -> DataFrame:
     return checks.groupBy("report_id").agg(F.count("*").alias("figures"), F.count(F.when(ok, 1)).alias("verified"), F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("page")))), ",").alias("pages"))
 
 
+def verified_by_origin(figures: DataFrame, checks: DataFrame) -> DataFrame:
+    """``report_id, origin, figures, verified``: by the origin of each figure's first citation, ``none`` where it has none."""
+    first = figures.select(*_KEY, F.coalesce(F.get("citations", F.lit(0))["origin"], F.lit("none")).alias("origin"))
+    return first.join(checks.select(*_KEY, "status"), _KEY).groupBy("report_id", "origin").agg(F.count("*").alias("figures"), F.count(F.when(F.col("status") == "verified", 1)).alias("verified"))
+
+
+def source_flags(figures: DataFrame, origins: list[str]) -> DataFrame:
+    """Each figure's flag of every origin that it cites, and how many kinds these are."""
+    cited = F.array_distinct(F.transform("citations", lambda c: c["origin"]))
+    flags = [F.coalesce(F.array_contains(cited, o), F.lit(False)).alias(o) for o in origins]
+    return figures.select(*_KEY, *flags, F.size(F.array_intersect(cited, F.array(*map(F.lit, origins)))).cast("bigint").alias("kinds"))
+
+
 def source_matrix(figures: DataFrame) -> DataFrame:
     """Per report: citations and distinct origins."""
     return figures.groupBy("report_id").agg(F.sum(F.size("citations")).alias("citations"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("citations", lambda c: c["origin"]))))), ",").alias("origins"))

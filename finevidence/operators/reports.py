@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ REPORT = f"""struct<summary:string,key_figures:array<struct<name:string,value:st
   findings:array<struct<kind:string,statement:string,citations:array<{CITATION}>>>,trend:string,limitations:array<string>,spoken_summary:string>"""
 # Where a citation may come from.
 ORIGINS = ["document", "chart", "audio", "market", "sec"]
+# Bytes a second of compressed audio.
+AUDIO_BYTES = 16_000
 
 
 def parse(texts: DataFrame) -> DataFrame:
@@ -48,3 +52,16 @@ def best_transcript(attempts: DataFrame) -> DataFrame:
     t = attempts.withColumn("bad", transcript_truncated(F.col("reported"), F.col("real"), F.length("text")))
     order = F.struct(F.col("bad").cast("int"), F.when(F.col("bad"), -F.length("text")).otherwise(F.lit(0)), "attempt")
     return t.groupBy("audio_id").agg(F.min_by("text", order).alias("text"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"), F.min_by("bad", order).alias("warned"))
+
+
+def duration_estimate(size: Column) -> Column:
+    """Seconds of compressed audio by its size in bytes."""
+    return size / AUDIO_BYTES
+
+
+def warnings_union(branches: list[DataFrame], key: str) -> DataFrame:
+    """``key, warnings``: the warnings of all branches (``key, warning``) in the order of the branches, then of the text;
+    each once a branch."""
+    rows = [b.select(key, F.lit(i).alias("nth"), "warning") for i, b in enumerate(branches)]
+    every = reduce(DataFrame.unionByName, rows).where("warning IS NOT NULL")
+    return every.groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("nth", "warning"))), lambda x: x["warning"]).alias("warnings"))

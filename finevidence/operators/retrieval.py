@@ -17,6 +17,9 @@ from finevidence.functions import text as X
 
 # Damping of reciprocal ranks, results, reserved semantic results, transcript limit.
 RRF_K, TOP_K, FLOOR, TRANSCRIPT = 60, 8, 3, 8000
+MISSING = "(none)"
+#: Texts that an embedding model gets at once.
+EMBEDDED = 64
 #: Queries, and terms of queries, that are broadcast at once; more are joined in slices of about this many.
 BROADCAST_QUERIES, BROADCAST_TERMS = 1000, 1_000_000
 
@@ -205,10 +208,56 @@ def unit_of(v: Column) -> Column:
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """``query_id, context``: the hits' texts in rank order, each after its place; a missing part says so."""
+    """``query_id, context``: the hits' texts in rank order, each after its place; for queries with hits."""
     block = F.concat(F.lit("[document p."), F.col("page").cast("string"), F.lit("] "), F.col("text"))
     one = hits.join(chunks, keys).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
-    return one.select("query_id", F.when(F.size("blocks") > 0, F.array_join("blocks", "\n")).otherwise("(none)").alias("context"))
+    return one.select("query_id", F.array_join("blocks", "\n").alias("context"))
+
+
+def request_contexts(asked: DataFrame, documents: DataFrame, transcripts: DataFrame | None = None, market: DataFrame | None = None, filings: DataFrame | None = None, limit: int = TRANSCRIPT) -> DataFrame:
+    """``query_id, context`` for every request: its document block (of ``contexts``) and its transcript up to ``limit``
+    characters, which say so where they are missing; market and filing blocks only where there are any. The parts
+    are tables ``query_id, text``, one row a query."""
+    out = asked.select("query_id").join(documents.withColumnRenamed("context", "document"), "query_id", "left")
+    for name, part in (("transcript", transcripts), ("market", market), ("filings", filings)):
+        out = out.join(part.select("query_id", F.col("text").alias(name)), "query_id", "left") if part is not None else out.withColumn(name, F.lit(None).cast("string"))
+    block = lambda label, c: F.concat(F.lit(f"{label}:\n"), c)
+    parts = [block("Document", F.coalesce("document", F.lit(MISSING))), block("Transcript", F.coalesce(F.left("transcript", F.lit(limit)), F.lit(MISSING))), block("Market", F.col("market")), block("Filings", F.col("filings"))]
+    return out.select("query_id", F.concat_ws("\n\n", *parts).alias("context"))
+
+
+def reading_blocks(readings: DataFrame) -> DataFrame:
+    """``query_id, block``: the chart readings of a request, each after a label of its origin, own charts first; several
+    get a warning that their periods may differ. readings: ``query_id, origin`` (drawn or sent), ``reading`` (a struct)."""
+    label = F.when(F.col("origin") == "drawn", "Chart drawn from market data").otherwise("Chart sent with the request")
+    line = F.struct((F.col("origin") != "drawn").alias("nth"), F.concat(label, F.lit(": "), F.to_json("reading")).alias("line"))
+    one = readings.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    warning = F.when(F.size("lines") > 1, F.array(F.lit("The charts may show different periods."))).otherwise(F.array().cast("array<string>"))
+    return one.select("query_id", F.array_join(F.concat("lines", warning), "\n").alias("block"))
+
+
+def embed(texts: DataFrame, key: str, model: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
+    """``key, vector`` by a caller's model, which gets EMBEDDED texts at once (null: empty) and must give a vector for
+    each, in order. ``hashed_vectors`` needs no model."""
+    def run(frames):
+        for f in frames:
+            for at in range(0, len(f), EMBEDDED):
+                some = f.iloc[at : at + EMBEDDED]
+                vectors = model([t or "" for t in some["text"]])
+                if len(vectors) != len(some):
+                    raise ValueError(f"the model gave {len(vectors)} vectors for {len(some)} texts")
+                yield some[[key]].assign(vector=[list(map(float, v)) for v in vectors])
+
+    rows = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, vector array<double>")
+
+
+def asked_context(history: DataFrame, asked: DataFrame) -> DataFrame:
+    """``conv_id, context``: all of a conversation (of ``conversation_context``), then the new question after the
+    report and the hits that it is about. asked: ``conv_id, question, report, hits``; a question may open a conversation."""
+    part = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(MISSING)))
+    new = asked.select("conv_id", F.concat_ws("\n", part("Report", F.col("report")), part("Found", F.col("hits")), part("Question", F.col("question"))).alias("new"))
+    return new.join(history.select("conv_id", "context"), "conv_id", "left").select("conv_id", F.concat_ws("\n", "context", "new").alias("context"))
 
 
 def conversation_context(turns: DataFrame) -> DataFrame:

@@ -51,3 +51,17 @@ def expand_ranges(c: Column) -> Column:
     """``"1,3,14-24"`` as an array of numbers; parts that aren't numbers give none."""
     parts = F.transform(F.split(c, ","), lambda p: F.struct(F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int").alias("a"), F.regexp_extract(p, r"(\d+)\s*$", 1).try_cast("int").alias("b")))
     return F.flatten(F.transform(F.filter(parts, lambda x: x["a"].isNotNull() & (x["b"] >= x["a"])), lambda x: F.sequence(x["a"], x["b"])))
+
+
+def select_sources(asked: DataFrame, equity_bars: DataFrame, perp_bars: DataFrame) -> DataFrame:
+    """``*bars, market``: symbols of the crypto market read the perpetuals' bars, equities theirs. asked: ``symbol,
+    market``; symbols are joined to their own source only, so the filter on the market reaches both."""
+    symbols = asked.select("symbol", "market").where("market IS NOT NULL").distinct()
+    own = [bars.join(symbols.where(F.col("market") == market), "symbol") for bars, market in ((equity_bars, "equity"), (perp_bars, "crypto"))]
+    return own[0].unionByName(own[1])
+
+
+def guarded_by_market(asked: DataFrame, derivatives: DataFrame, facts: DataFrame) -> DataFrame:
+    """``*``, with the columns of ``derivatives`` for crypto alone and those of ``facts`` for equities alone (one row a symbol each)."""
+    out = asked.join(derivatives.withColumn("market", F.lit("crypto")), ["symbol", "market"], "left")
+    return out.join(facts.withColumn("market", F.lit("equity")), ["symbol", "market"], "left")

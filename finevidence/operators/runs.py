@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TARIFF = {"llm_in": 3.0, "llm_out": 15.0, "stt_minute": 0.006, "tts_mchar": 15.0, "image": 0.04, "embed": 0.02}
 TARGETS = {"report": 30.0, "all": 60.0}
 PLANS = [("basic", 9.0, 100), ("team", 49.0, 1000), ("desk", 199.0, 10000)]
-FIXED_MONTHLY = 12.0
+FIXED_MONTHLY, MONTHLY_RUNS = 12.0, (100, 1000, 10000)
 
 
 def tariff(spark: SparkSession, tts_mchar: float | None = None) -> DataFrame:
@@ -104,6 +104,18 @@ def outcomes(trace: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return trace.groupBy("run_id").agg(F.when(broken, "failed").when(warned, "degraded").otherwise("ok").alias("outcome"), F.count(F.when(~F.col("ok"), 1)).alias("failed_steps"))
 
 
+def outcome_messages(trace: DataFrame, required: tuple[str, ...], bare: DataFrame | None = None) -> DataFrame:
+    """``run_id, outcome, message``: a run fails by its first required step that failed, or if it has nothing but a ticker
+    and no data came for it (run ids in ``bare``); other failed steps are named as warnings, each once, by name."""
+    need = F.col("step").isin(*required)
+    t = trace.groupBy("run_id").agg(F.min_by("step", F.when(~F.col("ok") & need, F.col("step_ord"))).alias("broken"), F.sort_array(F.collect_set(F.when(~F.col("ok") & ~need, F.col("step")))).alias("warned"))
+    empty = F.col("bare") if bare is not None else F.lit(False)
+    t = t.join(bare.select("run_id", F.lit(True).alias("bare")).distinct(), "run_id", "left") if bare is not None else t
+    outcome = F.when(F.col("broken").isNotNull() | empty, "failed").when(F.size("warned") > 0, "degraded").otherwise("ok")
+    message = F.when(F.col("broken").isNotNull(), F.concat(F.lit("step failed: "), "broken")).when(empty, "no data for the ticker").when(F.size("warned") > 0, F.concat(F.lit("without: "), F.array_join("warned", ", ")))
+    return t.select("run_id", outcome.alias("outcome"), message.alias("message"))
+
+
 def service_levels(totals: DataFrame) -> DataFrame:
     return totals.select("run_id", (F.col("report_seconds") <= TARGETS["report"]).alias("report_ok"), (F.col("total_seconds") <= TARGETS["all"]).alias("all_ok"))
 
@@ -124,6 +136,12 @@ def plan_margins(summary: DataFrame) -> DataFrame:
     )
 
 
+def scale_table(summary: DataFrame) -> DataFrame:
+    """``runs, monthly``: cost of a month at some numbers of runs, with the fixed part."""
+    sizes = F.explode(F.array(*map(F.lit, MONTHLY_RUNS)))
+    return summary.select("mean_cost", sizes.alias("runs")).select("runs", (F.col("runs") * F.col("mean_cost") + FIXED_MONTHLY).alias("monthly"))
+
+
 def steps_by_model(trace: DataFrame) -> DataFrame:
     """Per model its distinct steps, in the order they were first seen."""
     first = trace.groupBy("model", "step").agg(F.min("step_ord").alias("first"))
@@ -168,6 +186,13 @@ def report_rows(stats: DataFrame) -> DataFrame:
     return stats.select("step", F.format_string("%-12s %8.2f s  max %8.2f s  %10.6f USD  %d ok  %d failed", "step", "mean_seconds", "max_seconds", "mean_cost", "runs_ok", "runs_failed").alias("line"))
 
 
+def trace_rows(costed: DataFrame) -> DataFrame:
+    """``run_id, step_ord, line``: a row of text a step, with a mark of parallel steps, tokens and status."""
+    mark = F.when(F.col("parallel"), "||").otherwise("  ")
+    status = F.when(F.col("ok"), "ok").otherwise("failed")
+    return costed.select("run_id", "step_ord", F.format_string("%s %-12s %8.2f s  %6d in  %6d out  %s", mark, F.col("step"), F.col("seconds"), F.col("tokens_in"), F.col("tokens_out"), status).alias("line"))
+
+
 def node_status(trace: DataFrame, nodes: list[tuple[str, str]]) -> DataFrame:
     """``run_id, node, status``: every node of every run; skipped where no step took it."""
     known = F.explode(F.array(*(F.lit(n) for n, _ in nodes)))

@@ -115,13 +115,24 @@ def j06_market_context(spark, sf_dir):
     return out.select("symbol", F.round("last_close", 6).alias("last_close"), F.round("sma20", 6).alias("sma20"), "mark", F.coalesce("facts", F.lit(0)).cast("bigint").alias("facts"))
 
 
+def j03_source_selection(spark, sf_dir):
+    """Every routed symbol with the bars of its own market, derivatives for crypto, facts for equities."""
+    asked = routing.route(E._tickers(spark, sf_dir)).select("symbol", "market").where("market IS NOT NULL").distinct()
+    b = A.line_bars(spark, sf_dir)
+    named = lambda letter: b.withColumn("symbol", F.concat(F.lit(letter), F.col("symbol").cast("string")))
+    bars = routing.select_sources(asked, named("S"), named("P")).groupBy("symbol", "market").agg(F.count("*").alias("bars"))
+    perps = payloads.perp_contexts(_perps(spark, sf_dir)).select("symbol", "mark")
+    facts = E._facts(spark, sf_dir).groupBy(F.concat(F.lit("S"), F.col("cik").cast("string")).alias("symbol")).agg(F.count("*").alias("facts"))
+    return routing.guarded_by_market(asked.join(bars, ["symbol", "market"], "left"), perps, facts).select("symbol", "market", "bars", "mark", "facts")
+
+
 def j01_market_mix(spark, sf_dir):
     """Requests a market, with how many of its symbols have a mark of their own."""
     t = routing.route(E._tickers(spark, sf_dir))
     return t.groupBy("market").agg(F.count("*").alias("requests"), F.countDistinct("symbol").alias("symbols"))
 
 
-QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, g11_derivative_targets, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, j01_market_mix)}
+QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, g11_derivative_targets, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, j03_source_selection, j01_market_mix)}
 
 _PERP = "p AS (SELECT p_partkey AS k, 'P' || p_partkey AS symbol, (p_partkey % 7 - 3) / 10000 AS funding, CAST(p_partkey % 97 + 1 AS DOUBLE) AS mark FROM part WHERE p_partkey % 11 <> 0)"
 _EPOCH = "TIMESTAMP '1970-01-01'"
@@ -149,6 +160,13 @@ ORACLE_SQL = {
     "j06_market_context": f"""WITH {M._LINE}, {M._SERIES}, {M._SCALAR_SQL}, {_PERP}, {E._FACTS.replace('facts AS', 'resolved AS').replace(' t AS', ' tg AS').replace('JOIN t ON t.', 'JOIN tg t ON t.')}
       SELECT s_suppkey AS symbol, round(last_close, 6) AS last_close, round(sma20, 6) AS sma20, mark, (SELECT count(*) FROM resolved WHERE cik = s_suppkey) AS facts
       FROM supplier LEFT JOIN tech ON tech.symbol = s_suppkey LEFT JOIN p ON p.k = s_suppkey""",
+    "j03_source_selection": f"""WITH {M._LINE}, {_PERP}, {E._FACTS.replace(' t AS', ' tg AS').replace('JOIN t ON t.', 'JOIN tg t ON t.')},
+      asked AS (SELECT DISTINCT (['S' || o_orderkey, 'C' || o_orderkey, 'P' || o_orderkey, 'BTC' || o_orderkey, 'X' || o_orderkey || '.MC', 'BTC', 'P' || o_orderkey])[o_orderkey % 8 + 1] AS symbol,
+        CASE WHEN o_orderkey % 8 IN (1, 2, 5) THEN 'crypto' ELSE 'equity' END AS market FROM orders WHERE o_orderkey % 8 < 7),
+      src AS (SELECT CASE WHEN m = 'equity' THEN 'S' ELSE 'P' END || symbol AS symbol, m AS market, count(*) AS bars FROM bars CROSS JOIN (SELECT unnest(['equity', 'crypto']) AS m) GROUP BY 1, 2),
+      nf AS (SELECT 'S' || cik AS symbol, count(*) AS facts FROM facts GROUP BY 1)
+      SELECT a.symbol, a.market, bars, CASE WHEN a.market = 'crypto' THEN mark END AS mark, CASE WHEN a.market = 'equity' THEN facts END AS facts
+      FROM asked a LEFT JOIN src s ON s.symbol = a.symbol AND s.market = a.market LEFT JOIN p ON p.symbol = a.symbol LEFT JOIN nf ON nf.symbol = a.symbol""",
     "j01_market_mix": """WITH t AS (SELECT (['S' || o_orderkey, 'C' || o_orderkey, 'P' || o_orderkey, 'BTC' || o_orderkey, 'X' || o_orderkey || '.MC', 'BTC', 'P' || o_orderkey, ''])[o_orderkey % 8 + 1] AS symbol, o_orderkey % 8 AS k FROM orders)
       SELECT CASE WHEN k = 7 THEN NULL WHEN k IN (1, 2, 5) THEN 'crypto' ELSE 'equity' END AS market, count(*) AS requests, count(DISTINCT symbol) AS symbols FROM t GROUP BY 1""",
 }

@@ -35,6 +35,14 @@ def k03_clean_documents(spark, sf_dir):
     return c.select("id", F.md5("clean").alias("clean_md5"), "removed")
 
 
+def k01_k02_text_violations(spark, sf_dir):
+    """What real texts say that they shouldn't: all documents and all turns of conversations."""
+    d = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    t = A.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    v = compliance.violations(d.unionByName(t), ["id"])
+    return v.groupBy("id", "match").agg(F.count("*").alias("n"))
+
+
 def k05_violations(spark, sf_dir):
     v = compliance.violations(_phrases(spark, sf_dir), ["o_orderkey"])
     return v.groupBy("o_orderkey").agg(F.countDistinct("nth").alias("sentences"))
@@ -151,6 +159,25 @@ def a09_verification_summary(spark, sf_dir):
     return figures.summary(figures.check_figures(*_figures(spark, sf_dir))).select("report_id", "figures", "verified")
 
 
+def a09_verified_by_origin(spark, sf_dir):
+    figs, pages = _figures(spark, sf_dir)
+    return figures.verified_by_origin(figs, figures.check_figures(figs, pages))
+
+
+def a12_source_flags(spark, sf_dir):
+    """Line items as figures that cite one origin or two, by status, quantity and return flag."""
+    li = A.table(spark, sf_dir, "lineitem")
+    mode = F.when(F.col("l_linestatus") == "F", "document").when(F.col("l_quantity") > 40, "chart").when(F.col("l_quantity") > 20, "audio").otherwise("market")
+    cites = F.array(F.struct(mode.alias("origin")), F.struct(F.when(F.col("l_returnflag") == "R", "sec").otherwise(mode).alias("origin")))
+    figs = li.select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").cast("bigint").alias("ord"), cites.alias("citations"))
+    return figures.source_flags(figs, reports.ORIGINS)
+
+
+def x10_durations(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(reports.duration_estimate(F.octet_length("text")), 6).alias("seconds"))
+
+
 def a12_source_matrix(spark, sf_dir):
     return figures.source_matrix(_figures(spark, sf_dir)[0])
 
@@ -206,7 +233,7 @@ def j08_nearest_level(spark, sf_dir):
     return v.select("reading_id", F.round("nearest", 6).alias("nearest"), F.round("distance", 6).alias("distance"), "verdict")
 
 
-QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
+QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k01_k02_text_violations, a09_verified_by_origin, a12_source_flags, x10_durations, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
 
 _FLAGS = ", ".join("true" if f else "false" for _, f in PHRASES)
 _SAID = ", ".join("'" + p + "'" for p, _ in PHRASES)
@@ -225,7 +252,28 @@ _STATUS = "CASE o_orderkey % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'not_found' WH
 _TECH = f"{M._LINE}, {M._SERIES}, {M._SCALAR_SQL}, {M._PIVOTS}, {M._LEVELS}"
 _KNOWN = "known AS (SELECT symbol, level FROM levels UNION SELECT symbol, unnest([range_low, range_high]) FROM tech)"
 
+_SAYS = lambda p: "'" + p.replace("'", "''") + "'"
+
+
+def _at_start(p: str) -> str:
+    """A pattern with a negative look-ahead as two without."""
+    if "(?!" not in p:
+        return f"regexp_extract_all(f, {_SAYS(p)})"
+    head, rest = p.split("(?!", 1)
+    barred, tail = rest.split(")", 1)
+    return f"CASE WHEN regexp_matches(f, {_SAYS(head + '(?:' + barred + ')')}) THEN [] ELSE regexp_extract_all(f, {_SAYS(head + tail)}) END"
+
+
+_FOUND = ", ".join([f"regexp_extract_all(f, {_SAYS(p)})" for p in compliance.ANYWHERE] + [_at_start(p) for p in compliance.AT_START])
+_SPOKEN = rf"""said AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT conv_id || '/' || turn, text FROM conversations),
+  sent AS (SELECT id, trim(strip_accents(lower(s))) AS f FROM (SELECT id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', concat('\1', chr(10)), 'g'), '\n+')) AS s FROM said) WHERE trim(s) <> ''),
+  met AS (SELECT id, unnest(list_filter(flatten([{_FOUND}]), lambda m: NOT (regexp_matches(m, {_SAYS(compliance.TARGET_PRICE)}) AND regexp_matches(f, {_SAYS(compliance.MACRO)}) AND NOT regexp_matches(f, {_SAYS(compliance.SECURITY)})))) AS match FROM sent)"""
+
 ORACLE_SQL = {
+    "k01_k02_text_violations": f"WITH {_SPOKEN} SELECT id, match, count(*) AS n FROM met GROUP BY 1, 2",
+    "a09_verified_by_origin": f"SELECT o_custkey AS report_id, 'document' AS origin, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",
+    "a12_source_flags": "SELECT l_orderkey AS report_id, CAST(l_linenumber AS BIGINT) AS ord, l_linestatus = 'F' AS document, l_linestatus <> 'F' AND l_quantity > 40 AS chart, l_linestatus <> 'F' AND l_quantity > 20 AND l_quantity <= 40 AS audio, l_linestatus <> 'F' AND l_quantity <= 20 AS market, l_returnflag = 'R' AS sec, CAST(1 + (l_returnflag = 'R')::INT AS BIGINT) AS kinds FROM lineitem",
+    "x10_durations": "SELECT doc_id, round(octet_length(encode(text)) / 16000, 6) AS seconds FROM documents",
     "k01_k03_clean_texts": f"WITH {_P} SELECT o_orderkey, CASE WHEN flagged THEN rest ELSE concat(said, ' ', rest) END AS clean, flagged FROM ph",
     "k05_violations": f"WITH {_P} SELECT o_orderkey, CAST(1 AS BIGINT) AS sentences FROM ph WHERE flagged",
     "k04_sanitise_reports": f"WITH {_P} SELECT o_custkey AS report_id, count(*) FILTER (flagged AND o_orderkey % 3 <> 0) AS dropped, bool_or(flagged) AS blocked FROM ph GROUP BY 1",

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from finevidence.operators import reports
 from finevidence.operators import runs as R
 from finevidence.sources import adapters as A
 from finevidence.sources.adapters import shared_folder
@@ -66,6 +67,31 @@ def m14_plan_margins(spark, sf_dir):
     return s.select("plan", *(r(c) for c in s.columns[1:]))
 
 
+def m14_scale_table(spark, sf_dir):
+    s = R.scale_table(R.run_summary(R.run_totals(_costed(spark, sf_dir))))
+    return s.select(A.clean("runs").alias("runs"), r("monthly"))
+
+
+def m11_outcome_messages(spark, sf_dir):
+    """Runs of one step are bare."""
+    t = A.trace(spark, sf_dir)
+    return R.outcome_messages(t, ("signup",), t.groupBy("run_id").agg(F.count("*").alias("n")).where("n = 1"))
+
+
+def m15_trace_rows(spark, sf_dir):
+    return R.trace_rows(_costed(spark, sf_dir)).select(F.col("step_ord.event_id").alias("event_id"), "run_id", "line")
+
+
+def u03_warnings(spark, sf_dir):
+    """Failed steps, then targets missed, then costs that were estimated."""
+    c = _costed(spark, sf_dir)
+    totals = R.run_totals(c)
+    failed = c.where("NOT ok").select("run_id", F.concat(F.lit("failed: "), "step").alias("warning"))
+    slow = R.service_levels(totals).where("NOT all_ok").select("run_id", F.lit("slow").alias("warning"))
+    guess = R.cost_origin(totals).where("origin = 'estimated'").select("run_id", F.lit("cost estimated").alias("warning"))
+    return reports.warnings_union([failed, slow, guess], "run_id").select("run_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def m15_report_rows(spark, sf_dir):
     return R.report_rows(R.step_stats(_costed(spark, sf_dir)))
 
@@ -110,7 +136,7 @@ def z02_latest_state(spark, sf_dir):
     return R.latest_state(_events(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (m01_step_cost, m03_step_stats, m04_run_summary, m05_components, m06_cost_origin, m07_retries, m08_run_kpis, m11_outcomes, m12_service_levels, m13_cost_shares, m14_plan_margins, m15_report_rows, m10_node_status, s13_report_sink, a13_steps_by_model, w12_timeline, j10_step_nodes, u01_phase_union, z02_latest_state)}
+QUERIES = {f.__name__: f for f in (m01_step_cost, m03_step_stats, m04_run_summary, m05_components, m06_cost_origin, m07_retries, m08_run_kpis, m11_outcomes, m12_service_levels, m13_cost_shares, m14_plan_margins, m14_scale_table, m11_outcome_messages, m15_trace_rows, u03_warnings, m15_report_rows, m10_node_status, s13_report_sink, a13_steps_by_model, w12_timeline, j10_step_nodes, u01_phase_union, z02_latest_state)}
 
 _TRACE = """tr AS (
   SELECT user_id AS run_id, ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS nth, event_type AS step, concat('m', k % 3) AS model, value / 100 AS seconds,
@@ -127,9 +153,31 @@ stats AS (
 totals AS (
   SELECT run_id, count(*) AS steps, count(DISTINCT model) AS models, coalesce(sum(seconds) FILTER (step <> 'purchase'), 0) AS report_seconds, sum(seconds) AS total_seconds,
          sum(cost) AS cost, coalesce(sum(cost) FILTER (cost_real), 0) AS cost_reported FROM costed GROUP BY run_id)"""
+_half_up = lambda c: f"round(CAST({c} AS DECIMAL(18, 9)), 2)"
 _r = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
+# Steps in order, each with the first node that its name holds and no earlier step of its run has.
+_TAKEN = "tr AS (" + _TRACE.split("tr AS (", 1)[1].split("),\ncosted", 1)[0] + f"""),
+st AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY first) AS i, ok FROM (SELECT run_id, lower(step) AS step, min(nth) AS first, bool_and(ok) AS ok FROM tr GROUP BY 1, 2)),
+taken AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS node, CAST(NULL AS VARCHAR) AS step, true AS ok FROM st
+  UNION ALL SELECT run_id, i, CASE WHEN node IS NULL THEN held ELSE list_append(held, node) END, node, step, ok FROM (
+    SELECT st.run_id, st.i, held, st.step, st.ok, list_filter([{', '.join(f"{{'node': '{n}', 'word': '{w}'}}" for n, w in NODES)}], lambda x: contains(st.step, x.word) AND NOT list_contains(held, x.node))[1].node AS node
+    FROM taken JOIN st ON st.run_id = taken.run_id AND st.i = taken.i + 1))"""
+
 ORACLE_SQL = {
+    "j10_step_nodes": f"WITH RECURSIVE {_TAKEN} SELECT run_id, node, step FROM taken WHERE node IS NOT NULL",
+    "m10_node_status": f"""WITH RECURSIVE {_TAKEN} SELECT r.run_id, n.node, CASE WHEN t.ok IS NULL THEN 'skipped' WHEN t.ok THEN 'ok' ELSE 'failed' END AS status
+      FROM (SELECT DISTINCT run_id FROM tr) r CROSS JOIN (SELECT unnest([{', '.join(f"'{n}'" for n, _ in NODES)}]) AS node) n LEFT JOIN (SELECT * FROM taken WHERE node IS NOT NULL) t ON t.run_id = r.run_id AND t.node = n.node""",
+    "m15_report_rows": f"WITH {_TRACE} SELECT step, printf('%-12s %8.2f s  max %8.2f s  %10.6f USD  %d ok  %d failed', step, {_half_up('mean_seconds')}, {_half_up('max_seconds')}, mean_cost, runs_ok, runs_failed) AS line FROM stats",
+    "m15_trace_rows": f"WITH {_TRACE} SELECT event_id, run_id, printf('%s %-12s %8.2f s  %6d in  %6d out  %s', CASE WHEN parallel THEN '||' ELSE '  ' END, step, {_half_up('seconds')}, tokens_in, tokens_out, CASE WHEN ok THEN 'ok' ELSE 'failed' END) AS line FROM costed",
+    "m14_scale_table": f"WITH {_TRACE}, m AS (SELECT avg(cost) AS c FROM totals) SELECT runs, round(runs * c + 12, 6) AS monthly FROM m, (SELECT unnest([100, 1000, 10000])::BIGINT AS runs)",
+    "m11_outcome_messages": f"""WITH {_TRACE}, g AS (SELECT run_id, arg_min(step, nth) FILTER (NOT ok AND step = 'signup') AS broken, string_agg(DISTINCT step, ', ' ORDER BY step) FILTER (NOT ok AND step <> 'signup') AS warned, count(*) = 1 AS bare FROM tr GROUP BY 1)
+      SELECT run_id, CASE WHEN broken IS NOT NULL OR bare THEN 'failed' WHEN warned IS NOT NULL THEN 'degraded' ELSE 'ok' END AS outcome,
+        CASE WHEN broken IS NOT NULL THEN 'step failed: ' || broken WHEN bare THEN 'no data for the ticker' WHEN warned IS NOT NULL THEN 'without: ' || warned END AS message FROM g""",
+    "u03_warnings": f"""WITH {_TRACE}, w AS (SELECT DISTINCT run_id, 0 AS nth, 'failed: ' || step AS warning FROM costed WHERE NOT ok UNION ALL SELECT run_id, 1, 'slow' FROM totals WHERE total_seconds > 60
+        UNION ALL SELECT run_id, 2, 'cost estimated' FROM totals WHERE cost > 0 AND cost_reported / cost <= 0.005)
+      SELECT run_id, string_agg(warning, '; ' ORDER BY nth, warning) AS warnings FROM w GROUP BY 1""",
     "m01_step_cost": f"WITH {_TRACE} SELECT event_id, run_id, step, round(cost, 9) AS cost, cost_real, CASE WHEN NOT ok THEN 'failed' WHEN cost = 0 AND tokens_in = 0 AND model = 'm0' THEN 'local' ELSE 'model' END AS kind FROM costed",
     "m03_step_stats": f"WITH {_TRACE} SELECT step, model, {_r('mean_seconds', 'max_seconds', 'mean_cost', 'mean_tokens_in', 'mean_tokens_out')}, runs_ok, runs_failed FROM stats",
     "m04_run_summary": f"""WITH {_TRACE} SELECT count(*) AS runs, round(avg(report_seconds), 6) AS mean_report_seconds, round(max(report_seconds), 6) AS max_report_seconds, round(avg(total_seconds), 6) AS mean_total_seconds,

@@ -132,7 +132,26 @@ def r17_hashed_vectors(spark, sf_dir):
 def r18_contexts(spark, sf_dir):
     chunks, queries, _, _ = _corpus_weights(spark, sf_dir)
     hits = Q.lexical(chunks, queries, KEYS).where(F.col("rank") <= 4)
-    return Q.contexts(hits, _pages(spark, sf_dir), KEYS)
+    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    said = A.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), "text")
+    balance = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("text"))
+    c = Q.request_contexts(asked, Q.contexts(hits, _pages(spark, sf_dir), KEYS), said, market=balance)
+    return c.select("query_id", F.md5("context").alias("context_md5"))
+
+
+def r19_reading_blocks(spark, sf_dir):
+    """Orders as chart readings of their customers: those of one status are drawn, others sent."""
+    o = A.table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_custkey").alias("query_id"), F.when(F.col("o_orderstatus") == "F", "drawn").otherwise("sent").alias("origin"), F.struct(F.col("o_orderpriority").alias("trend"), F.col("o_orderkey").alias("chart")).alias("reading"))
+    return Q.reading_blocks(r).select("query_id", F.md5("block").alias("block_md5"))
+
+
+def r20_asked_contexts(spark, sf_dir):
+    """The document of a conversation's number as its question, with the source as report."""
+    turns = A.table(spark, sf_dir, "conversations")
+    asked = turns.groupBy("conv_id").agg(F.min("turn").alias("t"), F.count("*").alias("n"), F.max_by("role", "turn").alias("report"), F.max_by("text", "turn").alias("question"))
+    asked = asked.select("conv_id", "question", F.when(F.col("n") % 2 == 0, F.col("report")).alias("report"), F.lit(" ").alias("hits"))
+    return Q.asked_context(Q.conversation_context(turns), asked).select("conv_id", F.md5("context").alias("context_md5"))
 
 
 def r20_conversation_context(spark, sf_dir):
@@ -163,7 +182,7 @@ def x09_p12_estimates(spark, sf_dir):
     return d.select("doc_id", X.token_estimate("text").alias("tokens"), X.shorten(F.split_part("text", F.lit("\n"), F.lit(1)), 220).alias("head"))
 
 
-QUERIES = {f.__name__: f for f in (r01_w11_page_budget, r02_chunks, r03_empty_documents, r04_document_stats, a08_text_by_page, r05_tokens, r06_tf_idf, r07_r09_lexical_top, r08_coverage, r10_r11_semantic_top, r12_r14_hybrid_top, r12_rrf, r15_fallback, r16_j09_vector_mismatches, r17_hashed_vectors, r18_contexts, r20_conversation_context, x01_fold, x03_sentences, x08_content_key, x08_distinct_requests, x09_p12_estimates)}
+QUERIES = {f.__name__: f for f in (r01_w11_page_budget, r02_chunks, r03_empty_documents, r04_document_stats, a08_text_by_page, r05_tokens, r06_tf_idf, r07_r09_lexical_top, r08_coverage, r10_r11_semantic_top, r12_r14_hybrid_top, r12_rrf, r15_fallback, r16_j09_vector_mismatches, r17_hashed_vectors, r18_contexts, r19_reading_blocks, r20_asked_contexts, r20_conversation_context, x01_fold, x03_sentences, x08_content_key, x08_distinct_requests, x09_p12_estimates)}
 
 _LINES = "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)"
 _PAGES = _LINES + r""",
@@ -228,6 +247,16 @@ ORACLE_SQL = {
     "r15_fallback": f"""WITH {_PAGES} SELECT doc_id AS query_id, page, 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM lines)
       WHERE nth <= 4 AND doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "r16_j09_vector_mismatches": "SELECT doc_id, 'vector' AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'chunk' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
+    "r18_contexts": f"""WITH {_PAGES}, {_ASKED}, {_lexical('lines', 'doc_id, page')},
+      found AS (SELECT query_id, string_agg(concat('[document p.', page, '] ', text), chr(10) ORDER BY rank) AS t FROM lex JOIN lines USING (doc_id, page) WHERE rank <= 4 GROUP BY 1)
+      SELECT item_id AS query_id, md5(concat('Document:', chr(10), coalesce(t, '(none)'), chr(10), chr(10), 'Transcript:', chr(10), coalesce(left(d.text, 8000), '(none)'),
+        CASE WHEN s_name IS NOT NULL THEN concat(chr(10), chr(10), 'Market:', chr(10), s_name) ELSE '' END)) AS context_md5
+      FROM benchmark b LEFT JOIN found f ON f.query_id = item_id LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = item_id LEFT JOIN supplier ON s_suppkey = item_id""",
+    "r19_reading_blocks": """SELECT o_custkey AS query_id, md5(concat(string_agg(line, chr(10) ORDER BY nth, line), CASE WHEN count(*) > 1 THEN concat(chr(10), 'The charts may show different periods.') ELSE '' END)) AS block_md5
+      FROM (SELECT o_custkey, o_orderstatus <> 'F' AS nth, concat(CASE WHEN o_orderstatus = 'F' THEN 'Chart drawn from market data' ELSE 'Chart sent with the request' END, ': {"trend":"', o_orderpriority, '","chart":', o_orderkey, '}') AS line FROM orders) GROUP BY 1""",
+    "r20_asked_contexts": """SELECT conv_id, md5(concat(string_agg(concat(role, ': ', coalesce(text, '(none)')), chr(10) ORDER BY turn), chr(10), 'Report: ', CASE WHEN count(*) % 2 = 0 THEN arg_max(role, turn) ELSE '(none)' END, chr(10),
+      'Found: (none)', chr(10), 'Question: ', coalesce(nullif(trim(arg_max(text, turn)), ''), '(none)'))) AS context_md5 FROM conversations GROUP BY 1""",
+    "x08_content_key": "SELECT doc_id, sha256(" + " || ".join(f"unhex(printf('%016X', octet_length(encode(coalesce({c}, ''))))) || encode(coalesce({c}, ''))" for c in ("text", "lang", "source")) + ") AS content_key FROM documents",
     "r20_conversation_context": "SELECT conv_id, count(*) AS turns, md5(string_agg(concat(role, ': ', coalesce(text, '(none)')), chr(10) ORDER BY turn)) AS context_md5 FROM conversations GROUP BY 1",
     "x01_fold": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",
     "x03_sentences": r"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (

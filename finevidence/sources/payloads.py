@@ -99,3 +99,9 @@ def case_folders(spark: SparkSession, path: str) -> DataFrame:
         F.bool_or(F.col("name") == "informe.pdf").alias("report"), F.coalesce(F.min(F.when(voice, F.col("name"))), F.min(F.when(audio, F.col("name")))).alias("audio"),
         F.when(F.bool_or(voice), "question").when(F.bool_or(audio), "call").alias("role"), F.min(F.when(image, F.col("name"))).alias("image"), F.min(F.when(image, kind)).alias("image_type"), F.min("reason").alias("reason"),
     ).where("report").drop("report")
+
+
+def text_assets(asked: DataFrame, folder: str) -> DataFrame:
+    """``*, text``: the trimmed text of each named file of a folder, empty where it is absent. asked: ``name``."""
+    files = asked.sparkSession.read.text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
+    return asked.join(files, "name", "left").withColumn("text", F.coalesce("text", F.lit("")))
