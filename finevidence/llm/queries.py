@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finevidence.llm import ann, bpe, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
+from finevidence.llm import ann, bpe, exact_dedup, lexical, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
 from finevidence.llm.common import table
 
 
@@ -51,7 +51,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup, op11_lexical_search)
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -75,4 +82,29 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_lexical_search": r"""
+        WITH found AS (
+            SELECT doc_id, row_number() OVER () AS row_no,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        docs AS (SELECT *, len(terms) AS n FROM found WHERE len(terms) > 0),
+        facts AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        counts AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM counts, facts GROUP BY term),
+        scored AS (
+            SELECT a.item_id, d.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM asked a JOIN counts c USING (term) JOIN weights USING (term) JOIN docs d USING (row_no), facts
+            GROUP BY a.item_id, d.row_no, d.doc_id),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
