@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finevidence.llm import ann, bpe, exact_dedup, lexical, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
+from finevidence.llm import ann, bpe, exact_dedup, lexical, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity, vector_codes
 from finevidence.llm.common import table
 
 
@@ -55,12 +55,52 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup, op11_lexical_search)
+    for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup, op11_lexical_search, op12_vector_codes)
 }
 
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain rounds over all pairs of a part and an entry."""
+    nearest = """
+        a{r} AS MATERIALIZED (
+            SELECT vec_id, part, entry, away FROM (
+                SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS away,
+                       row_number() OVER (PARTITION BY c.vec_id, c.part ORDER BY away, b.entry) AS nth
+                FROM comp c JOIN b{r} b USING (part, place) GROUP BY c.vec_id, c.part, b.entry)
+            WHERE nth = 1)"""
+    replaced = """
+        b{s} AS MATERIALIZED (
+            SELECT b.part, b.entry, b.place, CAST(coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x) AS BIGINT) AS x
+            FROM b{r} b LEFT JOIN (
+                SELECT part, entry, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+                FROM comp JOIN a{r} USING (vec_id, part) GROUP BY part, entry, place) m USING (part, entry, place))"""
+    steps = ",".join(nearest.format(r=r) + "," + replaced.format(r=r, s=r + 1) for r in range(rounds))
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        comp AS MATERIALIZED (
+            SELECT vec_id, (j - 1) // (n // 8) AS part, (j - 1) % (n // 8) AS place, CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT) AS x
+            FROM (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS y, generate_subscripts(embedding, 1) AS j FROM kept)),
+        b0 AS MATERIALIZED (
+            SELECT part, entry, place, x
+            FROM comp JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)),
+        {steps},
+        {nearest.format(r=rounds)},
+        books AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{rounds}),
+        coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(away) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), books
+    """
+
+
 ORACLE_SQL = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
