@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finevidence.llm import ann, bpe, exact_dedup, lexical, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity, vector_codes
+from finevidence.llm import ann, bpe, exact_dedup, html_text, lexical, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity, vector_codes
 from finevidence.llm.common import table
 
 
@@ -59,9 +59,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup, op11_lexical_search, op12_vector_codes)
+    for f in (op1_bpe_roundtrip, op2_pii, op3_near_dedup, op4_toxicity, op5_nearest_neighbours, op6_license_scan, op7_quality, op8_best_fit_packing, op9_exact_dedup, op10_line_dedup, op11_lexical_search, op12_vector_codes, op13_html_text)
 }
 
 def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
