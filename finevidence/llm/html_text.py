@@ -143,6 +143,8 @@ class Reader:
                 add(page[pos : m.start()])
             pos, tag = m.end(), m[2]
             if tag is None:
+                if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), pos):
+                    pos = len(page)
                 continue
             tag = tag.lower()
             block = tag in _BLOCK
