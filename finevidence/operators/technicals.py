@@ -7,10 +7,13 @@ history gives null, never NaN. Rows with a null in o, h, l or c are no bars.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_BARS, MIN_CHART_BARS = 10, 2
+#: Days of a block of a symbol's bars, which one row holds.
+BLOCK_DAYS = 128
 # Thresholds and look-back ranges in days.
 TREND, PIVOT_SPAN, CLUSTER, MAX_LEVELS = 0.05, 5, 0.015, 3
 PERIODS = {"equity": 252, "crypto": 365}
@@ -73,17 +76,45 @@ def rsi_last(n: int = 14) -> Column:
 
 
 def ema_series(bars: DataFrame, n: int) -> DataFrame:
-    """Per bar the exponential average; one fold over each symbol's ordered closes."""
-    keep = 1 - 2 / (n + 1)
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("total"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("ema"))
+    """Per bar the exponential average: the mean of the first n closes, then ``keep * before + (1 - keep) * close``.
 
-    def step(acc, c):
-        total, k = acc["total"] + c, acc["k"] + 1
-        value = F.when(k < n, F.lit(None).cast("double")).when(k == n, total / n).otherwise((1 - keep) * c + keep * acc["ema"])
-        return F.struct(F.concat(acc["out"], F.array(value)).alias("out"), total.alias("total"), k.alias("k"), value.alias("ema"))
+    An associative scan: bars of a symbol are cut into blocks of BLOCK_DAYS days, each block is folded into one affine map,
+    the few maps of a symbol are chained in order, and each block's rows start from what the chain gives it. So a long
+    symbol spreads over tasks, and only its maps (one a block) meet in one."""
+    keep = 1 - 2 / (n + 1)
+    ok = bars.dropna(subset=["o", "h", "l", "c"])
+    own = ok.groupBy("symbol", F.floor(F.unix_date(F.to_date("day")) / BLOCK_DAYS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("day", "c"))).alias("x"))
+    before = F.sum("size").over(Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    first = own.select("symbol", "block", F.size("x").alias("size")).select("symbol", "block", before.alias("first"))
+    placed = own.join(first, ["symbol", "block"])
+    head = F.greatest(F.lit(0), F.least(F.size("x"), n - F.col("first"))).cast("int")  # bars of the first n
+    closes = lambda rows: F.transform(rows, lambda b: b["c"])
+    maps = placed.select(
+        "symbol", "block", "first", F.size("x").alias("size"), F.aggregate(closes(F.slice("x", F.lit(1), head)), F.lit(0.0), lambda t, c: t + c).alias("head"),
+        F.aggregate(closes(F.slice("x", head + 1, F.size("x"))), F.lit(0.0), lambda e, c: keep * e + (1 - keep) * c).alias("add"),
+    )
 
-    closes = indexed(bars).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "c"))).alias("x"))
-    folded = closes.select("symbol", "x", F.aggregate(F.transform("x", lambda b: b["c"]), start, step, lambda acc: acc["out"]).alias("out"))
+    def chain(f: pd.DataFrame) -> pd.DataFrame:
+        total, ema, carry = 0.0, 0.0, []
+        f = f.sort_values("block")
+        for first, size, head, add in zip(f["first"].tolist(), f["size"].tolist(), f["head"].tolist(), f["add"].tolist()):
+            carry.append(total if first < n else ema)
+            total += head
+            if first < n <= first + size:
+                ema = total / n
+            ema = keep ** max(0, min(size, first + size - n)) * ema + add
+        return f[["symbol", "block"]].assign(carry=carry)
+
+    kind = dict(bars.dtypes)["symbol"]
+    carried = maps.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, block bigint, carry double")
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.col("carry").alias("value"), F.col("first").alias("i"))
+
+    def step(acc: Column, c: Column) -> Column:
+        i = acc["i"] + 1
+        value = F.when(i < n, acc["value"] + c).when(i == n, (acc["value"] + c) / n).otherwise(keep * acc["value"] + (1 - keep) * c)
+        return F.struct(F.concat(acc["out"], F.array(F.when(i >= n, value))).alias("out"), value.alias("value"), i.alias("i"))
+
+    folded = placed.join(carried, ["symbol", "block"]).select("symbol", "x", F.aggregate(closes(F.col("x")), start, step, lambda acc: acc["out"]).alias("out"))
     return folded.select("symbol", F.explode(F.arrays_zip(F.transform("x", lambda b: b["day"]).alias("day"), F.col("out").alias("ema"))).alias("r")).select("symbol", F.col("r.day").alias("day"), F.col("r.ema").alias("ema"))
 
 
@@ -107,7 +138,7 @@ def levels(points: DataFrame, within: float = CLUSTER) -> DataFrame:
 def supports_resistances(levels_: DataFrame, last: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
     """``symbol, side, nth, level``: the nearest levels below the last close, and at or above it."""
     side = F.when(F.col("level") < F.col("last_close"), "support").otherwise("resistance")
-    near = Window.partitionBy("symbol", "side").orderBy(F.abs(F.col("level") - F.col("last_close")))
+    near = Window.partitionBy("symbol", "side").orderBy(F.abs(F.col("level") - F.col("last_close")), "level")
     joined = levels_.join(last, "symbol").withColumn("side", side).withColumn("nth", F.row_number().over(near))
     return joined.where(F.col("nth") <= most).select("symbol", "side", "nth", "level")
 

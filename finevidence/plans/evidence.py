@@ -175,7 +175,7 @@ def a12_source_flags(spark, sf_dir):
 
 def x10_durations(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.round(reports.duration_estimate(F.octet_length("text")), 6).alias("seconds"))
+    return d.select("doc_id", reports.duration_estimate(F.octet_length("text")).alias("seconds"))
 
 
 def a12_source_matrix(spark, sf_dir):
@@ -273,7 +273,7 @@ ORACLE_SQL = {
     "k01_k02_text_violations": f"WITH {_SPOKEN} SELECT id, match, count(*) AS n FROM met GROUP BY 1, 2",
     "a09_verified_by_origin": f"SELECT o_custkey AS report_id, 'document' AS origin, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",
     "a12_source_flags": "SELECT l_orderkey AS report_id, CAST(l_linenumber AS BIGINT) AS ord, l_linestatus = 'F' AS document, l_linestatus <> 'F' AND l_quantity > 40 AS chart, l_linestatus <> 'F' AND l_quantity > 20 AND l_quantity <= 40 AS audio, l_linestatus <> 'F' AND l_quantity <= 20 AS market, l_returnflag = 'R' AS sec, CAST(1 + (l_returnflag = 'R')::INT AS BIGINT) AS kinds FROM lineitem",
-    "x10_durations": "SELECT doc_id, round(octet_length(encode(text)) / 16000, 6) AS seconds FROM documents",
+    "x10_durations": "SELECT doc_id, octet_length(encode(text)) / 16000 AS seconds FROM documents",
     "k01_k03_clean_texts": f"WITH {_P} SELECT o_orderkey, CASE WHEN flagged THEN rest ELSE concat(said, ' ', rest) END AS clean, flagged FROM ph",
     "k05_violations": f"WITH {_P} SELECT o_orderkey, CAST(1 AS BIGINT) AS sentences FROM ph WHERE flagged",
     "k04_sanitise_reports": f"WITH {_P} SELECT o_custkey AS report_id, count(*) FILTER (flagged AND o_orderkey % 3 <> 0) AS dropped, bool_or(flagged) AS blocked FROM ph GROUP BY 1",

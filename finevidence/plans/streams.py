@@ -1,29 +1,123 @@
-"""Queries on streams."""
+"""Queries on streams: event files land in deliveries, out of order, and each delivery is a batch."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from finevidence.sources import adapters as A
 from finevidence.sources.adapters import shared_folder
-from finevidence.streaming import steps
+from finevidence.streaming import steps, windows
+
+#: Deliveries, the days that one holds in the main, hours that windows wait for late rows, and that a run may be silent.
+DELIVERIES, DAYS, DELAY_HOURS, SILENCE_HOURS = 6, 5, 12, 36
+#: Nodes in order: name, word of the steps' names, phase, capability.
+NODES = [("intake", "sign", 1, "speech"), ("reader", "err", 1, "text"), ("buyer", "purchase", 2, "image"), ("viewer", "view", 2, "text"), ("rest", "c", 3, "text")]
+MOCKS = ("image",)
+
+
+def deliveries(events):
+    """``delivery`` of each event: that of its days; one in 13 comes a delivery later, one in 29 two later."""
+    days = F.datediff(F.to_date("ts"), F.lit("2024-01-01"))
+    later = F.when(F.col("event_id") % 29 == 0, 2).when(F.col("event_id") % 13 == 0, 1).otherwise(0)
+    return events.withColumn("delivery", F.least(F.lit(DELIVERIES - 1), F.greatest(F.lit(0), F.floor(days / DAYS).cast("int")) + later))
+
+
+def _land(spark, sf_dir, base):
+    """Deliver the events file after file; yields after each delivery."""
+    events = deliveries(A.table(spark, sf_dir, "events"))
+    for k in range(DELIVERIES):
+        events.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{base}/landed")
+        yield f"{base}/landed"
+
+
+def _hours(spark, sf_dir):
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    delay = f"{DELAY_HOURS} hours"
+    for landed in _land(spark, sf_dir, base):
+        raw = spark.readStream.schema(steps.EVENTS).parquet(landed)
+        windows.write_closed(windows.closed_windows(raw, "ts", ["event_type"], "1 hour", delay, [F.count("*").alias("n"), F.sum("value").alias("total")]), base)
+        windows.write_late(raw, base, "ts", "1 hour", delay)
+    return base
 
 
 def z01_live_steps(spark, sf_dir):
     return steps.replay(spark, sf_dir, shared_folder(spark))
 
 
+def z01_stuck_runs(spark, sf_dir):
+    """Runs whose timer expired while a step still ran."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    plan = lambda raw: steps.live_state(steps.step_events(raw, f"{DELAY_HOURS} hours"), SILENCE_HOURS * 3_600_000)
+    for landed in _land(spark, sf_dir, base):
+        updates = steps.run_updates(spark, landed, f"{base}/stuck", plan)
+    return updates.where("stuck").select("run_id", "events", "running", "done")
+
+
 def z03_hourly_late_counts(spark, sf_dir):
-    """Event-time windows as the stream would close them, in batch."""
-    e = A.table(spark, sf_dir, "events")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    return w.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+    """Windows that closed, as the stream wrote them in append mode."""
+    w = spark.read.parquet(f"{_hours(spark, sf_dir)}/windows")
+    return w.select(F.col("start").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+def z03_late_rows(spark, sf_dir):
+    """Rows that came after their window was closed, as the stream routed them."""
+    late = windows.read_late(spark, _hours(spark, sf_dir), steps.EVENTS)
+    return late.select("event_id", F.date_trunc("hour", "ts").alias("hour"), A.clean("batch").alias("delivery"))
+
+
+def m10_live_nodes(spark, sf_dir):
+    """All nodes of every run (a user's day) after its last update."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    nodes = spark.createDataFrame([(i, *n) for i, n in enumerate(NODES)], "nth int, node string, word string, phase int, capability string")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01"))
+    plan = lambda raw: steps.node_states(steps.step_states(steps.step_events(raw, run=F.col("user_id") * 1000 + day)), nodes, 3, MOCKS)
+    updates = steps.run_updates(spark, f"{sf_dir}/events.parquet*", base, plan)
+    last = updates.groupBy("run_id", "node").agg(F.max_by("status", "events").alias("status"))
+    return last.select("run_id", "node", "status")
+
+
+QUERIES = {f.__name__: f for f in (z01_live_steps, z01_stuck_runs, z03_hourly_late_counts, z03_late_rows, m10_live_nodes)}
+
+_DELIVERED = f"""d AS MATERIALIZED (SELECT *, date_trunc('hour', ts) AS hour, least({DELIVERIES - 1}, greatest(0, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {DAYS})
+      + CASE WHEN event_id % 29 = 0 THEN 2 WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) AS delivery FROM events),
+  marks AS MATERIALIZED (SELECT delivery, max(max(ts)) OVER (ORDER BY delivery) - INTERVAL {DELAY_HOURS} HOUR AS mark FROM d GROUP BY delivery),
+  e AS MATERIALIZED (SELECT d.*, m.mark AS passed FROM d LEFT JOIN marks m ON m.delivery = d.delivery - 1)"""
+
+
+def _stuck_sql() -> str:
+    """Delivery after delivery: what is held, and which runs the watermark has passed by the silence."""
+    held, passed = [], []
+    for k in range(DELIVERIES):
+        old = f"SELECT * FROM held{k - 1} WHERE run_id NOT IN (SELECT run_id FROM gone{k - 1}) UNION ALL " if k else ""
+        held.append(f"""held{k} AS MATERIALIZED ({old}SELECT user_id AS run_id, coalesce(event_type, '') AS step, ts, event_id FROM e WHERE delivery = {k} AND user_id IS NOT NULL AND (passed IS NULL OR ts > passed)),
+  gone{k} AS MATERIALIZED (SELECT run_id FROM held{k} GROUP BY 1 HAVING max(ts) + INTERVAL {SILENCE_HOURS} HOUR <= (SELECT mark FROM marks WHERE delivery = {k}))""")
+        passed.append(f"SELECT {k} AS delivery, held{k}.* FROM held{k} JOIN gone{k} USING (run_id)")
+    return f"""WITH {_DELIVERED}, {', '.join(held)},
+  last AS (SELECT delivery, run_id, step, count(*) AS n, arg_max(event_id, (ts, event_id)) % 2 = 0 AS runs FROM ({' UNION ALL '.join(passed)}) GROUP BY 1, 2, 3)
+  SELECT run_id, CAST(sum(n) AS BIGINT) AS events, coalesce(string_agg(step, ',' ORDER BY step) FILTER (runs), '') AS running, coalesce(string_agg(step, ',' ORDER BY step) FILTER (NOT runs), '') AS done
+  FROM last GROUP BY delivery, run_id HAVING bool_or(runs)"""
 
 
-QUERIES = {f.__name__: f for f in (z01_live_steps, z03_hourly_late_counts)}
+_LISTED = ", ".join(f"{{'node': '{n}', 'word': '{w}', 'phase': {p}, 'mock': {str(c in MOCKS).lower()}}}" for n, w, p, c in NODES)
 ORACLE_SQL = {
     "z01_live_steps": """WITH s AS (SELECT user_id AS run_id, event_type AS step, arg_max(event_id, nth) % 2 = 0 AS runs, count(*) AS n
         FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events) GROUP BY 1, 2)
       SELECT run_id, CAST(sum(n) AS BIGINT) AS events, coalesce(string_agg(step, ',' ORDER BY step) FILTER (runs), '') AS running, coalesce(string_agg(step, ',' ORDER BY step) FILTER (NOT runs), '') AS done FROM s GROUP BY 1""",
-    "z03_hourly_late_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    "z01_stuck_runs": _stuck_sql(),
+    "z03_hourly_late_counts": f"""WITH {_DELIVERED} SELECT hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e
+      WHERE (passed IS NULL OR hour + INTERVAL 1 HOUR > passed) AND hour + INTERVAL 1 HOUR <= (SELECT max(mark) FROM marks) GROUP BY 1, 2""",
+    "z03_late_rows": f"WITH {_DELIVERED} SELECT event_id, hour, CAST(delivery AS BIGINT) AS delivery FROM e WHERE hour + INTERVAL 1 HOUR <= passed",
+    "m10_live_nodes": f"""WITH RECURSIVE ev AS (SELECT user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS run_id, lower(event_type) AS step, ts, event_id FROM events WHERE user_id IS NOT NULL),
+  st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first, step) AS i FROM (SELECT run_id, step, min(ts) AS first, arg_max(event_id, (ts, event_id)) % 2 = 0 AS runs, step <> 'error' AS ok FROM ev GROUP BY 1, 2)),
+  taken AS (
+    SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS node, false AS runs, true AS ok FROM st
+    UNION ALL SELECT run_id, i, CASE WHEN node IS NULL THEN held ELSE list_append(held, node) END, node, runs, ok FROM (
+      SELECT st.run_id, st.i, held, st.runs, st.ok, list_filter([{_LISTED}], lambda x: contains(st.step, x.word) AND NOT list_contains(held, x.node))[1].node AS node
+      FROM taken JOIN st ON st.run_id = taken.run_id AND st.i = taken.i + 1)),
+  nodes AS (SELECT unnest([{_LISTED}], recursive := true)),
+  live AS (SELECT r.run_id, greatest(1, coalesce(max(n.phase), 1)) AS live FROM (SELECT DISTINCT run_id FROM st) r LEFT JOIN taken t ON t.run_id = r.run_id AND t.node IS NOT NULL LEFT JOIN nodes n ON n.node = t.node GROUP BY 1)
+  SELECT l.run_id, n.node, CASE WHEN t.runs THEN 'running' WHEN NOT t.ok THEN 'failed' WHEN t.ok AND n.mock THEN 'simulated' WHEN t.ok THEN 'ok' WHEN n.phase < l.live THEN 'skipped' ELSE 'pending' END AS status
+  FROM live l CROSS JOIN nodes n LEFT JOIN (SELECT * FROM taken WHERE node IS NOT NULL) t ON t.run_id = l.run_id AND t.node = n.node""",
 }

@@ -2,7 +2,7 @@ import datetime as dt
 import math
 
 import pytest
-
+from pyspark.sql import functions as F
 from finevidence.operators import technicals as T
 
 CLASSIC = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28]
@@ -94,3 +94,21 @@ def test_partitioning_does_not_matter(spark):
     b = bars(spark, [50 + (i * 37 % 17) for i in range(80)])
     rows = lambda df: df.select("symbol", "trend", *(F.round(c, 9).alias(c) for c in ("ema20", "rsi14", "trend_slope"))).collect()
     assert rows(T.summary(b)) == rows(T.summary(b.repartition(7)))
+
+
+def test_ema_of_a_long_symbol(spark):
+    """A million bars of one symbol, and a short one, against the recurrence."""
+    n, size = 20, 1_000_000
+    rows = spark.range(size).selectExpr("1 AS symbol", "date_add(date'0001-01-01', cast(id AS int)) AS day", "cast(100 + (id * 7919) % 1009 / 10.0 AS double) AS c")
+    rows = rows.unionByName(spark.range(30).selectExpr("2 AS symbol", "date_add(date'2020-01-01', cast(id * 9 AS int)) AS day", "cast(id AS double) AS c"))
+    bars = rows.selectExpr("symbol", "day", "c AS o", "c AS h", "c AS l", "c", "1.0D AS v")
+    got = T.ema_series(bars, n).groupBy("symbol").agg(F.count("*").alias("bars"), F.count("ema").alias("some"), F.sum("ema").alias("total"), F.max_by("ema", "day").alias("last")).orderBy("symbol").collect()
+    for r, closes in zip(got, ([100 + (i * 7919) % 1009 / 10 for i in range(size)], [float(i) for i in range(30)])):
+        ema = sum(closes[:n]) / n
+        total = ema
+        for c in closes[n:]:
+            ema = ema * (1 - 2 / (n + 1)) + c * 2 / (n + 1)
+            total += ema
+        assert (r.bars, r.some) == (len(closes), len(closes) - n + 1)
+        assert r.total == pytest.approx(total, rel=1e-9) and r.last == pytest.approx(ema, rel=1e-9)
+    assert T.ema_series(bars.limit(0), n).count() == 0
