@@ -139,17 +139,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     words = F.regexp_extract_all(F.translate(whole_text(text_col), CAPITALS, SMALL), F.lit(WORDS), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
     from_ = lambda i: F.slice("words", F.lit(i), F.greatest(F.size("words"), F.lit(1)))
-    pairs = F.zip_with("words", from_(2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    triples = F.zip_with(F.arrays_zip(F.col("words").alias("a"), from_(2).alias("b")), from_(3), lambda x, c: F.when(c.isNotNull(), F.xxhash64(x["a"], x["b"], c)))
-    # 0: the text's own row; 1 to n: pairs; n + 1 to 2 n: triples (those that would pass the end are null)
-    grams = rows.select("doc_id", "row", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), pairs, triples)).alias("nth", "hash"))
-    n = F.size("words")
-    at = F.when(F.col("nth") > n, F.col("nth") - n - 1).otherwise(F.col("nth") - 1)
-    same = lambda i, word: F.get("words", F.col("at") + i).eqNullSafe(F.col(word))
+    gram = lambda hash_, a, b, c: F.struct(hash_.alias("hash"), a.alias("a"), b.alias("b"), c.alias("c"))
+    no_word = F.lit(None).cast("string")
+    pairs = F.zip_with("words", from_(2), lambda a, b: gram(F.when(b.isNotNull(), F.xxhash64(a, b)), a, b, no_word))
+    triples = F.zip_with(F.arrays_zip(F.col("words").alias("a"), from_(2).alias("b")), from_(3), lambda x, c: gram(F.when(c.isNotNull(), F.xxhash64(x["a"], x["b"], c)), x["a"], x["b"], c))
+    # 0: the text's own row; 1 to n: pairs; n + 1 to 2 n: triples (those that would pass the end have a null hash). A gram
+    # takes its own words along and not the text's, so the rows of a text grow with its length
+    own = F.array(gram(F.lit(0).cast("long"), no_word, no_word, no_word))
+    grams = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.concat(own, pairs, triples).alias("grams")).select("doc_id", "row", "n_words", F.posexplode("grams").alias("nth", "gram"))
+    at = F.when(F.col("nth") > F.col("n_words"), F.col("nth") - F.col("n_words") - 1).otherwise(F.col("nth") - 1).cast("int")
+    same = lambda own, word: F.col(own).eqNullSafe(F.col(word))
     hits = (
-        grams.withColumn("at", at).join(F.broadcast(template_places(spark, base, templates)), "hash")
-        .where((F.col("template") < 0) & (F.col("nth") == 0) | (F.col("nth") > 0) & same(0, "one") & same(1, "two") & (F.col("three").isNull() | same(2, "three")))
-        .select("doc_id", "row", n.cast("long").alias("n_words"), "template", "label", "base", "place", "needed", "at", (F.col("at") - F.col("place")).alias("diagonal"))
+        grams.select("doc_id", "row", "n_words", "nth", at.alias("at"), "gram.*").where("hash IS NOT NULL").join(F.broadcast(template_places(spark, base, templates)), "hash")
+        .where((F.col("template") < 0) & (F.col("nth") == 0) | (F.col("nth") > 0) & same("a", "one") & same("b", "two") & (F.col("three").isNull() | same("c", "three")))
+        .select("doc_id", "row", "n_words", "template", "label", "base", "place", "needed", "at", (F.col("at") - F.col("place")).alias("diagonal"))
         .repartition("row")
     )
     key = ["row", "doc_id", "n_words", "template", "label", "base", "needed"]

@@ -12,9 +12,11 @@ with the term or the entity, N all documents. At all their places in all documen
 ``generalise`` for some entity are replaced by their kind, those that reach ``remove`` are removed, if the two
 stand together in at least ``support`` documents (a pair seen once tells nothing about either).
 
-n(t) needs all words of the corpus, but only for terms that might disclose: n(t) is at least the number of
-documents with the term and any base match, which rules out most common words before (exactly, as disclosure
-only falls with n(t)). A bitmap of fixed size of the hashes of the others keeps the rest of the corpus out of the shuffle.
+n(t) needs all words of the corpus, but only for terms that might disclose: n(t) is at least n_any(t), the number of
+documents with the term and any base match. As n(t, e) is at most n(e) and n_any(t), an entity can be disclosed only by terms with
+n_any(t) up to max(n(e), N^(1 - generalise) n(e)^generalise), so a document pairs its entities with such terms alone. Tables of
+fixed size of the hashes of terms and entities keep the rest of the corpus out of the shuffle; they err on the safe side, and exact
+counts decide. A word's lower case is that of the word alone, wherever words are compared.
 
 A null text counts as empty. Rows with equal id and text get the same spans. Null ids are allowed, and
 empty tables give empty results. Base spans never change or go; terms never overlap them.
@@ -148,29 +150,73 @@ def _bits(terms: DataFrame):
     return terms.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap(terms), bitorder="little").astype(bool))
 
 
-def pair_counts(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, n_both`` over whole texts for the entities in ``entities``; entity "" stands for any base match."""
+def level(n):
+    """ceil(log4(n)) of a column of counts, 15 at most; ranges of counts with a bitmap each."""
+    return F.least(F.lit(15), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(n, F.lit(1.0))) / F.log(F.lit(4.0)) - 1e-9))).cast("int")
+
+
+def _levels(rows: DataFrame, highest: bool) -> np.ndarray:
+    """The highest or lowest ``level`` of ``rows`` (term, level) with each value of crc32(term) modulo BITS; -1 or 16
+    where there is none. 16 bitmaps at most reach the driver."""
+    bit = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(BITS)).cast("long")
+    parts = rows.select(bit.alias("bit"), "level").groupBy("level", F.shiftright("bit", 15).alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position((bit % 32768) + 1))").alias("bits")).collect()
+    out = np.full(BITS, -1 if highest else 16, np.int8)
+    for r in sorted(parts, key=lambda r: r["level"] if highest else -r["level"]):
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")) + r["part"] * 32768
+        out[at] = r["level"]
+    return out
+
+
+def any_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, n_any``: documents with the term and any base match, over whole texts."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        counts = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if spans := base_spans(text):
+                    counts.update({t for t, _, _ in terms_outside(text, spans)})
+                    if len(counts) > 300_000:
+                        yield flush()
+                        counts.clear()
+        yield flush()
+
+    partial = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "term string, n long")
+    return partial.groupBy("term").agg(F.sum("n").alias("n_any"))
+
+
+def pair_counts(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """``entity, term, n_both`` over whole texts for ``entities`` (entity, most) and ``terms`` (term, n_any) with n_any up to
+    the level of the entity's ``most``."""
     small_batches(docs.sparkSession)
-    bits = _bits(entities.select(F.col("entity").alias("term")))
+    reach = _levels(entities.select(F.col("entity").alias("term"), level(F.col("most")).alias("level")), highest=True)
+    rare = _levels(terms.select("term", level(F.col("n_any")).alias("level")), highest=False)
+    sent = docs.sparkSession.sparkContext.broadcast((reach, rare))
 
     def run(batches):
-        set_, counts = bits.value, Counter()
+        (reach, rare), counts = sent.value, Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
         for b in batches:
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
-                own = [e for e in entities_of(text, spans) if set_[zlib.crc32(e.encode()) % BITS]]
-                terms = {t for t, _, _ in terms_outside(text, spans)} if spans else ()
-                for e in ["", *own]:
-                    counts.update((e, t) for t in terms)
+                own = [(e, at) for e in entities_of(text, spans) if (at := int(reach[zlib.crc32(e.encode()) % BITS])) >= 0] if spans else []
+                if not own:
+                    continue
+                by_level = [[] for _ in range(17)]
+                for t in {t for t, _, _ in terms_outside(text, spans)}:
+                    by_level[rare[zlib.crc32(t.encode()) % BITS]].append(t)
+                for e, at in own:
+                    for some in by_level[: at + 1]:
+                        counts.update((e, t) for t in some)
                     if len(counts) > 200_000:
                         yield flush()
                         counts.clear()
         yield flush()
 
     partial = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "entity string, term string, n long")
-    known = entities.select("entity").unionByName(entities.sparkSession.createDataFrame([("",)], "entity string"))
-    return partial.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(known, "entity", "left_semi")
+    return partial.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(entities.select("entity"), "entity", "left_semi")
 
 
 def _disclosure(n: int, n_both: str, n_term: str, n_entity: str):
@@ -183,16 +229,18 @@ def candidate_pairs(docs: DataFrame, found: DataFrame, least: float, support: in
     """``entity, term, n_both, n_entity`` for pairs that stand together in at least ``support`` documents and whose
     disclosure might be ``least``; and the number of documents."""
     counted = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entities = materialise(counted.where(F.col("n_entity") >= support))  # others can't reach it with any term
-    together = materialise(pair_counts(docs, entities, text_col).where(F.col("n_both") >= support))
-    n, total = found.count(), together.count()
-    pairs = together.where("entity <> ''")
-    per_term = pairs.groupBy("term").agg(F.count("*").alias("size")).join(together.where("entity = ''").select("term", F.col("n_both").alias("n_any")), "term")
+    n = found.count()
+    most = F.greatest(F.col("n_entity").cast("double"), F.pow(F.lit(float(max(1, n))), F.lit(1 - least)) * F.pow(F.col("n_entity"), F.lit(least)))
+    entities = materialise(counted.where(F.col("n_entity") >= support).withColumn("most", most * (1 + 1e-9)))  # others can't reach it with any term
+    terms = materialise(any_counts(docs, text_col).where(F.col("n_any") >= support))
+    pairs = materialise(pair_counts(docs, entities, terms, text_col).where(F.col("n_both") >= support))
+    total = pairs.count()
+    per_term = pairs.groupBy("term").agg(F.count("*").alias("size")).join(terms, "term")
     both = join_groups(pairs, per_term, ["term"], "size", total, ["entity"]).drop("size")
     per_entity = pairs.groupBy("entity").agg(F.count("*").alias("size")).join(entities, "entity")
     both = join_groups(both, per_entity, ["entity"], "size", total, ["term"])
     out = materialise(both.where(_disclosure(n, "n_both", "n_any", "n_entity") >= least - 1e-9).select("entity", "term", "n_both", "n_entity"))
-    release(entities, together)
+    release(entities, terms, pairs)
     return out, n
 
 
@@ -218,7 +266,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
 
 def marked_words(text: str, known: dict[str, bool], bits: np.ndarray) -> list[str]:
     """The different words of a text whose bits are set; ``known`` keeps what was looked up."""
-    words = set(_WORD.findall(text.lower()))
+    words = {w.lower() for w in set(_WORD.findall(text))}
     if len(known) > 300_000:
         known.clear()
     known.update((w, bool(bits[zlib.crc32(w.encode()) % BITS])) for w in words.difference(known))

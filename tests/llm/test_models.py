@@ -346,3 +346,66 @@ def test_terms_at_all_places(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("badge77" not in clean[i] and "Quillfeather" not in clean[i] for i in range(5))
     assert clean[5] == pad and all(clean[i].count(pad) == 2 for i in range(4))
+
+
+def brute_terms(texts, least=0.9, support=3):
+    """Disclosing terms by plain counts over all documents and pairs."""
+    n, have, entity, both = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        spans = pii.base_spans(t)
+        words = {m.group().lower() for m in re.finditer(r"\w+", t)}
+        free = {m.group().lower() for m in re.finditer(r"\w+", t) if all(m.end() <= a or b <= m.start() for a, b, _ in spans)}
+        own = {(k, t[a:b].lower()) for a, b, k in spans}
+        have.update(words)
+        entity.update(own)
+        both.update((e, w) for e in own for w in free)
+    return {w for (e, w), k in both.items() if k >= support and entity[e] < n and math.log(n * k / (have[w] * entity[e])) / math.log(n / entity[e]) >= least - 1e-9}
+
+
+def found_terms(df, texts):
+    return {texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for r in pii.detect(df).collect() for s in r.spans.split(",") if s.startswith("term")}
+
+
+def test_terms_whose_lower_case_depends_on_the_text(spark):
+    """Capital dotted I becomes two code points, a capital sigma differs by its place."""
+    texts = [f"x{i} speaking İzmirbadge ΟΔΟΣ’ΣΑΣ contact jo@x.example.com" for i in range(6)] + ["İzmirbadge alone", "ΟΔΟΣ alone"] + [f"common words {i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_terms(texts)
+    assert {"izmirbadge".replace("i", "i̇", 1), "οδος", "σας", "speaking"} <= want
+    assert found_terms(df, texts) == want
+    assert "İzmirbadge" not in {r.doc_id: r.text for r in pii.sanitise(df).collect()}[6]
+
+
+def test_terms_of_logs_with_many_entities(spark):
+    """Documents with many entities and many words, against all pairs; only rare terms are paired with an entity."""
+    r = np.random.default_rng(6)
+    texts = []
+    for i in range(60):
+        who = r.integers(0, 40, 30)
+        texts.append(" ".join(f"user{u}@h{u}.example.com tag{u} {' '.join(f'w{x}' for x in r.integers(0, 300, 20))} g{u // 10}" for u in who) + f" rare{i // 3}")
+    texts += [f"w{i} plain w{i + 1} text" for i in range(250)] + ["", "tag3 elsewhere"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_terms(texts)
+    assert len(want) > 10 and found_terms(df, texts) == want
+    found = pii.find(df)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.lit(4.0).alias("most"))
+    pairs = pii.pair_counts(df, entities, pii.any_counts(df)).select("term").distinct()
+    kept = {r.term for r in pairs.collect()}
+    assert {f"rare{i}" for i in range(20)} <= kept and all(sum(t in x.split() for x in texts[:60]) <= 16 for t in kept)
+
+
+def test_license_scan_is_linear_in_a_text(spark):
+    """Words of a text are not carried by each of its grams: ten times the words, about ten times the bytes."""
+    import time
+
+    def seconds(n):
+        text = " ".join("all rights reserved" if i % 50 == 0 else f"w{i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        at = time.time()
+        row = licenses.scan(df).first()
+        assert row.n_base == -(-n // 50) and row.base_labels == "reserved"
+        return time.time() - at
+
+    seconds(2_000)
+    short, long = seconds(20_000), seconds(200_000)
+    assert long < 20 * max(short, 0.5)
