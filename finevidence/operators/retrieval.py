@@ -1,15 +1,19 @@
 """Chunks, TF-IDF, vector and hybrid ranking for many queries at once.
 
-Queries are sent to the chunks in slices of a counted size, and a chunk's scores are made where it is; of them
-only the best of each task are shuffled. Ranks break ties by chunk order, after
+Whole rankings (``lexical``, ``semantic``) score every chunk for every query. The best k come without: ``lexical_top`` keeps
+posting blocks by impact with their maxima and scores only chunks that can reach a query's k-th score;
+``semantic_top`` and ``candidate_ranks`` meet blocks of queries with blocks of chunks, one plan whatever their
+number, and only the best of each block and counts are shuffled. Ranks break ties by chunk order, after
 rounding to 12 decimals, so that float noise doesn't reorder equal scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ MISSING = "(none)"
 EMBEDDED = 64
 #: Queries, and terms of queries, that are broadcast at once; more are joined in slices of about this many.
 BROADCAST_QUERIES, BROADCAST_TERMS = 1000, 1_000_000
+#: Chunks and queries of a block.
+CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Postings of a query that give its first bound on the k-th score, a result; blocks of more are taken last.
+FIRST_POSTINGS = 64
 
 
 def page_budget(pages: DataFrame, budget: int = X.PAGE_BUDGET) -> DataFrame:
@@ -86,6 +94,46 @@ def lexical(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str])
     return ranked(lexical_scores(chunk_weights, query_weights, keys), keys)
 
 
+def posting_blocks(chunk_weights: DataFrame, query_weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries' terms' postings with the ``level`` of their impact (quarters of a power of two), and ``query_id, term,
+    level, n, most``: postings of each block (a term's of one level) and the most that one adds to the query's score."""
+    asked = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
+    postings = chunk_weights.join(asked.select("term").distinct(), "term", "left_semi").withColumn("level", F.floor(-4 * F.log2("weight")).cast("int"))
+    blocks = postings.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
+    return postings, asked.join(blocks, "term").select("query_id", "term", "level", "n", (F.col("qw") * F.col("top")).alias("most"))
+
+
+def lexical_top(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str], k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``query_id, *keys, score, rank``: the k best of ``lexical``, of which far fewer chunks are scored."""
+    pairs, postings = lexical_pairs(chunk_weights, query_weights, keys, k, keep)
+    return ranked(_pair_scores(pairs, postings, query_weights, keys), keys).where(F.col("rank") <= k)
+
+
+def lexical_pairs(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str], k: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``query_id, *keys`` of all chunks that can be among a query's k best, and the postings that score them.
+
+    Some postings of highest impact give a query k scores, the least of which bounds the k-th from below. Blocks are then
+    closed from the least impact on, as long as the sum over the terms of the most that a closed block adds stays below the bound: a
+    chunk all of whose postings are in closed blocks can't reach it. Chunks with a posting in an open block are the
+    pairs. Long lists of common terms are closed first, as they add little. Ranges of impact instead of sorted lists
+    need no order within a term, so a common term is no hot key."""
+    postings, blocks = posting_blocks(chunk_weights, query_weights)
+    postings, blocks = keep(postings), keep(blocks)
+    met = lambda some: postings.join(some.select("query_id", "term", "level"), ["term", "level"]).select("query_id", *keys).distinct()
+    most_first = Window.partitionBy("query_id").orderBy(F.col("n") > FIRST_POSTINGS * k, F.desc("most"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.withColumn("before", F.coalesce(F.sum("n").over(most_first), F.lit(0))).where(F.col("before") < FIRST_POSTINGS * k)
+    bound = ranked(_pair_scores(met(first), postings, query_weights, keys), keys).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    own = F.col("most") - F.coalesce(F.lag("most").over(Window.partitionBy("query_id", "term").orderBy("most", "level")), F.lit(0.0))
+    least_first = Window.partitionBy("query_id").orderBy("most", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
+    spent = blocks.withColumn("own", own).withColumn("spent", F.sum("own").over(least_first)).join(bound, "query_id", "left")
+    return keep(met(spent.where(F.col("bound").isNull() | (F.col("spent") > F.col("bound") - 1e-9)))), postings
+
+
+def _pair_scores(pairs: DataFrame, postings: DataFrame, query_weights: DataFrame, keys: list[str]) -> DataFrame:
+    terms = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
+    return pairs.join(postings.select(*keys, "term", "weight"), keys).join(terms, ["query_id", "term"]).groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+
+
 def ranked(scores: DataFrame, keys: list[str]) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), *keys)
     return scores.withColumn("rank", F.row_number().over(best))
@@ -120,18 +168,102 @@ def semantic(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFram
     return ranked(semantic_scores(corpus, queries, keys), keys)
 
 
-def positions(scores: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """``query_id, *keys, score, rank``: the rank that ``chosen`` rows (query_id, keys, score; few a query) have among
-    all scores. The others are only counted by the first chosen row that they stand before, never sorted."""
-    order = F.struct((-F.round("score", 12)).alias("s"), *keys)
-    within = Window.partitionBy("query_id").orderBy("o")
-    mine = chosen.select("query_id", *keys, "score", order.alias("o")).withColumn("nth", F.row_number().over(within))
-    listed = mine.groupBy("query_id").agg(F.array_sort(F.collect_list("o")).alias("list"))
-    others = scores.join(F.broadcast(chosen.select("query_id", *keys)), ["query_id", *keys], "left_anti").select("query_id", order.alias("o"))
-    met = others.join(F.broadcast(listed), "query_id").where(F.col("o") < F.element_at("list", -1))
-    counted = met.select("query_id", (1 + F.size(F.filter("list", lambda w: w < F.col("o")))).alias("nth")).groupBy("query_id", "nth").agg(F.count("*").alias("n"))
-    before = F.sum(F.coalesce("n", F.lit(0))).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return mine.join(counted, ["query_id", "nth"], "left").select("query_id", *keys, "score", (F.col("nth") + before).alias("rank"))
+def numbered(rows: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``*keys, pos`` for each distinct key; ``pos`` rises with the keys."""
+    return keep(rows.select(*keys).distinct().orderBy(*keys).withColumn("pos", F.monotonically_increasing_id()))
+
+
+def _of_vectors(chunks: pa.Table, queries: pa.Table) -> Iterator[np.ndarray]:
+    """Scores of all chunks, query after query: one matrix product a block."""
+    stack = lambda t: np.stack(t["v"].to_numpy()) if len(t) else np.zeros((0, 1))
+    if len(chunks) and len(queries):
+        yield from stack(queries) @ stack(chunks).T
+
+
+def _of_terms(chunks: pa.Table, queries: pa.Table) -> Iterator[np.ndarray]:
+    """Scores of the chunks that share a term, minus infinity for others: the block's postings by term, those of a query's terms summed up."""
+    flat = lambda t, c: (x := t[c].combine_chunks()).flatten().to_numpy()
+    size = np.array([len(x) for x in chunks["terms"]], np.int64)
+    term, weight, chunk = flat(chunks, "terms"), flat(chunks, "weights"), np.repeat(np.arange(len(chunks)), size)
+    order = np.argsort(term, kind="stable")
+    term, weight, chunk = term[order], weight[order], chunk[order]
+    for terms, weights in zip(queries["terms"].to_numpy(), queries["weights"].to_numpy()):
+        by = np.argsort(terms)
+        lo, hi = np.searchsorted(term, terms[by]), np.searchsorted(term, terms[by], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        s = np.bincount(chunk[at], weight[at] * np.repeat(weights[by], n), len(chunks))
+        yield np.where(np.bincount(chunk[at], minlength=len(chunks)) > 0, s, -np.inf)
+
+
+def blocked(chunks: DataFrame, queries: DataFrame, scores: Callable, deep: int, within: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``query_id, pos, score``: the ``deep`` best of each block of chunks for each query, and ``query_id, nth, n``: how many of the other
+    chunks stand before a query's nth mark and after those before it.
+
+    chunks: ``pos`` and what ``scores`` reads; queries: ``query_id``, the same, and ``marks``, an array of (s, pos) in order of
+    rank. Chunks and queries meet in blocks, so a task holds one block of each; ``within`` names columns that must agree."""
+    n_chunks, n_queries = chunks.count(), queries.count()
+    of = lambda c, n, size: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // size)))).cast("int")
+    every = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))
+    left = chunks.withColumn("c_block", of("pos", n_chunks, CHUNK_BLOCK)).withColumn("q_block", every(n_queries, QUERY_BLOCK))
+    right = queries.withColumn("q_block", of("query_id", n_queries, QUERY_BLOCK)).withColumn("c_block", every(n_chunks, CHUNK_BLOCK))
+    kind = dict(queries.dtypes)["query_id"]
+
+    def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        pos, out = chunks["pos"].to_numpy(), []
+        marks = queries["marks"].to_pylist()
+        for i, s in enumerate(scores(chunks, queries)):
+            there = np.flatnonzero(s > -np.inf)
+            r, own = np.round(s[there], 12), pos[there]
+            if deep:
+                some = np.flatnonzero(r >= np.partition(r, len(r) - deep)[len(r) - deep]) if len(r) > deep else np.arange(len(r))
+                best = some[np.lexsort((own[some], -r[some]))][:deep]
+                out.append((np.full(len(best), i), own[best], s[there][best], np.full(len(best), -1), np.zeros(len(best), np.int64)))
+            if marks[i]:
+                mark_s, mark_pos = np.round([m["s"] for m in marks[i]], 12), np.array([m["pos"] for m in marks[i]])
+                others = ~np.isin(own, mark_pos)
+                values, places = np.concatenate([mark_s, r[others]]), np.concatenate([mark_pos, own[others]])
+                is_mark = np.arange(len(values)) < len(mark_s)
+                order = np.lexsort((places, -values))
+                nth = np.cumsum(is_mark[order])[~is_mark[order]]
+                n = np.bincount(nth, minlength=len(mark_s))[: len(mark_s)]  # those after the last mark don't matter
+                out.append((np.full(len(n), i), np.full(len(n), -1), np.zeros(len(n)), np.arange(len(n)), n))
+        which, at, score, nth, n = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+        columns = [pa.array(at, pa.int64()), pa.array(score, pa.float64()), pa.array(nth, pa.int32()), pa.array(n, pa.int64())]
+        return pa.Table.from_arrays([queries["query_id"].combine_chunks().take(pa.array(which, pa.int64())), *columns], ["query_id", "pos", "score", "nth", "n"])
+
+    on = ["c_block", "q_block", *(within or [])]
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"query_id {kind}, pos long, score double, nth int, n long")
+    return found.where("nth < 0").select("query_id", "pos", "score"), found.where("nth >= 0").groupBy("query_id", "nth").agg(F.sum("n").alias("n"))
+
+
+def _marks(pairs: DataFrame) -> DataFrame:
+    """``query_id, marks`` from ``query_id, pos, score``, in order of rank."""
+    in_order = F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("minus"), "pos", F.col("score").alias("s"))))
+    return pairs.groupBy("query_id").agg(F.transform(in_order, lambda x: F.struct(x["s"].alias("s"), x["pos"].alias("pos"))).alias("marks"))
+
+
+def _with_marks(queries: DataFrame, marks: DataFrame | None) -> DataFrame:
+    empty = F.array().cast("array<struct<s:double,pos:bigint>>")
+    return queries.withColumn("marks", empty) if marks is None else queries.join(marks, "query_id", "left").withColumn("marks", F.coalesce("marks", empty))
+
+
+def _mark_ranks(marks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``query_id, pos, score, rank`` of the marks: those before it, marks and others, and itself."""
+    each = marks.select("query_id", F.posexplode("marks").alias("nth", "m")).join(counts, ["query_id", "nth"], "left")
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("query_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    return each.select("query_id", F.col("m.pos").alias("pos"), F.col("m.s").alias("score"), (F.col("nth") + 1 + before).alias("rank"))
+
+
+def _vectors_of(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("vector").isNotNull()).select(name, unit("vector").alias("v")).withColumn("dim", F.size("v"))
+
+
+def semantic_top(corpus: DataFrame, queries: DataFrame, keys: list[str], k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``query_id, *keys, score, rank``: the k best of ``semantic``."""
+    names = numbered(corpus, keys, keep)
+    top, _ = blocked(keep(_vectors_of(corpus.join(names, keys), "pos")), _with_marks(keep(_vectors_of(queries, "query_id")), None), _of_vectors, k, ["dim"])
+    return ranked(top, ["pos"]).where(F.col("rank") <= k).join(names, "pos").select("query_id", *keys, "score", "rank")
 
 
 def fuse(rankings: list[tuple[DataFrame, Column]], keys: list[str]) -> DataFrame:
@@ -145,22 +277,35 @@ def candidate_ranks(chunk_weights: DataFrame, query_weights: DataFrame, corpus:
 
     The k-th best fused score is at least 1 / (RRF_K + k), as the k semantically best have it (a query without a
     vector has one ranking alone), and weights are at most 1, so a chunk after rank RRF_K + 2k in both rankings
-    can't reach it. Those up to it in either are taken, and their ranks in the other are counted exactly. Queries
-    are taken in slices, so what is sent to the chunks is bounded. ``keep`` writes a table that is read again."""
-    deep, lexes, sems = RRF_K + 2 * k, [], []
-    asked = query_weights.select("query_id").union(queries.select("query_id")).distinct()
-    for part in slices(keep(asked), BROADCAST_QUERIES):
-        qw, qv = query_weights.join(F.broadcast(part), "query_id", "left_semi"), queries.join(F.broadcast(part), "query_id", "left_semi")
-        lex, sem = lexical_scores(chunk_weights, qw, keys), semantic_scores(corpus, qv, keys)
-        top = [keep(ranked(x, keys).where(F.col("rank") <= deep)) for x in (lex, sem)]
-        both = keep(reduce(DataFrame.union, [t.select("query_id", *keys) for t in top]).distinct())
-        late = [both.join(t, ["query_id", *keys], "left_anti") for t in top]
-        in_lex = late[0].join(chunk_weights, keys).join(qw.withColumnRenamed("weight", "qw"), ["query_id", "term"]).groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-        in_sem = late[1].join(corpus.select(*keys, unit("vector").alias("v")), keys).join(qv.select("query_id", unit("vector").alias("q")), "query_id").where(F.size("v") == F.size("q")).select("query_id", *keys, _dot("v", "q").alias("score"))
-        for out, scores, best, own in ((lexes, lex, top[0], in_lex), (sems, sem, top[1], in_sem)):
-            chosen = keep(best.drop("rank").unionByName(own))
-            out.append(positions(scores, chosen, keys))
-    return reduce(DataFrame.unionByName, lexes), reduce(DataFrame.unionByName, sems)
+    can't reach it. Those up to it in either are taken, and their ranks in the other are counted exactly: the semantically best
+    are found first, the lexical pass finds its own best and counts what stands before those, and a last pass
+    over the vectors counts for the lexically best. No ranking is sorted. ``keep`` writes a table that is read again."""
+    deep = RRF_K + 2 * k
+    names = numbered(chunk_weights.select(*keys).union(corpus.select(*keys)), keys, keep)
+    terms = numbered(query_weights, ["term"], keep).withColumnRenamed("pos", "no")
+    listed = lambda rows, name: rows.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("no", "weight"))).alias("x")).select(name, F.col("x.no").alias("terms"), F.col("x.weight").alias("weights"))
+    postings = chunk_weights.join(terms, "term").join(names, keys)
+    texts, asked = keep(listed(postings, "pos")), keep(listed(query_weights.join(terms, "term"), "query_id"))
+    vectors, asked_vectors = keep(_vectors_of(corpus.join(names, keys), "pos")), keep(_vectors_of(queries, "query_id"))
+
+    best = lambda top: keep(ranked(top, ["pos"]).where(F.col("rank") <= deep))
+    sem = best(blocked(vectors, _with_marks(asked_vectors, None), _of_vectors, deep, ["dim"])[0])
+    shared = F.zip_with("terms", "weights", lambda t, w: F.struct(t.alias("no"), w.alias("w")))
+    of_query = asked.select("query_id", F.explode(shared).alias("x")).select("query_id", "x.no", F.col("x.w").alias("qw"))
+    of_chunk = sem.select("query_id", "pos").join(texts, "pos").select("query_id", "pos", F.explode(shared).alias("x")).select("query_id", "pos", "x.no", F.col("x.w").alias("cw"))
+    also = of_chunk.join(of_query, ["query_id", "no"]).groupBy("query_id", "pos").agg(F.sum(F.col("cw") * F.col("qw")).alias("score"))
+    in_lex = keep(_marks(also))
+    top, counts = (keep(x) for x in blocked(texts, _with_marks(asked, in_lex), _of_terms, deep))
+    lex = best(top)
+    late = _mark_ranks(in_lex, counts).join(lex.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+    lex_all = lex.select("query_id", "pos", "score", "rank").unionByName(late)
+
+    pairs = lex.select("query_id", "pos").join(sem, ["query_id", "pos"], "left_anti").join(vectors, "pos").join(asked_vectors.select("query_id", F.col("v").alias("q"), F.col("dim").alias("q_dim")), "query_id").where("dim = q_dim")
+    in_sem = keep(_marks(pairs.select("query_id", "pos", _dot("v", "q").alias("score"))))
+    _, counts = blocked(vectors, _with_marks(asked_vectors, in_sem), _of_vectors, 0, ["dim"])
+    sem_all = sem.select("query_id", "pos", "score", "rank").unionByName(_mark_ranks(in_sem, counts))
+    named = lambda r: r.join(names, "pos").select("query_id", *keys, "score", "rank")
+    return named(lex_all), named(sem_all)
 
 
 def hybrid(lex: DataFrame, sem: DataFrame, cover: DataFrame, keys: list[str], k: int = TOP_K, floor: int = FLOOR) -> DataFrame:

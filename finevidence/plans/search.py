@@ -70,7 +70,7 @@ def r06_tf_idf(spark, sf_dir):
 
 def r07_r09_lexical_top(spark, sf_dir):
     chunks, queries, _, _ = _corpus_weights(spark, sf_dir)
-    return Q.lexical(chunks, queries, KEYS).where(F.col("rank") <= Q.TOP_K).select("query_id", "doc_id", A.clean("page").alias("page"), F.round("score", 6).alias("score"), A.clean("rank").alias("rank"))
+    return Q.lexical_top(chunks, queries, KEYS, Q.TOP_K, A.kept).select("query_id", "doc_id", A.clean("page").alias("page"), F.round("score", 6).alias("score"), A.clean("rank").alias("rank"))
 
 
 def r08_coverage(spark, sf_dir):
@@ -91,7 +91,7 @@ def _queries(spark, sf_dir):
 
 def r10_r11_semantic_top(spark, sf_dir):
     _, q = _queries(spark, sf_dir)
-    return Q.semantic(_vectors(spark, sf_dir), q, ["doc_id"]).where("rank <= 50").select("query_id", "doc_id", F.round("score", 6).alias("score"), A.clean("rank").alias("rank"))
+    return Q.semantic_top(_vectors(spark, sf_dir), q, ["doc_id"], 50, A.kept).select("query_id", "doc_id", F.round("score", 6).alias("score"), A.clean("rank").alias("rank"))
 
 
 def _hybrid_parts(spark, sf_dir):
@@ -131,7 +131,7 @@ def r17_hashed_vectors(spark, sf_dir):
 
 def r18_contexts(spark, sf_dir):
     chunks, queries, _, _ = _corpus_weights(spark, sf_dir)
-    hits = Q.lexical(chunks, queries, KEYS).where(F.col("rank") <= 4)
+    hits = Q.lexical_top(chunks, queries, KEYS, 4, A.kept)
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     said = A.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), "text")
     balance = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("text"))

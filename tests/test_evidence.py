@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +198,36 @@ def test_notices_of_reports_and_outputs(spark):
     out = spark.createDataFrame([(1, "speech", good), (2, "speech", bad), (3, "image", good), (4, "image", bad), (5, "answer", bad)], "id int, kind string, text string")
     shown = {r.id: r.shown for r in compliance.gate(out).collect()}
     assert shown == {1: f"{good} {compliance.SPOKEN}", 2: None, 3: good, 4: None, 5: f"{compliance.NOTICE}\n\n{compliance.DISCLAIMER}"}
+
+
+@pytest.mark.parametrize("chunks, queries", [(7, 3), (4096, 1024)])
+def test_blocks_of_rankings_do_not_matter(spark, monkeypatch, chunks, queries):
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", chunks)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", queries)
+    test_candidate_ranks_equal_whole_rankings(spark, monkeypatch, 1000)
+    vectors = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5 - 2)][: 1 + (i % 3 > 0)] if i % 11 else None) for i in range(80)], "doc_id long, vector array<double>")
+    asked = vectors.where("doc_id % 9 = 0").selectExpr("doc_id AS query_id", "vector")
+    whole = retrieval.semantic(vectors, asked, ["doc_id"]).where("rank <= 5")
+    rows = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert rows(retrieval.semantic_top(vectors, asked, ["doc_id"], 5, adapters.kept)) == rows(whole) != []
+    assert rows(retrieval.semantic_top(vectors.limit(0), asked, ["doc_id"], 5, adapters.kept)) == rows(retrieval.semantic_top(vectors, asked.limit(0), ["doc_id"], 5, adapters.kept)) == []
+
+
+def test_lexical_top_scores_few_chunks(spark):
+    """Common terms stand in all chunks, each query has some rare ones; copies and ties."""
+    r = random.Random(2)
+    rows = []
+    for i in range(3000):
+        rows += [(i, w) for w in [f"c{j}" for j in range(8)] + [f"r{r.randint(0, 400)}" for _ in range(r.choice([0, 3, 3]))]]
+    texts = spark.createDataFrame([(i, " ".join(w for _, w in g)) for i, g in itertools.groupby(rows, lambda x: x[0])], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"c0 c1 c2 c3 r{i} r{i + 1} r{2 * i}") for i in range(30)] + [(90, "nothing"), (91, "c1 c2")], "query_id long, text string")
+    counts = retrieval.term_counts(texts, ["doc_id"])
+    df, n = counts.groupBy("term").agg(F.count("*").alias("df")), texts.agg(F.count("*").alias("n"))
+    cw, qw = adapters.kept(retrieval.tf_idf(counts, n, df, ["doc_id"], [])), adapters.kept(retrieval.tf_idf(retrieval.term_counts(queries, ["query_id"]), n, df, ["query_id"], []))
+    seen = lambda d: sorted((x.query_id, x.doc_id, round(x.score, 9), x["rank"]) for x in d.collect())
+    whole = retrieval.lexical(cw, qw, ["doc_id"])
+    assert seen(retrieval.lexical_top(cw, qw, ["doc_id"], 5, adapters.kept)) == seen(whole.where("rank <= 5"))
+    rare = qw.where("query_id < 90")
+    pairs, _ = retrieval.lexical_pairs(cw, rare, ["doc_id"], 5, adapters.kept)
+    assert pairs.count() < 0.05 * 30 * 3000 and whole.where("query_id < 90").count() > 0.9 * 30 * 3000  # chunks with a shared term
+    assert retrieval.lexical_top(cw.limit(0), qw, ["doc_id"], 5, adapters.kept).count() == 0
