@@ -1,8 +1,9 @@
 """Verification of cited figures against pages, filings and market values.
 
 figures: ``report_id, ord, name, value, citations array<struct<origin, location>>``. Cited pages are found
-first and only those are scanned; a figure meets its pages by an equi-join on (doc, page), where the
-equivalence of numbers is a condition. A figure is verified on the first cited page that has all its numbers.
+first and only those are scanned; the numbers of a figure meet those of its pages by an equi-join on document, page and what
+equivalent numbers share, their mantissa or their value rounded at a scale, and only those that meet are compared. A figure is
+verified on the first cited page that has all its numbers.
 """
 
 from __future__ import annotations
@@ -43,6 +44,36 @@ def equivalent(a: Column, b: Column) -> Column:
     return ((a["unit"] == "") | (a["unit"] == b["unit"])) & (((a["m"] == b["m"]) & (a["e"] == b["e"])) | loose)
 
 
+def may_round(r: Column) -> Column:
+    """Whether a reading can be equivalent to another by rounding."""
+    return (r["unit"] == "") & (r["scaled"] | (r["digits"] >= MIN_DIGITS))
+
+
+def _key(kind: Column | int, value: Column) -> Column:
+    return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).cast("int").alias("scale"), value.cast("bigint").alias("value"))
+
+
+#: The scale that stands for a mantissa; scales of numbers are small.
+_MANTISSA = 1000
+
+
+def source_keys(b: Column) -> Column:
+    """Keys of a source reading: its mantissa, and its value in units of 10^s, rounded, for each s from its last digit to
+    one beyond its first. They are as many as it has digits."""
+    top = F.when(b["m"] > 0, F.floor(F.log10(b["m"].cast("double"))).cast("int") + b["e"] + 2).otherwise(b["unit_e"])
+    scales = F.when(may_round(b), F.sequence(b["unit_e"], F.greatest(b["unit_e"], top))).otherwise(F.array().cast("array<int>"))
+    rounded = F.transform(scales, lambda s: _key(s, F.round(b["m"] * F.pow(F.lit(10.0), b["e"] - s))))
+    return F.concat(F.array(_key(_MANTISSA, b["m"])), rounded)
+
+
+def cited_keys(a: Column) -> Column:
+    """Keys under which the sources of a cited reading stand: its mantissa, and for each shift its digits and those next
+    to them, as the tolerance is under one and a half units from a rounded value."""
+    digits = F.round(value_of(a) / F.pow(F.lit(10.0), a["unit_e"]))
+    near = F.flatten(F.transform(F.array(*map(F.lit, SHIFTS)), lambda k: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _key(a["unit_e"] - k, digits + d))))
+    return F.concat(F.array(_key(_MANTISSA, a["m"])), F.when(may_round(a), near).otherwise(F.array().cast("array<struct<scale:int,value:bigint>>")))
+
+
 def cited_pages(figures: DataFrame) -> DataFrame:
     """``report_id, ord, pages array<int>, malformed``: distinct pages of document citations in order, and
     whether one of them has a location without a valid page."""
@@ -76,7 +107,9 @@ def match_documents(figures: DataFrame, pages: DataFrame) -> DataFrame:
     scanned = pages.join(cited.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
     found = scanned.select("doc_id", "page", F.explode(N.page_numbers("text")).alias("b"))
     want = cited.select("doc_id", *_KEY, "page_nth", "page", F.array_max(F.transform("nums", lambda r: r["nth"])).alias("last"), F.explode("nums").alias("a"))
-    hits = want.join(found, ["doc_id", "page"]).where(equivalent(F.col("a"), F.col("b")))
+    keyed = want.withColumn("key", F.explode(cited_keys(F.col("a")))).join(found.withColumn("key", F.explode(source_keys(F.col("b")))), ["doc_id", "page", "key"]).drop("key")
+    zeros = want.where("a.m = 0").join(found, ["doc_id", "page"])  # what rounds to zero has no first digit
+    hits = keyed.unionByName(zeros).where(equivalent(F.col("a"), F.col("b")))
     each = hits.groupBy(*_KEY, "page_nth", "page", "last", F.col("a.nth").alias("nth")).agg(F.min_by("b.fragment", "b.nth").alias("fragment"))
     whole = each.groupBy(*_KEY, "page_nth", "page", "last").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("nth", "fragment"))).alias("fragments")).where(F.col("n") == F.col("last") + 1)
     first = whole.groupBy(*_KEY).agg(F.min_by(F.struct("page", "fragments"), "page_nth").alias("x"))

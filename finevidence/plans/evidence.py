@@ -152,7 +152,7 @@ def _figures(spark, sf_dir):
 
 
 def g14_check_figures(spark, sf_dir):
-    return figures.check_figures(*_figures(spark, sf_dir)).select("report_id", "ord", "status", "page", "source")
+    return figures.check_figures(*_figures(spark, sf_dir)).select("report_id", "ord", "status", "page", "matched", "source")
 
 
 def a09_verification_summary(spark, sf_dir):
@@ -289,7 +289,7 @@ ORACLE_SQL = {
     "p04_parse_reports": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN 's' || o_orderkey END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN 'not JSON' WHEN o_orderkey % 3 = 0 THEN 'schema: figure' END AS reason FROM orders",
     "s01_equity_reader": f"WITH {M._LINE} SELECT concat('S', symbol) AS symbol, strftime(day, '%Y-%m-%d') AS day, round(o, 4) AS o, round(h, 4) AS h, round(l, 4) AS l, round(c, 4) AS c, v FROM bars",
     "s04_perp_reader": f"WITH {M._ORDER} SELECT symbol, day, round(c, 2) AS c FROM bars",
-    "g14_check_figures": f"SELECT o_custkey AS report_id, o_orderkey AS ord, {_STATUS} AS status, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN o_orderkey END AS page, CASE WHEN {_STATUS} = 'verified' THEN 'document' END AS source FROM orders",
+    "g14_check_figures": f"SELECT o_custkey AS report_id, o_orderkey AS ord, {_STATUS} AS status, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN o_orderkey END AS page, CASE WHEN {_STATUS} = 'verified' THEN format('{{:,.2f}}', o_totalprice) END AS matched, CASE WHEN {_STATUS} = 'verified' THEN 'document' END AS source FROM orders",
     "a09_verification_summary": f"SELECT o_custkey AS report_id, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",
     "a12_source_matrix": "SELECT o_custkey AS report_id, count(*) AS citations, 'document' AS origins FROM orders GROUP BY 1",
     "g16_top_cards": f"SELECT o_custkey AS report_id, o_orderkey AS ord, nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE {_STATUS} = 'verified') WHERE nth <= 6",
