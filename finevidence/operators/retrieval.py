@@ -32,11 +32,14 @@ CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
 FIRST_POSTINGS = 64
 
 
-def page_budget(pages: DataFrame, budget: int = X.PAGE_BUDGET) -> DataFrame:
+def page_budget(pages: DataFrame, budget: int | None = X.PAGE_BUDGET) -> DataFrame:
     """``doc_id, page, text, truncated``: normalised pages in order while the budget lasts; the page that
-    crosses it is cut, later ones go."""
+    crosses it is cut, later ones go. Without a budget all pages stay whole."""
+    p = pages.select("doc_id", "page", X.one_line(F.coalesce("text", F.lit(""))).alias("text"))
+    if budget is None:
+        return p.where("text <> ''").withColumn("truncated", F.lit(False))
     before = F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    p = pages.select("doc_id", "page", X.one_line(F.coalesce("text", F.lit(""))).alias("text")).withColumn("rest", F.greatest(F.lit(0), budget - F.coalesce(before, F.lit(0))))
+    p = p.withColumn("rest", F.greatest(F.lit(0), budget - F.coalesce(before, F.lit(0))))
     p = p.withColumn("truncated", F.length("text") > F.col("rest")).withColumn("text", F.left("text", F.col("rest").cast("int")))
     return p.where("text <> ''").select("doc_id", "page", "text", "truncated")
 

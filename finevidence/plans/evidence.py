@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from finevidence.operators import chart_claims, compliance, figures, filings, reports, routing
 from finevidence.operators import technicals as T
 from finevidence.plans import market as M
 from finevidence.sources import adapters as A
-from finevidence.sources import payloads
+from finevidence.sources import landing, payloads
 
 # Sentences, and whether they recommend an investment.
 PHRASES = [
@@ -119,19 +121,61 @@ def p04_parse_reports(spark, sf_dir):
     return reports.parse(A.table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("text"))).select("id", F.col("report.summary").alias("summary"), "reason")
 
 
-def s01_equity_reader(spark, sf_dir):
-    """Bars written as chart payloads, one a symbol, and read again."""
+def _chart_bodies(spark, sf_dir):
+    """``id, body``: each symbol's bars as a chart payload."""
     b = A.line_bars(spark, sf_dir)
     rows = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("t"), "o", "h", "l", "c", "v"))).alias("x"))
     part = lambda c: F.transform("x", lambda r: r[c])
     quote = F.struct(part("o").alias("open"), part("h").alias("high"), part("l").alias("low"), part("c").alias("close"), part("v").alias("volume"))
     meta = F.create_map(F.lit("symbol"), F.concat(F.lit("S"), F.col("symbol").cast("string")), F.lit("currency"), F.lit("EUR"))
     result = F.struct(meta.alias("meta"), part("t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
-    sent = rows.select(F.col("symbol").alias("id"), F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("body"))
-    bars, _, _ = payloads.equity_bars(sent)
+    return rows.select(F.col("symbol").alias("id"), F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("body"))
+
+
+def s01_equity_reader(spark, sf_dir):
+    """Bars written as chart payloads, one a symbol, and read again."""
+    bars, _, _ = payloads.equity_bars(_chart_bodies(spark, sf_dir))
     return payloads.historical_extract(bars)
 
 
+def _landed(spark, sf_dir):
+    """Payload files in two deliveries, some broken, none, in error or without bars; the second call reads new files only."""
+    base = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    k = F.col("id") % 10
+    body = F.when(k == 3, F.expr("left(body, length(body) div 2)")).when(k == 4, "").when(k == 5, '{"chart": {"result": null, "error": {"code": "Not Found", "description": "No data found"}}}').when(k == 7, F.regexp_replace("body", r'"close":\[[^\]]*\]', '"close":[]')).otherwise(F.col("body"))
+    bodies = A.kept(_chart_bodies(spark, sf_dir).withColumn("body", body))
+    for late in (False, True):
+        landing.write_files(bodies.where((F.col("id") % 3 == 0) == F.lit(late)), f"{base}/landed", "id")
+        found = landing.ingest(spark, f"{base}/landed", base, landing.equity)
+    return found
+
+
+def s02_landed_bars(spark, sf_dir):
+    """Bars of the payload files that landed, by the batch that read them."""
+    bars, _ = _landed(spark, sf_dir)
+    return bars.select("symbol", F.to_date("t").alias("day"), F.round("c", 4).alias("c"), A.clean("batch").alias("batch"))
+
+
+def s03_quarantine(spark, sf_dir):
+    _, bad = _landed(spark, sf_dir)
+    return bad.select(F.col("id").cast("bigint").alias("id"), "reason", A.clean("batch").alias("batch"))
+
+
+def s11_case_folders(spark, sf_dir):
+    """A folder a supplier: reports of most, voice questions, calls and images of some, empty and oversize ones among them."""
+    k = F.col("s_suppkey")
+    voice, call, image = F.when(k % 4 == 0, "pregunta_voz.mp3"), F.when(k % 3 == 0, "audio.wav"), F.when(k % 7 == 1, "a.gif").when(k % 7 == 2, "b.webp").when(k % 7 == 3, "c.png")
+    media = F.array(
+        F.struct(F.when(k % 5 != 0, "informe.pdf").alias("name"), F.lit("%PDF-1.7").alias("body")), F.struct(voice.alias("name"), F.lit("ID3 voice").alias("body")), F.struct(call.alias("name"), F.when(k % 9 == 0, F.repeat(F.lit("x"), 2000)).otherwise("RIFF....WAVE").alias("body")),
+        F.struct(image.alias("name"), F.when(k % 7 == 1, F.concat(F.lit("GIF89a"), F.repeat(F.lit("."), 20 + k.cast("int") % 2 * 600))).when(k % 7 == 2, "RIFF....WEBPVP8 ").otherwise("not an image").alias("body")),
+    )
+    rows = A.table(spark, sf_dir, "supplier").select(k.alias("folder"), F.explode(F.filter(media, lambda m: m["name"].isNotNull())).alias("m")).select("folder", "m.*")
+    path = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    landing.write_files(rows, path, "folder", "name")
+    c = payloads.case_folders(spark, path, audio_limit=1000, image_limit=500)
+    return c.select(F.col("folder").cast("bigint").alias("folder"), "audio", "role", "image", "image_type", "reason")
+
+
 def s04_perp_reader(spark, sf_dir):
     b = A.order_bars(spark, sf_dir)
     text = lambda c: F.col(c).cast("string").alias(c)
@@ -233,7 +277,7 @@ def j08_nearest_level(spark, sf_dir):
     return v.select("reading_id", F.round("nearest", 6).alias("nearest"), F.round("distance", 6).alias("distance"), "verdict")
 
 
-QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k01_k02_text_violations, a09_verified_by_origin, a12_source_flags, x10_durations, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
+QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k01_k02_text_violations, a09_verified_by_origin, a12_source_flags, x10_durations, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s02_landed_bars, s03_quarantine, s11_case_folders, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
 
 _FLAGS = ", ".join("true" if f else "false" for _, f in PHRASES)
 _SAID = ", ".join("'" + p + "'" for p, _ in PHRASES)
@@ -288,6 +332,11 @@ ORACLE_SQL = {
     "p10_ranges": "SELECT o_orderkey, concat_ws(',', o_orderkey % 5, array_to_string(range(o_orderkey % 7, o_orderkey % 7 + 4), ',')) AS numbers FROM orders",
     "p04_parse_reports": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN 's' || o_orderkey END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN 'not JSON' WHEN o_orderkey % 3 = 0 THEN 'schema: figure' END AS reason FROM orders",
     "s01_equity_reader": f"WITH {M._LINE} SELECT concat('S', symbol) AS symbol, strftime(day, '%Y-%m-%d') AS day, round(o, 4) AS o, round(h, 4) AS h, round(l, 4) AS l, round(c, 4) AS c, v FROM bars",
+    "s02_landed_bars": f"WITH {M._LINE} SELECT concat('S', symbol) AS symbol, day, round(c, 4) AS c, CAST(CASE WHEN symbol % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch FROM bars WHERE symbol % 10 NOT IN (3, 4, 5, 7)",
+    "s03_quarantine": f"WITH {M._LINE} SELECT DISTINCT symbol AS id, CASE symbol % 10 WHEN 3 THEN 'no data' WHEN 4 THEN 'no data' WHEN 5 THEN 'unknown symbol' ELSE 'no valid bars' END AS reason, CAST(CASE WHEN symbol % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch FROM bars WHERE symbol % 10 IN (3, 4, 5, 7)",
+    "s11_case_folders": """SELECT s_suppkey AS folder, CASE WHEN s_suppkey % 4 = 0 THEN 'pregunta_voz.mp3' WHEN s_suppkey % 3 = 0 THEN 'audio.wav' END AS audio, CASE WHEN s_suppkey % 4 = 0 THEN 'question' WHEN s_suppkey % 3 = 0 THEN 'call' END AS role,
+        CASE s_suppkey % 7 WHEN 1 THEN 'a.gif' WHEN 2 THEN 'b.webp' WHEN 3 THEN 'c.png' END AS image, CASE s_suppkey % 7 WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' END AS image_type,
+        CASE WHEN s_suppkey % 9 = 0 THEN 'audio too large' WHEN s_suppkey % 7 = 1 AND s_suppkey % 2 = 1 THEN 'image too large' END AS reason FROM supplier WHERE s_suppkey % 5 <> 0""",
     "s04_perp_reader": f"WITH {M._ORDER} SELECT symbol, day, round(c, 2) AS c FROM bars",
     "g14_check_figures": f"SELECT o_custkey AS report_id, o_orderkey AS ord, {_STATUS} AS status, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN o_orderkey END AS page, CASE WHEN {_STATUS} = 'verified' THEN format('{{:,.2f}}', o_totalprice) END AS matched, CASE WHEN {_STATUS} = 'verified' THEN 'document' END AS source FROM orders",
     "a09_verification_summary": f"SELECT o_custkey AS report_id, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",

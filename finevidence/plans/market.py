@@ -153,7 +153,7 @@ _LEVELS = """levels AS (
   GROUP BY symbol, cluster)"""
 _SIDES = """sides AS (
   SELECT * FROM (
-    SELECT symbol, side, level, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(level - last_close)) AS nth
+    SELECT symbol, side, level, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(level - last_close), level) AS nth
     FROM (SELECT v.symbol, v.level, k.last_close, CASE WHEN v.level < k.last_close THEN 'support' ELSE 'resistance' END AS side
           FROM levels v JOIN (SELECT symbol, arg_max(c, day) AS last_close FROM bars GROUP BY 1) k USING (symbol)))
   WHERE nth <= 3)"""

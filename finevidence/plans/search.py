@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
 from finevidence.operators import retrieval as Q
+from finevidence.operators import reuse
 from finevidence.sources import adapters as A
 
 KEYS = ["doc_id", "page"]
 
 
 def _pages(spark, sf_dir):
-    return Q.page_budget(A.pages(spark, sf_dir))
+    """Whole documents: the page budget is a feature of r01 alone."""
+    return Q.page_budget(A.pages(spark, sf_dir), None)
 
 
 def r01_w11_page_budget(spark, sf_dir):
@@ -177,18 +181,25 @@ def x08_distinct_requests(spark, sf_dir):
     return d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("requests")).drop("key")
 
 
+def x08_reused_requests(spark, sf_dir):
+    """Requests of one language are answered first, then all documents': the second run computes only new keys."""
+    store = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", X.content_key("text").alias("key"))
+    answer = lambda r: r.select("key", F.size(X.words("text")).cast("bigint").alias("n_words"))
+    reuse.compute_new(d.where("lang = 'en'"), answer, store, 0)
+    return reuse.compute_new(d, answer, store, 1).select("doc_id", "n_words", A.clean("run").alias("run"))
+
+
 def x09_p12_estimates(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
     return d.select("doc_id", X.token_estimate("text").alias("tokens"), X.shorten(F.split_part("text", F.lit("\n"), F.lit(1)), 220).alias("head"))
 
 
-QUERIES = {f.__name__: f for f in (r01_w11_page_budget, r02_chunks, r03_empty_documents, r04_document_stats, a08_text_by_page, r05_tokens, r06_tf_idf, r07_r09_lexical_top, r08_coverage, r10_r11_semantic_top, r12_r14_hybrid_top, r12_rrf, r15_fallback, r16_j09_vector_mismatches, r17_hashed_vectors, r18_contexts, r19_reading_blocks, r20_asked_contexts, r20_conversation_context, x01_fold, x03_sentences, x08_content_key, x08_distinct_requests, x09_p12_estimates)}
+QUERIES = {f.__name__: f for f in (r01_w11_page_budget, r02_chunks, r03_empty_documents, r04_document_stats, a08_text_by_page, r05_tokens, r06_tf_idf, r07_r09_lexical_top, r08_coverage, r10_r11_semantic_top, r12_r14_hybrid_top, r12_rrf, r15_fallback, r16_j09_vector_mismatches, r17_hashed_vectors, r18_contexts, r19_reading_blocks, r20_asked_contexts, r20_conversation_context, x01_fold, x03_sentences, x08_content_key, x08_distinct_requests, x08_reused_requests, x09_p12_estimates)}
 
 _LINES = "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)"
 _PAGES = _LINES + r""",
-lines AS (SELECT doc_id, page, left(text, CAST(greatest(0, 300000 - coalesce(used, 0)) AS INT)) AS text FROM (
-  SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used
-  FROM (SELECT doc_id, page, trim(regexp_replace(line, '[\s\x0b]+', ' ', 'g')) AS text FROM raw)) WHERE text <> '')"""
+lines AS (SELECT * FROM (SELECT doc_id, page, trim(regexp_replace(line, '[\s\x0b]+', ' ', 'g')) AS text FROM raw) WHERE text <> '')"""
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _words = lambda t: f"list_filter(regexp_extract_all(strip_accents(lower({t})), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
 
@@ -261,6 +272,7 @@ ORACLE_SQL = {
     "x01_fold": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",
     "x03_sentences": r"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (
       SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', concat('\1', chr(10)), 'g'), '\n+'), lambda x: trim(x) <> '') AS s FROM documents)""",
+    "x08_reused_requests": f"SELECT doc_id, len({_words('text')}) AS n_words, CAST(CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'en') THEN 0 ELSE 1 END AS BIGINT) AS run FROM documents",
     "x08_distinct_requests": "SELECT min(doc_id) AS doc_id, count(*) AS requests FROM documents GROUP BY text, lang",
     "x09_p12_estimates": "SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CASE WHEN length(split_part(text, chr(10), 1)) > 220 THEN concat(rtrim(left(split_part(text, chr(10), 1), 219)), '…') ELSE split_part(text, chr(10), 1) END AS head FROM documents",
 }

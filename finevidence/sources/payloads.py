@@ -86,14 +86,20 @@ def historical_extract(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", F.date_format("t", "yyyy-MM-dd").alias("day"), *(F.round(c, 4).alias(c) for c in "ohlc"), "v")
 
 
-def case_folders(spark: SparkSession, path: str) -> DataFrame:
-    """One row a folder with a report: its media by name and extension; a voice question goes before audio."""
+# Bytes that audio and images may have.
+AUDIO_LIMIT, IMAGE_LIMIT = 25 * 1024 * 1024, 10 * 1024 * 1024
+
+
+def case_folders(spark: SparkSession, path: str, audio_limit: int = AUDIO_LIMIT, image_limit: int = IMAGE_LIMIT) -> DataFrame:
+    """One row a folder with a report: its media by name and extension; a voice question goes before audio. Files lie in their
+    folder, or (as Spark writes them) in ``folder=.../name=.../part-...``."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
-    f = f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.hex(F.substring("content", 1, 12)).alias("head"))
+    place = r"(?:folder=)?([^/]+)/(?:name=)?([^/]+?)(?:/part-[^/]+)?$"
+    f = f.select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("name"), "length", F.hex(F.substring("content", 1, 12)).alias("head"))
     voice, audio = F.col("name").rlike(r"^pregunta_voz\.(mp3|wav|m4a)$"), F.col("name").rlike(r"^audio\.(mp3|wav|m4a)$")
     image = F.col("name").rlike(r"(?i)\.(png|jpe?g|gif|webp)$")
     kind = F.when(F.col("head").like("89504E470D0A1A0A%"), "image/png").when(F.col("head").like("FFD8FF%"), "image/jpeg").when(F.col("head").like("47494638%"), "image/gif").when(F.col("head").like("52494646________57454250%"), "image/webp")
-    too_big = F.when(F.col("length") == 0, "empty").when((voice | audio) & (F.col("length") > 25 * 1024 * 1024), "audio too large").when(image & (F.col("length") > 10 * 1024 * 1024), "image too large")
+    too_big = F.when(F.col("length") == 0, "empty").when((voice | audio) & (F.col("length") > audio_limit), "audio too large").when(image & (F.col("length") > image_limit), "image too large")
     f = f.withColumn("reason", too_big)
     return f.groupBy("folder").agg(
         F.bool_or(F.col("name") == "informe.pdf").alias("report"), F.coalesce(F.min(F.when(voice, F.col("name"))), F.min(F.when(audio, F.col("name")))).alias("audio"),
