@@ -115,3 +115,19 @@ def pack_words(text: str, most: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS)
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def chunk_texts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: pack_words(t or ""))
+
+
+def number_text(v: Column, decimals: int = 2) -> Column:
+    """With separators of thousands; ``n/a`` for null."""
+    return F.coalesce(F.format_number(v, decimals), F.lit("n/a"))
+
+
+def percent_text(v: Column) -> Column:
+    """A share as a percentage of two decimals; ``n/a`` for null."""
+    return F.coalesce(F.concat(F.format_number(v * 100, 2), F.lit("%")), F.lit("n/a"))
+
+
+def price_text(v: Column) -> Column:
+    """Decimals by size: none from 1000 on, two from 1 on, else four; ``n/a`` for null."""
+    size = F.abs(v)
+    return F.coalesce(F.when(size >= 1000, F.format_number(v, 0)).when(size >= 1, F.format_number(v, 2)).otherwise(F.format_number(v, 4)), F.lit("n/a"))

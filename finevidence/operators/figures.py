@@ -229,3 +229,13 @@ def market_contradictions(texts: DataFrame, technicals: DataFrame) -> DataFrame:
     mean = F.when(F.col("average") == "20", F.col("sma20")).otherwise(F.col("sma50"))
     up = F.col("side").isin("por encima", "encima", "sobre", "above")
     return c.where(mean.isNotNull() & (up != (F.col("last_close") > mean))).select("report_id", F.concat(F.lit("sma"), "average").alias("average"), F.when(up, "above").otherwise("below").alias("says"), F.when(F.col("last_close") > mean, "above").otherwise("below").alias("real")).distinct()
+
+
+def paired_checks(figures: DataFrame, checks: DataFrame) -> DataFrame:
+    """``report_id, ord, name, value, status, matched, paired`` for every figure: the check of equal name and value (of several the
+    last), else the last of equal name, else none, and the figure is unverified. checks: as from ``check_figures``."""
+    last = lambda keys, name: checks.groupBy("report_id", *keys).agg(F.max_by(F.struct("status", "matched"), "ord").alias(name))
+    own = figures.select(*_KEY, "name", "value").join(last(["name", "value"], "by_value"), ["report_id", "name", "value"], "left").join(last(["name"], "by_name"), ["report_id", "name"], "left")
+    found = F.coalesce("by_value", "by_name")
+    paired = F.when(F.col("by_value").isNotNull(), "value").when(F.col("by_name").isNotNull(), "name")
+    return own.select(*_KEY, "name", "value", F.coalesce(found["status"], F.lit("unverified")).alias("status"), found["matched"].alias("matched"), paired.alias("paired"))

@@ -65,3 +65,15 @@ def guarded_by_market(asked: DataFrame, derivatives: DataFrame, facts: DataFrame
     """``*``, with the columns of ``derivatives`` for crypto alone and those of ``facts`` for equities alone (one row a symbol each)."""
     out = asked.join(derivatives.withColumn("market", F.lit("crypto")), ["symbol", "market"], "left")
     return out.join(facts.withColumn("market", F.lit("equity")), ["symbol", "market"], "left")
+
+
+def market_context(asked: DataFrame, technicals: DataFrame, levels: DataFrame, derivatives: DataFrame, facts: DataFrame, contrast: DataFrame) -> DataFrame:
+    """``symbol`` and the columns of all parts, one row a requested symbol, null where a part has none. Each part has at most one
+    row a symbol, but for ``levels`` (symbol, side, nth, level), which become two lists, nearest first. Contrast is that of
+    readings of charts drawn from the same bars alone: one that was sent may show other days."""
+    listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("nth", "level")))), lambda x: x["level"]).alias(f"{side}s")
+    sides = levels.groupBy("symbol").agg(listed("support"), listed("resistance"))
+    out = asked.select("symbol").distinct()
+    for part in (technicals, sides, derivatives, facts, contrast):
+        out = out.join(part, "symbol", "left")
+    return out

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Prices in USD (per million tokens, per minute, per million characters, per image) and targets in seconds.
-TARIFF = {"llm_in": 3.0, "llm_out": 15.0, "stt_minute": 0.006, "tts_mchar": 15.0, "image": 0.04, "embed": 0.02}
+TARIFF = {"llm_in": 3.0, "llm_out": 15.0, "stt_minute": 0.006, "tts_mchar": 15.0, "tts_hosted_mchar": 0.65, "image": 0.04, "embed": 0.02}
 TARGETS = {"report": 30.0, "all": 60.0}
 PLANS = [("basic", 9.0, 100), ("team", 49.0, 1000), ("desk", 199.0, 10000)]
+#: The backend of hosted voices, by name.
+HOSTED = "openrouter"
 FIXED_MONTHLY, MONTHLY_RUNS = 12.0, (100, 1000, 10000)
 
 
@@ -24,6 +26,13 @@ def tariff(spark: SparkSession, tts_mchar: float | None = None) -> DataFrame:
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in prices.items()))
 
 
+def speech_price(backend: Column, demo: Column, has_key: Column) -> Column:
+    """Price a million spoken characters of a run by its backend: that of the hosted voices where the run asks for them or for any,
+    has a key for them and is no demonstration, else the configured one."""
+    hosted = ~F.coalesce(demo, F.lit(False)) & F.lower(F.trim(backend)).isin("auto", HOSTED) & F.coalesce(has_key, F.lit(False))
+    return F.when(F.coalesce(hosted, F.lit(False)), TARIFF["tts_hosted_mchar"]).otherwise(TARIFF["tts_mchar"])
+
+
 def with_cost(trace: DataFrame, prices: DataFrame) -> DataFrame:
     """``cost``: as reported, else by tariff and modality; ``cost_real``: whether it was reported."""
     estimate = (

@@ -231,19 +231,31 @@ def chart_series(bars: DataFrame, margin: float = 0.05, least_body: float = 0.00
     )
 
 
-def fact_sheet(technicals: DataFrame) -> DataFrame:
-    """``symbol, sheet``: ordered lines of text; lines without a value are left out."""
-    price = lambda c: F.format_number(c, 2)
-    share = lambda c: F.concat(F.format_number(F.col(c) * 100, 2), F.lit(" %"))
+def fact_sheet(technicals: DataFrame, derivatives: DataFrame | None = None) -> DataFrame:
+    """``symbol, sheet``: ordered lines of text; lines without a value are left out. Derivatives (as from
+    ``payloads.perp_contexts``) add lines of their funding, open interest, prices and volume. Numbers are rounded to six
+    decimals first, so float noise doesn't turn a digit."""
+    r = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
+    price = lambda c: F.format_number(r(c), 2)
+    share = lambda c: F.concat(F.format_number(r(F.col(c) * 100), 2), F.lit(" %"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     t = technicals.join(relations(technicals), "symbol")
     lines = [
         line("Last close", price("last_close")), line("Return", share("period_return")), line("Range", F.concat(price("range_low"), F.lit(" - "), price("range_high"))),
         line("SMA20", F.concat(price("sma20"), F.lit(", close "), "side_sma20", F.lit(" by "), share("distance_sma20"))),
         line("SMA50", F.concat(price("sma50"), F.lit(", close "), "side_sma50", F.lit(" by "), share("distance_sma50"))),
-        line("Cross", F.col("sma_cross")), line("EMA20", price("ema20")), line("RSI14", F.concat(F.format_number("rsi14", 1), F.lit(" "), "rsi_zone")),
+        line("Cross", F.col("sma_cross")), line("EMA20", price("ema20")), line("RSI14", F.concat(F.format_number(r("rsi14"), 1), F.lit(" "), "rsi_zone")),
         line("Volatility", share("volatility_annual")), line("Drawdown", share("max_drawdown")), line("Trend", F.col("trend")),
         F.when(F.size("supports") > 0, line("Supports", F.array_join(F.transform("supports", price), ", "))),
         F.when(F.size("resistances") > 0, line("Resistances", F.array_join(F.transform("resistances", price), ", "))),
     ]
+    if derivatives is not None:
+        d = derivatives.withColumns({c: r(c) for c in ("funding_annual", "open_interest", "mark", "oracle", "notional")})
+        t = t.join(d.select("symbol", "funding_annual", "open_interest", "mark", "oracle", "notional"), "symbol", "left")
+        pays = F.when(F.col("funding_annual") > 0, "positive, longs pay shorts").when(F.col("funding_annual") < 0, "negative, shorts pay longs").otherwise("zero")
+        lines += [
+            line("Funding", F.concat(pays, F.lit(", "), share("funding_annual"), F.lit(" a year"))),
+            line("Open interest", F.concat(F.format_number("open_interest", 0), F.lit(" units, "), F.format_number(r(F.col("open_interest") * F.col("mark")), 0), F.lit(" USD at the mark"))),
+            line("Perpetual", F.concat(F.lit("mark "), price("mark"), F.lit(", oracle "), price("oracle"), F.lit(", volume 24 h "), F.format_number("notional", 0), F.lit(" USD"))),
+        ]
     return t.select("symbol", F.concat_ws("\n", *lines).alias("sheet"))

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
-from finevidence.operators import figures, filings, reports, routing
+from finevidence.operators import chart_claims, figures, filings, reports, routing
+from finevidence.operators import runs as R
 from finevidence.operators import technicals as T
 from finevidence.plans import evidence as E
 from finevidence.plans import market as M
@@ -115,6 +116,52 @@ def j06_market_context(spark, sf_dir):
     return out.select("symbol", F.round("last_close", 6).alias("last_close"), F.round("sma20", 6).alias("sma20"), "mark", F.coalesce("facts", F.lit(0)).cast("bigint").alias("facts"))
 
 
+def p11_price_formats(spark, sf_dir):
+    """Prices by size, percentages, and numbers without decimals; nothing where there is no value."""
+    v = F.col("o_totalprice")
+    price = F.when(F.col("o_orderkey") % 5 == 0, v / 1e6).when(F.col("o_orderkey") % 5 == 1, -v / 1000).when(F.col("o_orderkey") % 5 == 2, F.lit(None)).otherwise(v)
+    price = F.round(price, 6)
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", X.price_text(price).alias("price"), X.percent_text(F.round(price / 1e4, 6)).alias("share"), X.number_text(price, 0).alias("units"))
+
+
+def j05_paired_checks(spark, sf_dir):
+    """Figures against checks of which some have another value or are missing."""
+    o = A.table(spark, sf_dir, "orders")
+    figs = o.select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("value"))
+    status = F.when(F.col("o_orderkey") % 2 == 0, "verified").otherwise("not_found")
+    checks = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.col("o_orderstatus")).alias("value"), status.alias("status"), F.col("o_orderkey").cast("string").alias("matched"))
+    return figures.paired_checks(figs, checks)
+
+
+def m02_speech_costs(spark, sf_dir):
+    """Each run's spoken characters at the price of its own backend."""
+    k = F.col("o_custkey")
+    backend = F.element_at(F.array(*map(F.lit, (" Auto", "openrouter", "openai", ""))), (k % 4 + 1).cast("int"))
+    settings = A.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.length("o_orderpriority") * 1000).alias("chars"))
+    price = R.speech_price(backend, k % 7 == 0, k % 5 != 0)
+    return settings.select(k.alias("run_id"), "chars", F.round(F.col("chars") / 1e6 * price, 9).alias("cost"))
+
+
+def t09_derivative_sheet(spark, sf_dir):
+    """Fact sheets of suppliers, of which those with a perpetual of their number have lines of it."""
+    d = payloads.perp_contexts(_perps(spark, sf_dir)).withColumn("symbol", F.regexp_extract("symbol", r"(\d+)", 1).cast("bigint"))
+    return T.fact_sheet(T.summary(A.line_bars(spark, sf_dir)), d)
+
+
+def j06_full_context(spark, sf_dir):
+    """With the nearest levels, and how a reading of the drawn chart stands against the bars."""
+    t = T.summary(A.line_bars(spark, sf_dir))
+    side = lambda name: t.select("symbol", F.lit(name).alias("side"), F.posexplode(f"{name}s").alias("nth", "level"))
+    d = payloads.perp_contexts(_perps(spark, sf_dir)).select(F.regexp_extract("symbol", r"(\d+)", 1).cast("bigint").alias("symbol"), "mark")
+    f = E._facts(spark, sf_dir).groupBy(F.col("cik").alias("symbol")).agg(F.count("*").alias("facts"))
+    readings, _ = E._readings(spark, sf_dir)
+    _, score = chart_claims.check_readings(readings, t, T.known_levels(t))
+    contrast = score.select(F.col("reading_id").alias("symbol"), "confirmed", "disagrees")
+    c = routing.market_context(A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")), t.select("symbol", "last_close"), side("support").unionByName(side("resistance")), d, f, contrast)
+    text = lambda n: F.array_join(F.transform(n, lambda x: F.format_string("%.6f", x)), ",").alias(n)
+    return c.select("symbol", F.round("last_close", 6).alias("last_close"), text("supports"), text("resistances"), "mark", "facts", "confirmed", "disagrees")
+
+
 def j03_source_selection(spark, sf_dir):
     """Every routed symbol with the bars of its own market, derivatives for crypto, facts for equities."""
     asked = routing.route(E._tickers(spark, sf_dir)).select("symbol", "market").where("market IS NOT NULL").distinct()
@@ -132,7 +179,7 @@ def j01_market_mix(spark, sf_dir):
     return t.groupBy("market").agg(F.count("*").alias("requests"), F.countDistinct("symbol").alias("symbols"))
 
 
-QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, g11_derivative_targets, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, j03_source_selection, j01_market_mix)}
+QUERIES = {f.__name__: f for f in (s05_s06_perp_contexts, g11_derivative_targets, t07_t08_derivative_facts, s07_filer_map, s08_company_facts, p07_questions, x11_x12_transcripts, x02_visible_text, x06_x07_labels, p11_number_formats, j05_figure_pairs, j06_market_context, p11_price_formats, j05_paired_checks, m02_speech_costs, t09_derivative_sheet, j06_full_context, j03_source_selection, j01_market_mix)}
 
 _PERP = "p AS (SELECT p_partkey AS k, 'P' || p_partkey AS symbol, (p_partkey % 7 - 3) / 10000 AS funding, CAST(p_partkey % 97 + 1 AS DOUBLE) AS mark FROM part WHERE p_partkey % 11 <> 0)"
 _EPOCH = "TIMESTAMP '1970-01-01'"
@@ -160,6 +207,25 @@ ORACLE_SQL = {
     "j06_market_context": f"""WITH {M._LINE}, {M._SERIES}, {M._SCALAR_SQL}, {_PERP}, {E._FACTS.replace('facts AS', 'resolved AS').replace(' t AS', ' tg AS').replace('JOIN t ON t.', 'JOIN tg t ON t.')}
       SELECT s_suppkey AS symbol, round(last_close, 6) AS last_close, round(sma20, 6) AS sma20, mark, (SELECT count(*) FROM resolved WHERE cik = s_suppkey) AS facts
       FROM supplier LEFT JOIN tech ON tech.symbol = s_suppkey LEFT JOIN p ON p.k = s_suppkey""",
+    "p11_price_formats": """WITH p AS (SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN o_totalprice / 1e6 WHEN 1 THEN -o_totalprice / 1000 WHEN 2 THEN NULL ELSE o_totalprice END, 6) AS v FROM orders)
+      SELECT o_orderkey, coalesce(CASE WHEN abs(v) >= 1000 THEN format('{:,.0f}', v) WHEN abs(v) >= 1 THEN format('{:,.2f}', v) ELSE format('{:,.4f}', v) END, 'n/a') AS price,
+        coalesce(format('{:,.2f}', round(v / 1e4, 6) * 100) || '%', 'n/a') AS share, coalesce(format('{:,.0f}', v), 'n/a') AS units FROM p""",
+    "j05_paired_checks": """WITH c AS (SELECT o_custkey, o_orderkey, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 2 = 0 THEN 'verified' ELSE 'not_found' END AS status FROM orders WHERE o_orderpriority <> '5-LOW'),
+      v AS (SELECT o_custkey, name, value, max(o_orderkey) AS k FROM c GROUP BY ALL), n AS (SELECT o_custkey, name, max(o_orderkey) AS k FROM c GROUP BY ALL)
+      SELECT o.o_custkey AS report_id, o.o_orderkey AS ord, o_orderpriority AS name, o_orderstatus AS value, CASE WHEN coalesce(v.k, n.k) % 2 = 0 THEN 'verified' WHEN coalesce(v.k, n.k) IS NULL THEN 'unverified' ELSE 'not_found' END AS status,
+        CAST(coalesce(v.k, n.k) AS VARCHAR) AS matched, CASE WHEN v.k IS NOT NULL THEN 'value' WHEN n.k IS NOT NULL THEN 'name' END AS paired
+      FROM orders o LEFT JOIN v ON v.o_custkey = o.o_custkey AND v.name = o_orderpriority AND v.value = o_orderstatus LEFT JOIN n ON n.o_custkey = o.o_custkey AND n.name = o_orderpriority""",
+    "m02_speech_costs": "SELECT o_custkey AS run_id, CAST(sum(length(o_orderpriority) * 1000) AS BIGINT) AS chars, round(sum(length(o_orderpriority) * 1000) / 1e6 * CASE WHEN o_custkey % 7 <> 0 AND o_custkey % 4 < 2 AND o_custkey % 5 <> 0 THEN 0.65::DOUBLE ELSE 15.0::DOUBLE END, 9) AS cost FROM orders GROUP BY o_custkey",
+    "t09_derivative_sheet": f"""WITH {M._SHEET_PARTS}, {_PERP} SELECT k.symbol, concat_ws(chr(10), {M._SHEET_LINES},
+        'Funding: ' || CASE WHEN funding > 0 THEN 'positive, longs pay shorts' WHEN funding < 0 THEN 'negative, shorts pay longs' ELSE 'zero' END || ', ' || format('{{:,.2f}}', round(round(funding * 8760, 6) * 100, 6)) || ' % a year',
+        'Open interest: ' || format('{{:,.0f}}', CAST(p.k * 2 AS DOUBLE)) || ' units, ' || format('{{:,.0f}}', CAST(p.k * 2 AS DOUBLE) * mark) || ' USD at the mark',
+        'Perpetual: mark ' || format('{{:,.2f}}', mark) || ', oracle ' || format('{{:,.2f}}', mark + 1) || ', volume 24 h ' || format('{{:,.0f}}', CAST(p.k * 5 AS DOUBLE)) || ' USD') AS sheet
+      FROM sheet k LEFT JOIN p ON p.k = k.symbol""",
+    "j06_full_context": f"""WITH {M._LINE}, {M._SERIES}, {M._SCALAR_SQL}, {M._PIVOTS}, {M._LEVELS}, {M._SIDES}, {_PERP}, {E._FACTS.replace('facts AS', 'resolved AS').replace(' t AS', ' tg AS').replace('JOIN t ON t.', 'JOIN tg t ON t.')},
+      listed AS (SELECT symbol, coalesce(string_agg(printf('%.6f', level), ',' ORDER BY nth) FILTER (side = 'support'), '') AS supports, coalesce(string_agg(printf('%.6f', level), ',' ORDER BY nth) FILTER (side = 'resistance'), '') AS resistances FROM sides GROUP BY 1)
+      SELECT s_suppkey AS symbol, round(last_close, 6) AS last_close, supports, resistances, mark, (SELECT nullif(count(*), 0) FROM resolved WHERE cik = s_suppkey) AS facts,
+        CAST(2 + (s_suppkey % 3 <> 0 AND trend = 'up')::INT AS BIGINT) AS confirmed, CAST(1 + (s_suppkey % 3 <> 0 AND trend <> 'up')::INT AS BIGINT) AS disagrees
+      FROM supplier LEFT JOIN tech ON tech.symbol = s_suppkey LEFT JOIN listed ON listed.symbol = s_suppkey LEFT JOIN p ON p.k = s_suppkey""",
     "j03_source_selection": f"""WITH {M._LINE}, {_PERP}, {E._FACTS.replace(' t AS', ' tg AS').replace('JOIN t ON t.', 'JOIN tg t ON t.')},
       asked AS (SELECT DISTINCT (['S' || o_orderkey, 'C' || o_orderkey, 'P' || o_orderkey, 'BTC' || o_orderkey, 'X' || o_orderkey || '.MC', 'BTC', 'P' || o_orderkey])[o_orderkey % 8 + 1] AS symbol,
         CASE WHEN o_orderkey % 8 IN (1, 2, 5) THEN 'crypto' ELSE 'equity' END AS market FROM orders WHERE o_orderkey % 8 < 7),

@@ -37,14 +37,40 @@ def k03_clean_documents(spark, sf_dir):
     return c.select("id", F.md5("clean").alias("clean_md5"), "removed")
 
 
+# What is spliced into texts, with ligatures, wide letters and invisible characters, and what of it is a recommendation.
+SPLICED = [
+    ("Recomendamos comprar las acciones cuanto antes.", ["recomendamos comprar"]), ("Es un buen momento para vender.", ["buen momento para vender"]), ("La cali\ufb01cación de compra sigue en pie.", ["calificacion de compra"]),
+    ("Margins were stable.", []), ("You should buy this stock now.", ["buy this stock now", "should buy"]), ("Con\u00advi\u200bene vender ya.", ["conviene vender"]),
+    ("El precio objetivo de inflación del BCE es del 2 %.", []), ("El precio objetivo de la acción es de 50 euros.", ["precio objetivo"]), ("The company decided to sell its plant.", []),
+    ("\uff33trong b\uff55y.", ["strong buy"]), ("Compra Inditex hoy mismo.", ["compra inditex"]),
+]
+
+
+def _said(spark, sf_dir):
+    """``id, text``: all documents and all turns of conversations, each with a phrase after its first sentence."""
+    d = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("k"), "text")
+    t = A.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"), "text")
+    phrases = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(SPLICED)], "k long, phrase string")
+    both = d.unionByName(t).withColumn("k", F.col("k") % len(SPLICED)).join(F.broadcast(phrases), "k")
+    end = F.instr("text", ". ")
+    spliced = F.when(end > 0, F.concat(F.left("text", end + 1), "phrase", F.lit(" "), F.substr("text", end + 2))).otherwise(F.concat_ws("\n", "text", "phrase"))
+    return both.select("id", spliced.alias("text"))
+
+
 def k01_k02_text_violations(spark, sf_dir):
-    """What real texts say that they shouldn't: all documents and all turns of conversations."""
-    d = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    t = A.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
-    v = compliance.violations(d.unionByName(t), ["id"])
+    """What texts say that they shouldn't, in real texts that hold a phrase each."""
+    v = compliance.violations(_said(spark, sf_dir), ["id"])
     return v.groupBy("id", "match").agg(F.count("*").alias("n"))
 
 
+def k03_clean_spliced(spark, sf_dir):
+    """Matches that each text lost, and whether the phrase is still in it."""
+    said = _said(spark, sf_dir)
+    c = compliance.clean(said, ["id"])
+    still = F.exists(F.array(*(F.lit(p) for p, _ in SPLICED)), lambda p: F.contains("clean", p))
+    return c.select("id", "removed", still.alias("still"))
+
+
 def k05_violations(spark, sf_dir):
     v = compliance.violations(_phrases(spark, sf_dir), ["o_orderkey"])
     return v.groupBy("o_orderkey").agg(F.countDistinct("nth").alias("sentences"))
@@ -53,13 +79,13 @@ def k05_violations(spark, sf_dir):
 def k04_sanitise_reports(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("summary", "figure", "limitation"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
     f = _phrases(spark, sf_dir).select(F.col("o_custkey").alias("report_id"), kind.alias("kind"), F.col("o_orderkey").alias("ord"), "text")
-    return compliance.sanitise_report(f).select("report_id", "dropped", "blocked")
+    return compliance.sanitise_report(f).select("report_id", "fields", "dropped", "blocked")
 
 
 def k06_gate_outputs(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("speech", "image", "answer"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
     g = compliance.gate(_phrases(spark, sf_dir).select(F.col("o_orderkey").alias("id"), kind.alias("kind"), F.split_part("text", F.lit(" The order"), F.lit(1)).alias("text")))
-    return g.select("id", "kind", "allowed")
+    return g.select("id", "kind", "allowed", "shown")
 
 
 def _entries(spark, sf_dir):
@@ -200,7 +226,7 @@ def g14_check_figures(spark, sf_dir):
 
 
 def a09_verification_summary(spark, sf_dir):
-    return figures.summary(figures.check_figures(*_figures(spark, sf_dir))).select("report_id", "figures", "verified")
+    return figures.summary(figures.check_figures(*_figures(spark, sf_dir)))
 
 
 def a09_verified_by_origin(spark, sf_dir):
@@ -277,7 +303,7 @@ def j08_nearest_level(spark, sf_dir):
     return v.select("reading_id", F.round("nearest", 6).alias("nearest"), F.round("distance", 6).alias("distance"), "verdict")
 
 
-QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k01_k02_text_violations, a09_verified_by_origin, a12_source_flags, x10_durations, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s02_landed_bars, s03_quarantine, s11_case_folders, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
+QUERIES = {f.__name__: f for f in (k01_k03_clean_texts, k03_clean_documents, k01_k02_text_violations, k03_clean_spliced, a09_verified_by_origin, a12_source_flags, x10_durations, k04_sanitise_reports, k05_violations, k06_gate_outputs, f01_f04_annual_facts, f05_filers, a14_facts_by_concept, x04_x05_fiscal_years, j01_routing, p10_ranges, p04_parse_reports, s01_equity_reader, s02_landed_bars, s03_quarantine, s11_case_folders, s04_perp_reader, g14_check_figures, a09_verification_summary, a12_source_matrix, g16_top_cards, g13_market_figures, g11_market_targets, g15_contradictions, c07_chart_readings, j08_nearest_level)}
 
 _FLAGS = ", ".join("true" if f else "false" for _, f in PHRASES)
 _SAID = ", ".join("'" + p + "'" for p, _ in PHRASES)
@@ -312,16 +338,26 @@ _FOUND = ", ".join([f"regexp_extract_all(f, {_SAYS(p)})" for p in compliance.ANY
 _SPOKEN = rf"""said AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT conv_id || '/' || turn, text FROM conversations),
   sent AS (SELECT id, trim(strip_accents(lower(s))) AS f FROM (SELECT id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', concat('\1', chr(10)), 'g'), '\n+')) AS s FROM said) WHERE trim(s) <> ''),
   met AS (SELECT id, unnest(list_filter(flatten([{_FOUND}]), lambda m: NOT (regexp_matches(m, {_SAYS(compliance.TARGET_PRICE)}) AND regexp_matches(f, {_SAYS(compliance.MACRO)}) AND NOT regexp_matches(f, {_SAYS(compliance.SECURITY)})))) AS match FROM sent)"""
+_SPLICED = f"""spliced AS (SELECT 'd' || doc_id AS id, doc_id % {len(SPLICED)} AS k FROM documents UNION ALL SELECT conv_id || '/' || turn, (conv_id * 31 + turn) % {len(SPLICED)} FROM conversations),
+  judged AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{m}')" for i, (_, found) in enumerate(SPLICED) for m in found)}) AS j(k, match))"""
 
 ORACLE_SQL = {
-    "k01_k02_text_violations": f"WITH {_SPOKEN} SELECT id, match, count(*) AS n FROM met GROUP BY 1, 2",
+    "k01_k02_text_violations": f"""WITH {_SPOKEN}, {_SPLICED} SELECT id, match, count(*) AS n FROM (SELECT id, match FROM met UNION ALL SELECT id, match FROM spliced JOIN judged USING (k)) GROUP BY 1, 2""",
+    "k03_clean_documents": rf"""WITH {_SPOKEN}, t AS (SELECT conv_id || '/' || turn AS id, text FROM conversations),
+      parts AS (SELECT id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT id, regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', concat('\1', chr(10)), 'g'), '\n+') AS p FROM t)),
+      bad AS (SELECT id, i, len(list_filter(flatten([{_FOUND}]), lambda m: NOT (regexp_matches(m, {_SAYS(compliance.TARGET_PRICE)}) AND regexp_matches(f, {_SAYS(compliance.MACRO)}) AND NOT regexp_matches(f, {_SAYS(compliance.SECURITY)})))) AS n
+        FROM (SELECT *, trim(strip_accents(lower(s))) AS f FROM parts) WHERE trim(s) <> ''),
+      left_over AS (SELECT id, CAST(sum(n) AS BIGINT) AS removed, string_agg(trim(s), ' ' ORDER BY i) FILTER (n = 0) AS kept FROM bad JOIN parts USING (id, i) GROUP BY 1)
+      SELECT t.id, md5(CASE WHEN coalesce(removed, 0) = 0 THEN text ELSE coalesce(kept, '{compliance.NOTICE}') END) AS clean_md5, coalesce(removed, 0) AS removed FROM t LEFT JOIN left_over USING (id)""",
+    "k03_clean_spliced": f"""WITH {_SPOKEN}, {_SPLICED} SELECT id, (SELECT count(*) FROM judged j WHERE j.k = s.k) + (SELECT count(*) FROM met m WHERE m.id = s.id) AS removed, (SELECT count(*) FROM judged j WHERE j.k = s.k) = 0 AS still FROM spliced s""",
     "a09_verified_by_origin": f"SELECT o_custkey AS report_id, 'document' AS origin, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",
     "a12_source_flags": "SELECT l_orderkey AS report_id, CAST(l_linenumber AS BIGINT) AS ord, l_linestatus = 'F' AS document, l_linestatus <> 'F' AND l_quantity > 40 AS chart, l_linestatus <> 'F' AND l_quantity > 20 AND l_quantity <= 40 AS audio, l_linestatus <> 'F' AND l_quantity <= 20 AS market, l_returnflag = 'R' AS sec, CAST(1 + (l_returnflag = 'R')::INT AS BIGINT) AS kinds FROM lineitem",
     "x10_durations": "SELECT doc_id, octet_length(encode(text)) / 16000 AS seconds FROM documents",
     "k01_k03_clean_texts": f"WITH {_P} SELECT o_orderkey, CASE WHEN flagged THEN rest ELSE concat(said, ' ', rest) END AS clean, flagged FROM ph",
     "k05_violations": f"WITH {_P} SELECT o_orderkey, CAST(1 AS BIGINT) AS sentences FROM ph WHERE flagged",
-    "k04_sanitise_reports": f"WITH {_P} SELECT o_custkey AS report_id, count(*) FILTER (flagged AND o_orderkey % 3 <> 0) AS dropped, bool_or(flagged) AS blocked FROM ph GROUP BY 1",
-    "k06_gate_outputs": f"WITH {_P} SELECT o_orderkey AS id, (['speech', 'image', 'answer'])[o_orderkey % 3 + 1] AS kind, o_orderkey % 3 = 2 OR NOT flagged AS allowed FROM ph",
+    "k04_sanitise_reports": f"WITH {_P} SELECT o_custkey AS report_id, concat_ws(chr(10), string_agg(CASE WHEN flagged THEN rest ELSE concat(said, ' ', rest) END, chr(10) ORDER BY (['summary', 'figure', 'limitation'])[o_orderkey % 3 + 1], o_orderkey) FILTER (NOT (flagged AND o_orderkey % 3 <> 0)), CASE WHEN bool_or(flagged) THEN '{compliance.REPORT_NOTICE}' END) AS fields, count(*) FILTER (flagged AND o_orderkey % 3 <> 0) AS dropped, bool_or(flagged) AS blocked FROM ph GROUP BY 1",
+    "k06_gate_outputs": f"""WITH {_P} SELECT o_orderkey AS id, (['speech', 'image', 'answer'])[o_orderkey % 3 + 1] AS kind, o_orderkey % 3 = 2 OR NOT flagged AS allowed,
+      CASE WHEN o_orderkey % 3 = 2 THEN concat(CASE WHEN flagged THEN '{compliance.NOTICE}' ELSE said END, chr(10), chr(10), '{compliance.DISCLAIMER}') WHEN flagged THEN NULL WHEN o_orderkey % 3 = 0 THEN concat(said, ' {compliance.SPOKEN}') ELSE said END AS shown FROM ph""",
     "f01_f04_annual_facts": f'WITH {_FACTS} SELECT cik, concept, tag, "end", fy, round(val, 2) AS val FROM facts',
     "f05_filers": f"WITH {_FACTS} SELECT c_custkey AS cik, (SELECT count(*) FROM facts WHERE cik = c_custkey) AS facts FROM customer",
     "a14_facts_by_concept": f"""WITH {_FACTS} SELECT cik, concept, string_agg(concat('FY', fy, ': ', format('{{:,.2f}}', val / 1e6), ' M'), '; ' ORDER BY "end" DESC) AS line FROM facts GROUP BY 1, 2""",
@@ -339,7 +375,7 @@ ORACLE_SQL = {
         CASE WHEN s_suppkey % 9 = 0 THEN 'audio too large' WHEN s_suppkey % 7 = 1 AND s_suppkey % 2 = 1 THEN 'image too large' END AS reason FROM supplier WHERE s_suppkey % 5 <> 0""",
     "s04_perp_reader": f"WITH {M._ORDER} SELECT symbol, day, round(c, 2) AS c FROM bars",
     "g14_check_figures": f"SELECT o_custkey AS report_id, o_orderkey AS ord, {_STATUS} AS status, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN o_orderkey END AS page, CASE WHEN {_STATUS} = 'verified' THEN format('{{:,.2f}}', o_totalprice) END AS matched, CASE WHEN {_STATUS} = 'verified' THEN 'document' END AS source FROM orders",
-    "a09_verification_summary": f"SELECT o_custkey AS report_id, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified FROM orders GROUP BY 1",
+    "a09_verification_summary": f"SELECT o_custkey AS report_id, count(*) AS figures, count(*) FILTER ({_STATUS} = 'verified') AS verified, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER ({_STATUS} = 'verified'), '') AS pages FROM orders GROUP BY 1",
     "a12_source_matrix": "SELECT o_custkey AS report_id, count(*) AS citations, 'document' AS origins FROM orders GROUP BY 1",
     "g16_top_cards": f"SELECT o_custkey AS report_id, o_orderkey AS ord, nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE {_STATUS} = 'verified') WHERE nth <= 6",
     "g11_market_targets": f"WITH {_TECH}, {M._SIDES} SELECT symbol, 6 + (sma20 IS NOT NULL)::INT + (sma50 IS NOT NULL)::INT + (ema20 IS NOT NULL)::INT + (rsi14 IS NOT NULL)::INT + (SELECT count(*) FROM sides s WHERE s.symbol = tech.symbol) AS targets, CAST(3 AS BIGINT) AS fractions FROM tech",

@@ -160,6 +160,19 @@ _SIDES = """sides AS (
 r6 = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
 
+_p = lambda c: f"format('{{:,.2f}}', round({c}, 6))"
+_share = lambda c: f"format('{{:,.2f}}', round(({c}) * 100, 6)) || ' %'"
+_SHEET_PARTS = f"""{_LINE}, {_SERIES}, {_SCALAR_SQL}, {_PIVOTS}, {_LEVELS}, {_SIDES},
+sheet AS (
+  SELECT k.*, CASE WHEN n_bars >= 3 THEN sd * sqrt(252) END AS volatility_annual, (SELECT string_agg({_p('level')}, ', ' ORDER BY nth) FROM sides s WHERE s.symbol = k.symbol AND side = 'support') AS supports,
+         (SELECT string_agg({_p('level')}, ', ' ORDER BY nth) FROM sides s WHERE s.symbol = k.symbol AND side = 'resistance') AS resistances FROM tech k)"""
+_beside = lambda n: f"'SMA{n}: ' || {_p(f'sma{n}')} || ', close ' || CASE WHEN last_close >= sma{n} THEN 'above' ELSE 'below' END || ' by ' || {_share(f'abs(last_close / sma{n} - 1)')}"
+_SHEET_LINES = f"""'Last close: ' || {_p('last_close')}, 'Return: ' || {_share('period_return')}, 'Range: ' || {_p('range_low')} || ' - ' || {_p('range_high')}, {_beside(20)}, {_beside(50)},
+  'Cross: ' || CASE WHEN sma20 > sma50 THEN 'bullish' WHEN sma20 < sma50 THEN 'bearish' WHEN sma20 = sma50 THEN 'equal' END, 'EMA20: ' || {_p('ema20')},
+  'RSI14: ' || format('{{:,.1f}}', round(rsi14, 6)) || ' ' || CASE WHEN rsi14 > 70 THEN 'overbought' WHEN rsi14 < 30 THEN 'oversold' ELSE 'neutral' END,
+  'Volatility: ' || {_share('volatility_annual')}, 'Drawdown: ' || {_share('max_drawdown')}, 'Trend: ' || trend, 'Supports: ' || supports, 'Resistances: ' || resistances"""
+
+
 def _summary_sql(bars: str, ppy: str) -> str:
     listed = lambda side, order: f"coalesce((SELECT string_agg(printf('%.6f', level), ',' ORDER BY {order}) FROM {side} x WHERE x.symbol = t.symbol), '')"
     return f"""WITH {bars}, {_SERIES}, {_SCALAR_SQL}, {_PIVOTS}, {_LEVELS}, {_SIDES},
@@ -203,4 +216,5 @@ ORACLE_SQL = {
     "u02_known_levels": f"""WITH {_LINE}, {_SERIES}, {_SCALAR_SQL}, {_PIVOTS}, {_LEVELS}
       SELECT DISTINCT symbol, round(level, 6) AS level FROM (SELECT symbol, level FROM levels UNION ALL SELECT symbol, unnest([range_low, range_high]) FROM tech)
       WHERE symbol IN (SELECT symbol FROM tech WHERE n_bars >= 10)""",
+    "t09_fact_sheet": f"WITH {_SHEET_PARTS} SELECT symbol, concat_ws(chr(10), {_SHEET_LINES}) AS sheet FROM sheet",
 }
