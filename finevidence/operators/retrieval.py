@@ -62,7 +62,7 @@ def text_by_page(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    words = texts.select(*keys, X.words(text).alias("w"))
+    words = texts.select(*keys, X.words(text).alias("w")).repartition(*keys)  # texts are dealt out, not their terms
     return words.select(*keys, F.explode(X.terms(F.col("w"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
@@ -97,13 +97,11 @@ def lexical(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str])
     return ranked(lexical_scores(chunk_weights, query_weights, keys), keys)
 
 
-def posting_blocks(chunk_weights: DataFrame, query_weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The queries' terms' postings with the ``level`` of their impact (quarters of a power of two), and ``query_id, term,
-    level, n, most``: postings of each block (a term's of one level) and the most that one adds to the query's score."""
-    asked = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
-    postings = chunk_weights.join(asked.select("term").distinct(), "term", "left_semi").withColumn("level", F.floor(-4 * F.log2("weight")).cast("int"))
+def posting_blocks(postings: DataFrame, query_weights: DataFrame) -> DataFrame:
+    """``query_id, term, level, n, most``: postings of each block (a term's of one level), and the most that one adds to the
+    query's score."""
     blocks = postings.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
-    return postings, asked.join(blocks, "term").select("query_id", "term", "level", "n", (F.col("qw") * F.col("top")).alias("most"))
+    return query_weights.join(blocks, "term").select("query_id", "term", "level", "n", (F.col("weight") * F.col("top")).alias("most"))
 
 
 def lexical_top(chunk_weights: DataFrame, query_weights: DataFrame, keys: list[str], k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -118,17 +116,19 @@ def lexical_pairs(chunk_weights: DataFrame, query_weights: DataFrame, keys: list
     Some postings of highest impact give a query k scores, the least of which bounds the k-th from below. Blocks are then
     closed from the least impact on, as long as the sum over the terms of the most that a closed block adds stays below the bound: a
     chunk all of whose postings are in closed blocks can't reach it. Chunks with a posting in an open block are the
-    pairs. Long lists of common terms are closed first, as they add little. Ranges of impact instead of sorted lists
+    pairs. Long lists of common terms are closed first, as they add little and hold much. Ranges of impact instead of sorted lists
     need no order within a term, so a common term is no hot key."""
-    postings, blocks = posting_blocks(chunk_weights, query_weights)
-    postings, blocks = keep(postings), keep(blocks)
+    own_terms = chunk_weights.join(query_weights.select("term").distinct(), "term", "left_semi")
+    postings = keep(own_terms.withColumn("level", F.floor(-4 * F.log2("weight")).cast("int")))  # quarters of a power of two
+    blocks = keep(posting_blocks(postings, query_weights))
     met = lambda some: postings.join(some.select("query_id", "term", "level"), ["term", "level"]).select("query_id", *keys).distinct()
     most_first = Window.partitionBy("query_id").orderBy(F.col("n") > FIRST_POSTINGS * k, F.desc("most"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.withColumn("before", F.coalesce(F.sum("n").over(most_first), F.lit(0))).where(F.col("before") < FIRST_POSTINGS * k)
     bound = ranked(_pair_scores(met(first), postings, query_weights, keys), keys).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     own = F.col("most") - F.coalesce(F.lag("most").over(Window.partitionBy("query_id", "term").orderBy("most", "level")), F.lit(0.0))
-    least_first = Window.partitionBy("query_id").orderBy("most", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
-    spent = blocks.withColumn("own", own).withColumn("spent", F.sum("own").over(least_first)).join(bound, "query_id", "left")
+    length = F.sum("n").over(Window.partitionBy("query_id", "term"))
+    least_first = Window.partitionBy("query_id").orderBy(F.col("most") / F.sqrt("length"), "term", "level").rowsBetween(Window.unboundedPreceding, 0)
+    spent = blocks.withColumn("own", own).withColumn("length", length).withColumn("spent", F.sum("own").over(least_first)).join(bound, "query_id", "left")
     return keep(met(spent.where(F.col("bound").isNull() | (F.col("spent") > F.col("bound") - 1e-9)))), postings
 
 
