@@ -151,7 +151,7 @@ def r19_reading_blocks(spark, sf_dir):
 
 
 def r20_asked_contexts(spark, sf_dir):
-    """The document of a conversation's number as its question, with the source as report."""
+    """Each conversation's last turn as its question; conversations of an even number of turns have a report."""
     turns = A.table(spark, sf_dir, "conversations")
     asked = turns.groupBy("conv_id").agg(F.min("turn").alias("t"), F.count("*").alias("n"), F.max_by("role", "turn").alias("report"), F.max_by("text", "turn").alias("question"))
     asked = asked.select("conv_id", "question", F.when(F.col("n") % 2 == 0, F.col("report")).alias("report"), F.lit(" ").alias("hits"))
