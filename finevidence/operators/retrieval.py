@@ -148,9 +148,14 @@ def coverage(query_words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.coalesce(F.avg(F.when(F.col("term").isNotNull(), F.coalesce("hit", F.lit(0.0)))), F.lit(0.0)).alias("coverage"))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; a lambda computes what it mentions anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v: str) -> Column:
-    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    """A vector in doubles, of unit length; zero vectors stay."""
+    return unit_of(F.transform(v, lambda x: x.cast("double")))
 
 
 def _dot(a: str, b: str) -> Column:
@@ -351,8 +356,8 @@ def hashed_vectors(texts: DataFrame, key: str, dims: int = 256) -> DataFrame:
 
 
 def unit_of(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    return _once(v, lambda d: _once(norm(d), lambda n: F.transform(d, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
