@@ -24,7 +24,7 @@ def r01_w11_page_budget(spark, sf_dir):
 
 
 def r02_chunks(spark, sf_dir):
-    return Q.chunk(_pages(spark, sf_dir))
+    return Q.chunk(_pages(spark, sf_dir)).select("doc_id", A.clean("page").alias("page"), A.clean("chunk_idx").alias("chunk_idx"), "text")
 
 
 def r03_empty_documents(spark, sf_dir):
@@ -130,7 +130,9 @@ def r16_j09_vector_mismatches(spark, sf_dir):
 
 
 def r17_hashed_vectors(spark, sf_dir):
-    return Q.hashed_vectors(A.table(spark, sf_dir, "documents"), "doc_id")
+    """Whole vectors, in millionths."""
+    millionths = F.transform("vector", lambda x: F.floor(x * 1e6).cast("string"))
+    return Q.hashed_vectors(A.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.md5(F.array_join(millionths, ",")).alias("vector_md5"))
 
 
 def r18_contexts(spark, sf_dir):
@@ -234,7 +236,30 @@ _HYBRID = f"""{_OWN}, {_lexical('documents', 'doc_id')}, {_UNIT}, {_SEM},
       fused AS (SELECT query_id, doc_id, sum(part) AS fused FROM (SELECT query_id, doc_id, coverage / (60 + rank) AS part FROM lex JOIN cover USING (query_id)
                 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM sem) GROUP BY ALL)"""
 
+# A chunk is a range of a line's words, s to e; ends[i] are the characters of its first i words with a space each. It ends with the last
+# word that fits, and the next begins with the words before its end that fit the overlap, unless its first new word then doesn't fit.
+_CHUNKS = f"""RECURSIVE {_PAGES},
+lists AS (SELECT doc_id, page, w, list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: length(x) + 1))::BIGINT) AS ends FROM (SELECT doc_id, page, string_split(text, ' ') AS w FROM lines)),
+spans AS (
+  SELECT doc_id, page, 0::BIGINT AS chunk_idx, 1::BIGINT AS s, greatest(1, len(list_filter(ends, lambda x: x <= {X.CHUNK_CHARS} + 1)))::BIGINT AS e FROM lists
+  UNION ALL
+  SELECT doc_id, page, chunk_idx + 1, s, greatest(f, len(list_filter(ends, lambda x: x <= {X.CHUNK_CHARS} + 1 + coalesce(ends[s - 1], 0))))::BIGINT FROM (
+    SELECT doc_id, page, chunk_idx, ends, f, CASE WHEN tail > 0 AND ends[f] - 1 - coalesce(ends[f - 1 - tail], 0) <= {X.CHUNK_CHARS} THEN f - tail ELSE f END AS s FROM (
+      SELECT doc_id, page, chunk_idx, ends, e + 1 AS f, len(list_filter(range(s, e + 1), lambda j: ends[e] - coalesce(ends[j - 1], 0) <= {X.OVERLAP_CHARS}))::BIGINT AS tail
+      FROM spans JOIN lists USING (doc_id, page) WHERE e < len(w)))),
+chunks AS (SELECT doc_id, page, chunk_idx, array_to_string(w[s:e], ' ') AS text FROM spans JOIN lists USING (doc_id, page))"""
+
 ORACLE_SQL = {
+    "r02_chunks": f"WITH {_CHUNKS} SELECT * FROM chunks",
+    "r04_document_stats": f"WITH {_CHUNKS} SELECT doc_id, pages, truncated, chunks FROM (SELECT doc_id, count(*) AS pages, false AS truncated FROM lines GROUP BY 1) JOIN (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY 1) USING (doc_id)",
+    # CRC-32 (its polynomial, reflected): eight shifts a byte
+    "r17_hashed_vectors": """WITH words AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) AS w FROM documents),
+      hashed AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, bit: xor(r >> 1, 3988292384 * (r & 1))))) AS h FROM (SELECT DISTINCT w FROM words)),
+      cells AS (SELECT doc_id, h % 256 AS d, sum(CASE WHEN (h >> 8) % 2 = 1 THEN 1.0::DOUBLE ELSE -1 END) AS x FROM words JOIN hashed USING (w) GROUP BY ALL),
+      norms AS (SELECT doc_id, sqrt(sum(x * x)) AS nn FROM cells GROUP BY 1)
+      SELECT doc_id, md5(string_agg(CAST(floor(coalesce(x, 0) / CASE WHEN coalesce(nn, 0) = 0 THEN 1 ELSE nn END * 1e6) AS BIGINT), ',' ORDER BY d)) AS vector_md5
+      FROM (SELECT doc_id, unnest(range(256)) AS d FROM documents) LEFT JOIN cells USING (doc_id, d) LEFT JOIN norms USING (doc_id) GROUP BY doc_id""",
     "r01_w11_page_budget": "WITH " + _LINES + r""",
       p AS (SELECT doc_id, page, trim(regexp_replace(line, '[\s\x0b]+', ' ', 'g')) AS text FROM raw),
       b AS (SELECT *, greatest(0, 2000 - coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest FROM p)
