@@ -1,5 +1,9 @@
 import itertools
+import math
 import random
+import re
+import unicodedata
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +235,24 @@ def test_lexical_top_scores_few_chunks(spark):
     pairs, _ = retrieval.lexical_pairs(cw, rare, ["doc_id"], 5, adapters.kept)
     assert pairs.count() < 0.05 * 30 * 3000 and whole.where("query_id < 90").count() > 0.9 * 30 * 3000  # chunks with a shared term
     assert retrieval.lexical_top(cw.limit(0), qw, ["doc_id"], 5, adapters.kept).count() == 0
+
+
+def test_hashed_vectors_equal_brute_force(spark):
+    texts = [(1, "Net sales rose 12 % and net margin fell"), (2, None), (3, ""), (4, "!!!"), (5, "ÉTÉ été ete " + "long words " * 3000), (6, "ventas netas"), (7, "ventas netas")]
+    got = {r["k"]: r["vector"] for r in retrieval.hashed_vectors(spark.createDataFrame(texts, "k long, text string"), "k", 16).collect()}
+    for k, text in texts:
+        want = [0.0] * 16
+        plain = "".join(c for c in unicodedata.normalize("NFKD", (text or "").lower()) if not unicodedata.combining(c))
+        for w in re.findall("[a-z0-9]+", plain):
+            h = zlib.crc32(w.encode())
+            want[h % 16] += 1.0 if (h >> 8) % 2 else -1.0
+        norm = math.sqrt(sum(x * x for x in want))
+        assert got[k] == pytest.approx([x / (norm or 1.0) for x in want], abs=1e-12)
+    assert set(got) == {k for k, _ in texts}
+    assert retrieval.hashed_vectors(spark.createDataFrame([], "k long, text string"), "k").count() == 0
+
+
+def test_vectors_of_unit_length(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "k long, vector array<float>")
+    got = {r["k"]: r["v"] for r in rows.select("k", retrieval.unit("vector").alias("v")).collect()}
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [], 4: None}
