@@ -350,7 +350,8 @@ def hashed_vectors(texts: DataFrame, key: str, dims: int = 256) -> DataFrame:
     w = texts.select(key, F.explode_outer(F.regexp_extract_all(X.fold("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
     h = F.crc32(F.col("w").cast("binary"))
     cells = w.select(key, F.pmod(h, F.lit(dims)).cast("int").alias("d"), F.when(F.shiftright(h, 8) % 2 == 1, 1.0).otherwise(-1.0).alias("s")).groupBy(key, "d").agg(F.sum(F.when(F.col("d").isNotNull(), F.col("s"))).alias("x"))
-    met = cells.groupBy(key).agg(F.filter(F.collect_list(F.struct("d", "x")), lambda e: e["d"].isNotNull()).alias("met"))
+    # cells are dealt out as they are: half-built lists of them would be larger
+    met = cells.repartition(key).groupBy(key).agg(F.filter(F.collect_list(F.struct("d", "x")), lambda e: e["d"].isNotNull()).alias("met"))
     others = F.array_except(F.sequence(F.lit(0), F.lit(dims - 1)), F.col("met.d"))
     dense = F.array_sort(F.concat("met", F.transform(others, lambda i: F.struct(i.alias("d"), F.lit(0.0).alias("x")))))["x"]
     return met.select(key, unit_of(dense).alias("vector"))
