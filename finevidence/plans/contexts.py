@@ -120,8 +120,8 @@ def p11_price_formats(spark, sf_dir):
     """Prices by size, percentages, and numbers without decimals; nothing where there is no value."""
     v = F.col("o_totalprice")
     price = F.when(F.col("o_orderkey") % 5 == 0, v / 1e6).when(F.col("o_orderkey") % 5 == 1, -v / 1000).when(F.col("o_orderkey") % 5 == 2, F.lit(None)).otherwise(v)
-    price = F.round(price, 6)
-    return A.table(spark, sf_dir, "orders").select("o_orderkey", X.price_text(price).alias("price"), X.percent_text(F.round(price / 1e4, 6)).alias("share"), X.number_text(price, 0).alias("units"))
+    price = X.half_away(price, 6)
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", X.price_text(price).alias("price"), X.percent_text(X.half_away(price / 1e4, 6)).alias("share"), X.number_text(price, 0).alias("units"))
 
 
 def j05_paired_checks(spark, sf_dir):
