@@ -30,6 +30,12 @@ _PAGE = r"(?i)\b(?:pp?|pags?|p[aá]g(?:inas?)?|pages?)\.?\s*(\d+)(?:\s*[-–]\s*
 _KEY = ["report_id", "ord"]
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """The side of a join that grows with the data: its size is guessed from its files, before its arrays are built and exploded, so it would
+    be broadcast where it is far larger than the guess."""
+    return rows.hint("merge")
+
+
 def value_of(r: Column) -> Column:
     return r["m"] * F.pow(F.lit(10.0), r["e"])
 
@@ -53,17 +59,17 @@ def _key(kind: Column | int, value: Column) -> Column:
     return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).cast("int").alias("scale"), value.cast("bigint").alias("value"))
 
 
-#: The scale that stands for a mantissa; scales of numbers are small.
-_MANTISSA = 1000
+#: The scales that stand for a mantissa and for any number; scales of numbers are small.
+_MANTISSA, _ANY = 1000, 1001
 
 
 def source_keys(b: Column) -> Column:
     """Keys of a source reading: its mantissa, and its value in units of 10^s, rounded, for each s from its last digit to
-    one beyond its first. They are as many as it has digits."""
+    one beyond its first. They are as many as it has digits. One key is shared by all readings."""
     top = F.when(b["m"] > 0, F.floor(F.log10(b["m"].cast("double"))).cast("int") + b["e"] + 2).otherwise(b["unit_e"])
     scales = F.when(may_round(b), F.sequence(b["unit_e"], F.greatest(b["unit_e"], top))).otherwise(F.array().cast("array<int>"))
     rounded = F.transform(scales, lambda s: _key(s, F.round(b["m"] * F.pow(F.lit(10.0), b["e"] - s))))
-    return F.concat(F.array(_key(_MANTISSA, b["m"])), rounded)
+    return F.concat(F.array(_key(_MANTISSA, b["m"]), _key(_ANY, F.lit(0))), rounded)
 
 
 def cited_keys(a: Column) -> Column:
@@ -71,31 +77,32 @@ def cited_keys(a: Column) -> Column:
     to them, as the tolerance is under one and a half units from a rounded value."""
     digits = F.round(value_of(a) / F.pow(F.lit(10.0), a["unit_e"]))
     near = F.flatten(F.transform(F.array(*map(F.lit, SHIFTS)), lambda k: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _key(a["unit_e"] - k, digits + d))))
-    return F.concat(F.array(_key(_MANTISSA, a["m"])), F.when(may_round(a), near).otherwise(F.array().cast("array<struct<scale:int,value:bigint>>")))
+    none = F.array().cast("array<struct<scale:int,value:bigint>>")
+    any_ = F.when(a["m"] == 0, F.array(_key(_ANY, F.lit(0)))).otherwise(none)  # what rounds to zero has no first digit
+    return F.concat(F.array(_key(_MANTISSA, a["m"])), any_, F.when(may_round(a), near).otherwise(none))
 
 
-def cited_pages(figures: DataFrame) -> DataFrame:
-    """``report_id, ord, pages array<int>, malformed``: distinct pages of document citations in order, and
-    whether one of them has a location without a valid page."""
+def cited_pages() -> tuple[Column, Column]:
+    """Of a figure's ``citations``: distinct pages of document citations in order, and whether one of them has a location without a
+    valid page."""
     docs = F.filter("citations", lambda c: c["origin"] == "document")
     spans = lambda loc: F.zip_with(F.regexp_extract_all(loc, F.lit(_PAGE), F.lit(1)), F.regexp_extract_all(loc, F.lit(_PAGE), F.lit(2)), lambda a, b: F.struct(F.expr("1").alias("x"), a.try_cast("int").alias("a"), F.coalesce(F.nullif(b, F.lit("")).try_cast("int"), a.try_cast("int")).alias("b")))
     valid = lambda loc: F.filter(spans(loc), lambda s: (s["a"] <= s["b"]) & (s["b"] <= s["a"] + MAX_RANGE))
     pages = F.flatten(F.transform(docs, lambda c: F.flatten(F.transform(valid(c["location"]), lambda s: F.sequence(s["a"], s["b"])))))
-    broken = F.exists(docs, lambda c: (F.trim(c["location"]) != "") & (F.size(valid(c["location"])) == 0))
-    return figures.select(*_KEY, F.array_distinct(pages).alias("pages"), broken.alias("malformed"))
+    return F.array_distinct(pages), F.exists(docs, lambda c: (F.trim(c["location"]) != "") & (F.size(valid(c["location"])) == 0))
 
 
-def figure_numbers(figures: DataFrame) -> DataFrame:
-    """``report_id, ord, nums array<reading>``; an indicator's period is no number of its value."""
-    value = F.regexp_replace("value", r"(?i)\b(rsi|sma|ema|ma|mm)\s*\(?\s*\d+\s*\)?", "$1")
-    return figures.select(*_KEY, N.cited_numbers(value).alias("nums"))
+def figure_numbers() -> Column:
+    """Readings of a figure's ``value``; an indicator's period is no number of it."""
+    return N.cited_numbers(F.regexp_replace("value", r"(?i)\b(rsi|sma|ema|ma|mm)\s*\(?\s*\d+\s*\)?", "$1"))
 
 
 def checkable(figures: DataFrame) -> DataFrame:
     """Adds pages, malformed, nums, and ``checkable``: a checkable source, and a number that is more than a
     year or an integer under 10."""
     trivial = F.forall(F.filter("nums", lambda r: F.col("nums")[0].isNotNull()), lambda r: r["plain"] & ((value_of(r) < 10) | value_of(r).between(1900, 2100)))
-    f = figures.join(cited_pages(figures), _KEY).join(figure_numbers(figures), _KEY)
+    pages, broken = cited_pages()
+    f = figures.withColumns({"pages": pages, "malformed": broken, "nums": figure_numbers()})
     source = (F.size("pages") > 0) | F.col("malformed") | F.exists("citations", lambda c: c["origin"].isin("sec", "market"))
     return f.withColumn("checkable", source & (F.size("nums") > 0) & ~trivial)
 
@@ -104,12 +111,10 @@ def match_documents(figures: DataFrame, pages: DataFrame) -> DataFrame:
     """``report_id, ord, page, matched`` of figures verified on a cited page. figures: as from ``checkable``,
     with doc_id; pages: ``doc_id, page, text``."""
     cited = figures.where("checkable").select("doc_id", *_KEY, "nums", F.posexplode("pages").alias("page_nth", "page"))
-    scanned = pages.join(cited.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    scanned = pages.join(_large(cited.select("doc_id", "page").distinct()), ["doc_id", "page"], "left_semi")
     found = scanned.select("doc_id", "page", F.explode(N.page_numbers("text")).alias("b"))
     want = cited.select("doc_id", *_KEY, "page_nth", "page", F.array_max(F.transform("nums", lambda r: r["nth"])).alias("last"), F.explode("nums").alias("a"))
-    keyed = want.withColumn("key", F.explode(cited_keys(F.col("a")))).join(found.withColumn("key", F.explode(source_keys(F.col("b")))), ["doc_id", "page", "key"]).drop("key")
-    zeros = want.where("a.m = 0").join(found, ["doc_id", "page"])  # what rounds to zero has no first digit
-    hits = keyed.unionByName(zeros).where(equivalent(F.col("a"), F.col("b")))
+    hits = want.withColumn("key", F.explode(cited_keys(F.col("a")))).join(_large(found.withColumn("key", F.explode(source_keys(F.col("b"))))), ["doc_id", "page", "key"]).where(equivalent(F.col("a"), F.col("b")))
     each = hits.groupBy(*_KEY, "page_nth", "page", "last", F.col("a.nth").alias("nth")).agg(F.min_by("b.fragment", "b.nth").alias("fragment"))
     whole = each.groupBy(*_KEY, "page_nth", "page", "last").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("nth", "fragment"))).alias("fragments")).where(F.col("n") == F.col("last") + 1)
     first = whole.groupBy(*_KEY).agg(F.min_by(F.struct("page", "fragments"), "page_nth").alias("x"))
@@ -126,7 +131,7 @@ def match_filings(figures: DataFrame, facts: DataFrame) -> DataFrame:
     a = F.col("a")
     near = F.exists(F.array(*map(F.lit, SHIFTS)), lambda k: (k <= a["unit_e"]) & (F.abs(value_of(a) - F.col("v") * F.pow(F.lit(10.0), k)) < TOLERANCE * F.pow(F.lit(10.0), a["unit_e"])))
     same = F.abs(value_of(a) - F.col("v")) < 1e-9 * (1 + F.col("v"))
-    hits = want.join(scaled, "cik").where((a["unit"] == "") & (same | (a["scaled"] & near)))
+    hits = want.join(_large(scaled), "cik").where((a["unit"] == "") & (same | (a["scaled"] & near)))
     each = hits.groupBy(*_KEY, "last", a["nth"].alias("nth")).agg(F.min_by("fragment", "fact").alias("fragment"))
     whole = each.groupBy(*_KEY, "last").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("nth", "fragment"))).alias("f")).where(F.col("n") == F.col("last") + 1)
     return whole.select(*_KEY, F.array_join(F.array_distinct(F.transform("f", lambda x: x["fragment"])), " · ").alias("matched"))
@@ -169,7 +174,7 @@ def match_market(figures: DataFrame, targets: DataFrame) -> DataFrame:
     a = F.abs(value_of(F.col("a")))
     near = lambda t: F.abs(a - F.abs(t)) <= MARKET_BAND * F.abs(t)
     fits = ((F.col("a.unit") != "%") | F.col("fraction")) & (near(F.col("target")) | (F.col("fraction") & near(F.col("target") * 100)))
-    hits = want.join(targets, "symbol").where((F.col("keys").isNull() | F.array_contains("keys", F.col("key"))) & fits)
+    hits = want.join(_large(targets), "symbol").where((F.col("keys").isNull() | F.array_contains("keys", F.col("key"))) & fits)
     each = hits.groupBy(*_KEY, "last", F.col("a.nth").alias("num")).agg(F.min_by("label", F.struct("reading", "nth")).alias("fragment"))
     whole = each.groupBy(*_KEY, "last").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("num", "fragment"))).alias("f")).where(F.col("n") == F.col("last") + 1)
     return whole.select(*_KEY, F.array_join(F.array_distinct(F.transform("f", lambda x: x["fragment"])), " · ").alias("matched"))
@@ -179,10 +184,10 @@ def check_figures(figures: DataFrame, pages: DataFrame, facts: DataFrame | None
     """``report_id, ord, name, value, status, page, matched, source``; documents go before filings and those
     before the market. Figures hold doc_id, and cik and symbol where those sources are given."""
     f = checkable(figures)
-    out = f.join(match_documents(f, pages).withColumnsRenamed({"matched": "in_document", "page": "found_page"}), _KEY, "left")
+    out = f.join(_large(match_documents(f, pages).withColumnsRenamed({"matched": "in_document", "page": "found_page"})), _KEY, "left")
     none = F.lit(None).cast("string")
-    out = out.join(match_filings(f, facts).withColumnRenamed("matched", "in_filing"), _KEY, "left") if facts is not None else out.withColumn("in_filing", none)
-    out = out.join(match_market(f, targets).withColumnRenamed("matched", "in_market"), _KEY, "left") if targets is not None else out.withColumn("in_market", none)
+    out = out.join(_large(match_filings(f, facts).withColumnRenamed("matched", "in_filing")), _KEY, "left") if facts is not None else out.withColumn("in_filing", none)
+    out = out.join(_large(match_market(f, targets).withColumnRenamed("matched", "in_market")), _KEY, "left") if targets is not None else out.withColumn("in_market", none)
     matched = F.coalesce("in_document", "in_filing", "in_market")
     status = F.when(~F.col("checkable"), "no_source").when(matched.isNotNull(), "verified").otherwise("not_found")
     source = F.when(F.col("in_document").isNotNull(), "document").when(F.col("in_filing").isNotNull(), "sec").when(F.col("in_market").isNotNull(), "market")
@@ -199,7 +204,7 @@ def summary(checks: DataFrame) -> DataFrame:
 def verified_by_origin(figures: DataFrame, checks: DataFrame) -> DataFrame:
     """``report_id, origin, figures, verified``: by the origin of each figure's first citation, ``none`` where it has none."""
     first = figures.select(*_KEY, F.coalesce(F.get("citations", F.lit(0))["origin"], F.lit("none")).alias("origin"))
-    return first.join(checks.select(*_KEY, "status"), _KEY).groupBy("report_id", "origin").agg(F.count("*").alias("figures"), F.count(F.when(F.col("status") == "verified", 1)).alias("verified"))
+    return first.join(_large(checks.select(*_KEY, "status")), _KEY).groupBy("report_id", "origin").agg(F.count("*").alias("figures"), F.count(F.when(F.col("status") == "verified", 1)).alias("verified"))
 
 
 def source_flags(figures: DataFrame, origins: list[str]) -> DataFrame:

@@ -20,3 +20,9 @@ def test_halves_round_as_in_sql(spark):
       FROM (SELECT i, round(v, 6) AS r FROM (SELECT unnest(range(len(?))) AS i, unnest(?) AS v)) ORDER BY i"""
     assert [(str(x.r), x.p, x.s) for x in got] == [(str(r), p, s) for r, p, s in duckdb.execute(sql, [values, values]).fetchall()]
     assert spark.range(1).select(X.half_away(F.lit(None).cast("double"), 6).alias("r")).collect()[0].r is None
+
+
+def test_checked_figures_are_not_broadcast(spark, sf_dir):
+    """Joins of figures with pages stay joins of two large tables, whatever the size that is guessed from files."""
+    for query in (evidence.g14_check_figures, evidence.a09_verification_summary, evidence.a09_verified_by_origin, evidence.g16_top_cards):
+        assert "BroadcastHashJoin" not in plan(query(spark, sf_dir))
