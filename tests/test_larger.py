@@ -4,7 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
-from finevidence.plans import evidence
+from finevidence.operators import retrieval
+from finevidence.plans import evidence, search
 from finevidence.streaming import steps
 from tests.test_streams import land
 
@@ -49,3 +50,33 @@ def test_states_from_step_updates(spark, tmp_path):
     got = {r.run_id: (r.events, sorted((s.step, s.first // 3_600_000_000 % 24, s.at // 3_600_000_000 % 24, s.event_id, s.kind, s.ok) for s in r.steps)) for r in steps.last_states(updates).collect()}
     assert got == {1: (4, [("error", 1, 1, 5, "end", False), ("load", 2, 4, 3, "end", True)]), 2: (2, [("", 3, 3, 4, "start", None), ("rank", 5, 5, 9, "end", True)])}
     assert all("TransformWithState" not in p and int(n) <= 2 * spark.sparkContext.defaultParallelism for p, n in seen)
+
+
+def test_terms_within_documents_are_shuffled_once(spark, sf_dir):
+    assert plan(search.r06_tf_idf(spark, sf_dir)).count("Exchange hashpartitioning") == 1
+
+
+def test_coverage_writes_no_terms(spark, sf_dir, monkeypatch):
+    """The share of known words needs the words alone, no weights and no pairs of words."""
+    monkeypatch.setattr(search.A, "kept", None)
+    assert search.r08_coverage(spark, sf_dir).where("coverage > 0").count() > 0
+
+
+def test_wanted_terms_weigh_as_all_do(spark):
+    texts = spark.createDataFrame([(1, "red fox runs"), (2, "red red hen"), (3, "blue"), (4, "")], "doc_id long, text string")
+    counts = retrieval.term_counts(texts, ["doc_id"])
+    df, n = counts.groupBy("term").agg(F.count("*").alias("df")), texts.agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([("red",), ("red hen",), ("absent",)], "term string")
+    rows = lambda w: {(r.doc_id, r.term): round(r.weight, 12) for r in w.collect()}
+    every = rows(retrieval.tf_idf(counts, n, df, ["doc_id"], []))
+    assert rows(retrieval.wanted_tf_idf(counts, n, df, ["doc_id"], wanted)) == {k: v for k, v in every.items() if k[1] in ("red", "red hen")}
+
+
+def test_chunks_are_sent_to_few_blocks_of_queries(spark):
+    """3000 queries of 2000 chunks: a chunk goes to one block of queries, not to three."""
+    chunks = spark.range(2000).select(F.col("id").alias("pos"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    queries = spark.range(3000).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("v"), F.array().cast("array<struct<s:double,pos:bigint>>").alias("marks"))
+    top, _ = retrieval.blocked(chunks, queries, retrieval._of_vectors, 1)
+    assert "sequence(0, 2" not in top._jdf.queryExecution().analyzed().toString()
+    best = top.groupBy("query_id").agg(F.max_by("pos", "score").alias("pos"))
+    assert [tuple(r) for r in best.groupBy("pos").count().collect()] == [(1999, 3000)]
