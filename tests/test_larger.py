@@ -1,6 +1,7 @@
 """Joins, shuffles and rounding that only larger tables show."""
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
@@ -80,3 +81,34 @@ def test_chunks_are_sent_to_few_blocks_of_queries(spark):
     assert "sequence(0, 2" not in top._jdf.queryExecution().analyzed().toString()
     best = top.groupBy("query_id").agg(F.max_by("pos", "score").alias("pos"))
     assert [tuple(r) for r in best.groupBy("pos").count().collect()] == [(1999, 3000)]
+
+
+def test_a_run_is_one_value(spark):
+    """A run's state is read and written once a trigger, whatever the number of its steps."""
+    class Handle:
+        calls = 0
+
+        def getValueState(self, name, schema):
+            self.kept = None
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls += 1
+            self.kept = value
+
+        def registerTimer(self, at):
+            self.calls += 1
+
+        def deleteTimer(self, at):
+            self.calls += 1
+
+    handle, run = Handle(), steps.RunSteps(1000)
+    run.init(handle)
+    rows = pd.DataFrame({"at": pd.to_datetime(range(50), unit="s"), "step": [f"s{i}" for i in range(50)], "kind": ["start"] * 50, "event_id": range(50), "ok": [True] * 50})
+    for hours in (0, 1):
+        out = list(run.handleInputRows((1,), iter([rows.assign(at=rows["at"] + pd.Timedelta(hours=hours))]), None))[0]
+    assert (out["events"][0], len(out["steps"][0])) == (100, 50) and handle.calls == 7
