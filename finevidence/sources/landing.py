@@ -12,18 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finevidence.sources import payloads
+from finevidence.sources.files import FILES
 
-FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 #: Bytes of a payload file.
 MOST = 64 * 1024 * 1024
 QUARANTINE = "path STRING, length BIGINT, id STRING, reason STRING, batch INT"
 
 
-def write_files(rows: DataFrame, path: str, *names: str, body: str = "body") -> None:
-    """One file for each row, in a folder named by its values of ``names``; for payloads that Spark derives."""
-    rows.select(*names, body).write.mode("append").option("lineSep", "\n").partitionBy(*names).text(path)
-
-
 def ingest(spark: SparkSession, source: str, base: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Rows and quarantined files (``path, length, id, reason``) of all files that have landed under ``source``. ``parse`` gets
     (id, body) and gives rows and (id, reason) of bodies without any; an id is the name of a file's folder."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finevidence.sources import files
+
 _CHART = """struct<chart:struct<result:array<struct<meta:map<string,string>,timestamp:array<bigint>,
   indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>>>>,
   error:struct<code:string,description:string>>>"""
@@ -90,10 +92,10 @@ def historical_extract(bars: DataFrame) -> DataFrame:
 AUDIO_LIMIT, IMAGE_LIMIT = 25 * 1024 * 1024, 10 * 1024 * 1024
 
 
-def case_folders(spark: SparkSession, path: str, audio_limit: int = AUDIO_LIMIT, image_limit: int = IMAGE_LIMIT) -> DataFrame:
+def case_folders(spark: SparkSession, path: str, audio_limit: int = AUDIO_LIMIT, image_limit: int = IMAGE_LIMIT, bundled: bool = False) -> DataFrame:
     """One row a folder with a report: its media by name and extension; a voice question goes before audio. Files lie in their
-    folder, or (as Spark writes them) in ``folder=.../name=.../part-...``."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    folder, or (as Spark writes them) in ``folder=.../name=.../part-...``, or in bundles."""
+    f = files.read_files(spark, path, bundled).select("path", "length", "content")
     place = r"(?:folder=)?([^/]+)/(?:name=)?([^/]+?)(?:/part-[^/]+)?$"
     f = f.select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("name"), "length", F.hex(F.substring("content", 1, 12)).alias("head"))
     voice, audio = F.col("name").rlike(r"^pregunta_voz\.(mp3|wav|m4a)$"), F.col("name").rlike(r"^audio\.(mp3|wav|m4a)$")

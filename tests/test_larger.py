@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from finevidence.functions import text as X
 from finevidence.operators import retrieval
 from finevidence.plans import evidence, search
+from finevidence.sources import files, payloads
 from finevidence.streaming import steps
 from tests.test_streams import land
 
@@ -112,3 +113,21 @@ def test_a_run_is_one_value(spark):
     for hours in (0, 1):
         out = list(run.handleInputRows((1,), iter([rows.assign(at=rows["at"] + pd.Timedelta(hours=hours))]), None))[0]
     assert (out["events"][0], len(out["steps"][0])) == (100, 50) and handle.calls == 7
+
+
+def test_case_folders_in_bundles(spark, tmp_path):
+    """Bundles give what a file each gives, with a row and no folder for a file; empty and oversize ones, nulls among the folders."""
+    rows = [(i, n, b) for i in range(6) for n, b in (("informe.pdf", "%PDF"), ("audio.wav", "x" * 40 * i), ("a.gif", "GIF89a"), ("b.png", "no image"))[i % 2 : i + 1]]
+    df = spark.createDataFrame(rows, "folder long, name string, body string")
+    files.write_files(df, f"{tmp_path}/each", "folder", "name")
+    files.write_bundles(df.coalesce(1), f"{tmp_path}/bundled", "folder", "name")
+    seen = lambda kind, bundled: sorted(map(tuple, payloads.case_folders(spark, f"{tmp_path}/{kind}", 100, 500, bundled).collect()))
+    assert seen("bundled", True) == seen("each", False) and len(seen("each", False)) == 3
+    assert len(list((tmp_path / "bundled").glob("*.parquet"))) == 1
+    sizes = lambda kind, bundled: sorted((r.length, bytes(r.content)) for r in files.read_files(spark, f"{tmp_path}/{kind}", bundled).collect())
+    assert sizes("bundled", True) == sizes("each", False)
+
+
+def test_folders_cost_no_file_each(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(files, "write_files", None)
+    assert evidence.s11_case_folders(spark, sf_dir).count() > 0
