@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
 from finevidence.operators import retrieval
-from finevidence.plans import evidence, search
+from finevidence.plans import contexts, evidence, market, search
 from finevidence.sources import files, payloads
 from finevidence.streaming import steps
 from tests.test_streams import land
@@ -131,3 +131,12 @@ def test_case_folders_in_bundles(spark, tmp_path):
 def test_folders_cost_no_file_each(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(files, "write_files", None)
     assert evidence.s11_case_folders(spark, sf_dir).count() > 0
+
+
+def test_a_summary_reads_its_bars_twice(spark, sf_dir):
+    """Once for the scalars and once for the levels (which Spark reuses), and all in one order by day; null symbols are none."""
+    for query in (market.w14_technical_summary, market.t09_fact_sheet):
+        p = plan(query(spark, sf_dir))
+        assert p.count("FileScan parquet") == 2 and p.count("Exchange hashpartitioning") <= 4
+    b = spark.sql("SELECT IF(id < 12, NULL, 1) AS symbol, date_add(date'2026-01-01', cast(id AS int)) AS day, 1.0D AS o, 1.0D AS h, 1.0D AS l, 1.0D AS c, 1.0D AS v FROM range(40)")
+    assert [(r.symbol, r.n_bars, r.sma20, r.sma50) for r in market.T.summary(b).collect()] == [(1, 28, 1.0, None)]
