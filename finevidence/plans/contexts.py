@@ -150,11 +150,10 @@ def t09_derivative_sheet(spark, sf_dir):
 
 def j06_full_context(spark, sf_dir):
     """With the nearest levels, and how a reading of the drawn chart stands against the bars."""
-    t = T.summary(A.line_bars(spark, sf_dir))
+    readings, t = E._readings(spark, sf_dir)
     side = lambda name: t.select("symbol", F.lit(name).alias("side"), F.posexplode(f"{name}s").alias("nth", "level"))
     d = payloads.perp_contexts(_perps(spark, sf_dir)).select(F.regexp_extract("symbol", r"(\d+)", 1).cast("bigint").alias("symbol"), "mark")
     f = E._facts(spark, sf_dir).groupBy(F.col("cik").alias("symbol")).agg(F.count("*").alias("facts"))
-    readings, _ = E._readings(spark, sf_dir)
     _, score = chart_claims.check_readings(readings, t, T.known_levels(t))
     contrast = score.select(F.col("reading_id").alias("symbol"), "confirmed", "disagrees")
     c = routing.market_context(A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")), t.select("symbol", "last_close"), side("support").unionByName(side("resistance")), d, f, contrast)

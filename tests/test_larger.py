@@ -140,3 +140,8 @@ def test_a_summary_reads_its_bars_twice(spark, sf_dir):
         assert p.count("FileScan parquet") == 2 and p.count("Exchange hashpartitioning") <= 4
     b = spark.sql("SELECT IF(id < 12, NULL, 1) AS symbol, date_add(date'2026-01-01', cast(id AS int)) AS day, 1.0D AS o, 1.0D AS h, 1.0D AS l, 1.0D AS c, 1.0D AS v FROM range(40)")
     assert [(r.symbol, r.n_bars, r.sma20, r.sma50) for r in market.T.summary(b).collect()] == [(1, 28, 1.0, None)]
+
+
+def test_checks_read_the_summary_as_written(spark, sf_dir):
+    for query in (evidence.c07_chart_readings, evidence.g13_market_figures, evidence.j08_nearest_level, contexts.j06_full_context):
+        assert "l_suppkey" not in plan(query(spark, sf_dir))
