@@ -19,11 +19,11 @@ MOST = 64 * 1024 * 1024
 QUARANTINE = "path STRING, length BIGINT, id STRING, reason STRING, batch INT"
 
 
-def ingest(spark: SparkSession, source: str, base: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Rows and quarantined files (``path, length, id, reason``) of all files that have landed under ``source``. ``parse`` gets
-    (id, body) and gives rows and (id, reason) of bodies without any; an id is the name of a file's folder."""
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(source)
-    found = files.select("path", "length", F.regexp_extract("path", r"(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("id"), "content")
+def ingest(spark: SparkSession, source: str, base: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most: int = MOST, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows and quarantined files (``path, length, id, reason``) of all files that have landed under ``source``, each alone or in
+    bundles. ``parse`` gets (id, body) and gives rows and (id, reason) of bodies without any; an id is the name of a file's folder."""
+    landed = spark.readStream.format("parquet" if bundled else "binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(source)
+    found = landed.select("path", "length", F.regexp_extract("path", r"(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("id"), "content")
 
     def write(df: DataFrame, batch: int) -> None:
         gate = F.when(F.col("length") == 0, "empty").when(F.col("length") > most, "too large")

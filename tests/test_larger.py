@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from finevidence.functions import text as X
 from finevidence.operators import retrieval
 from finevidence.plans import contexts, evidence, market, search
-from finevidence.sources import files, payloads
+from finevidence.sources import files, landing, payloads
 from finevidence.streaming import steps
 from tests.test_streams import land
 
@@ -145,3 +145,20 @@ def test_a_summary_reads_its_bars_twice(spark, sf_dir):
 def test_checks_read_the_summary_as_written(spark, sf_dir):
     for query in (evidence.c07_chart_readings, evidence.g13_market_figures, evidence.j08_nearest_level, contexts.j06_full_context):
         assert "l_suppkey" not in plan(query(spark, sf_dir))
+
+
+def test_payloads_land_in_bundles(spark, sf_dir, tmp_path, monkeypatch):
+    """A bundle's payloads give the rows and rejects of a file each; a later call reads new bundles only, and none is written alone."""
+    good = '{"chart":{"result":[{"meta":{"symbol":"A%d"},"timestamp":[1,2],"indicators":{"quote":[{"open":[1,1],"high":[1,1],"low":[1,1],"close":[1,null],"volume":[1,2]}]}}]}}'
+    rows = [[(i, "chart.json", good % i if i % 3 else "{}" if i % 2 else "") for i in part] for part in (range(9), range(9, 12))]
+    seen = {}
+    for kind, write, bundled in (("each", files.write_files, False), ("bundled", files.write_bundles, True)):
+        base = f"file://{tmp_path}/{kind}"
+        for part in rows:
+            df = spark.createDataFrame(part, "id long, name string, body string")
+            write(df if bundled else df.drop("name"), f"{base}/landed", "id", *(["name"] if bundled else []))
+            bars, bad = landing.ingest(spark, f"{base}/landed", base, landing.equity, bundled=bundled)
+        seen[kind] = sorted((r.symbol, r.batch) for r in bars.collect()), sorted((r.id, r.length, r.reason, r.batch) for r in bad.collect())
+    assert seen["bundled"] == seen["each"] and len(seen["each"][0]) == 8 and {x[3] for x in seen["each"][1]} == {0, 1}
+    monkeypatch.setattr(files, "write_files", None)
+    assert evidence.s03_quarantine(spark, sf_dir).count() > 0
