@@ -27,7 +27,8 @@ def fiscal_year(end: Column | str) -> Column:
 def annual_entries(entries: DataFrame, concepts: DataFrame) -> DataFrame:
     """Entries of annual reports for known concepts; flows need a period of over 300 days, balances none.
     Dates that don't parse drop their row."""
-    d = lambda c: F.to_date(F.try_to_timestamp(F.col(c).cast("string"))).alias(c)
+    types = dict(entries.dtypes)
+    d = lambda c: F.col(c) if types[c] == "date" else F.to_date(F.try_to_timestamp(F.col(c).cast("string"))).alias(c)
     e = entries.where("form = '10-K' AND fp = 'FY' AND val IS NOT NULL").withColumns({c: d(c) for c in ("start", "end", "filed")}).where("`end` IS NOT NULL")
     return e.join(F.broadcast(concepts), "tag").where(F.col("balance") | (F.datediff("end", "start") > MIN_DAYS))
 

@@ -163,10 +163,11 @@ def j06_full_context(spark, sf_dir):
 
 def j03_source_selection(spark, sf_dir):
     """Every routed symbol with the bars of its own market, derivatives for crypto, facts for equities."""
-    asked = routing.route(E._tickers(spark, sf_dir)).select("symbol", "market").where("market IS NOT NULL").distinct()
-    b = A.line_bars(spark, sf_dir)
-    named = lambda letter: b.withColumn("symbol", F.concat(F.lit(letter), F.col("symbol").cast("string")))
-    bars = routing.select_sources(asked, named("S"), named("P")).groupBy("symbol", "market").agg(F.count("*").alias("bars"))
+    routed = A.kept(routing.route(E._tickers(spark, sf_dir)).select("symbol", "market").distinct())
+    asked = routed.where("market IS NOT NULL")  # of what is written: put into the rules, it would repeat them all
+    counted = A.kept(A.line_bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("bars")))  # both markets' bars
+    named = lambda letter: counted.withColumn("symbol", F.concat(F.lit(letter), F.col("symbol").cast("string")))
+    bars = routing.select_sources(asked, named("S"), named("P"))
     perps = payloads.perp_contexts(_perps(spark, sf_dir)).select("symbol", "mark")
     facts = E._facts(spark, sf_dir).groupBy(F.concat(F.lit("S"), F.col("cik").cast("string")).alias("symbol")).agg(F.count("*").alias("facts"))
     return routing.guarded_by_market(asked.join(bars, ["symbol", "market"], "left"), perps, facts).select("symbol", "market", "bars", "mark", "facts")

@@ -162,3 +162,9 @@ def test_payloads_land_in_bundles(spark, sf_dir, tmp_path, monkeypatch):
     assert seen["bundled"] == seen["each"] and len(seen["each"][0]) == 8 and {x[3] for x in seen["each"][1]} == {0, 1}
     monkeypatch.setattr(files, "write_files", None)
     assert evidence.s03_quarantine(spark, sf_dir).count() > 0
+
+
+def test_symbols_are_routed_once(spark, sf_dir):
+    """Routed symbols and each symbol's number of bars are written once; the joins by market read these."""
+    p = plan(contexts.j03_source_selection(spark, sf_dir))
+    assert "l_suppkey" not in p and "(?i)^accion" not in p and "try_to_timestamp" not in p and "gettimestamp" not in p
