@@ -6,6 +6,8 @@ in Spark's own functions; sentences are regrouped by text, so a task holds one t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ AT_START = [
 ]
 
 
-#: What a sentence, or a text with one, must hold to match anything; also where a start pattern isn't at its start.
+#: What a sentence must hold to match anything: one of these, and one of the patterns (also where a start pattern isn't at its start).
+STEMS = ["compr", "vend", "venta", "acumul", "pondera", "liquidar", "mantener", "adquirir", "buy", "sell", "objetivo", "target", "neutral", "hold", "weight", "perform", "accumulat", "reduce"]
 ANY = "|".join([*ANYWHERE, *(p.replace("^", r"\b", 1) for p in AT_START)])
 
 
@@ -56,15 +59,14 @@ def matches(folded: Column) -> Column:
     macro = folded.rlike(MACRO) & ~folded.rlike(SECURITY)
     every = [F.regexp_extract_all(folded, F.lit(p), F.lit(0)) for p in [*ANYWHERE, *AT_START]]
     found = F.filter(F.concat(*every), lambda m: ~(m.rlike(TARGET_PRICE) & macro))
-    return F.when(folded.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
+    may = reduce(lambda a, b: a | b, (F.contains(folded, F.lit(s)) for s in STEMS))  # most sentences meet no pattern for it
+    return F.when(may & folded.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
 
 
 def judged(text: str) -> Column:
-    """``array<struct<s, matches>>`` of a text's sentences; each is normalised once, and texts that hold nothing of
-    the kind aren't split."""
+    """``array<struct<s, matches>>`` of a text's sentences; each is normalised once, and a text is not normalised besides."""
     folded = F.transform(X.sentences(text), lambda s: F.struct(s.alias("s"), F.trim(X.visible(s)).alias("folded")))
-    each = F.transform(folded, lambda x: F.struct(x["s"].alias("s"), matches(x["folded"]).alias("matches")))
-    return F.when(X.visible(text).rlike(ANY), each)
+    return F.transform(folded, lambda x: F.struct(x["s"].alias("s"), matches(x["folded"]).alias("matches")))
 
 
 def violations(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

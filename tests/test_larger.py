@@ -1,11 +1,14 @@
 """Joins, shuffles and rounding that only larger tables show."""
 
+import random
+from re import _parser
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from finevidence.functions import text as X
-from finevidence.operators import retrieval
+from finevidence.operators import compliance, retrieval
 from finevidence.plans import contexts, evidence, market, search
 from finevidence.sources import files, landing, payloads
 from finevidence.streaming import steps
@@ -168,3 +171,38 @@ def test_symbols_are_routed_once(spark, sf_dir):
     """Routed symbols and each symbol's number of bars are written once; the joins by market read these."""
     p = plan(contexts.j03_source_selection(spark, sf_dir))
     assert "l_suppkey" not in p and "(?i)^accion" not in p and "try_to_timestamp" not in p and "gettimestamp" not in p
+
+
+def _said_by(tree, r):
+    """A text that a parsed pattern matches; look-arounds and anchors give nothing."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += "x" if "WORD" in str(arg) and "NOT_WORD" not in str(arg) else " " if "CATEGORY" in str(arg) else chr(r.choice([a for o, a in arg if str(o) == "LITERAL"]))
+        elif name == "BRANCH":
+            out += _said_by(r.choice(arg[1]), r)
+        elif name == "SUBPATTERN":
+            out += _said_by(arg[-1], r)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_said_by(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_pattern_holds_a_stem():
+    r = random.Random(1)
+    for p in [*compliance.ANYWHERE, *compliance.AT_START]:
+        for _ in range(400):
+            said = _said_by(_parser.parse(p), r)
+            assert any(s in said for s in compliance.STEMS), (p, said)
+
+
+def test_ascii_is_folded_as_any_text(spark):
+    texts = [a + b + c for a in ("", "Ab\tC", "a \n b", "\x0b\x0c\r", "\x1c\x1fZ", "A  b   c") for b in ("", " ", "\x00", "\r\n") for c in ("", "É", "\u00adx", "\u00a0\u2003 y")]
+    df = spark.createDataFrame([(x,) for x in texts] + [(None,)], "t string")
+    whole = F.regexp_replace(X._fold_any(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}", ""), r"\p{Zs}", " ")), r"(?U)\s+", " ")
+    assert df.where(~X.visible("t").eqNullSafe(whole) | ~X.fold("t").eqNullSafe(X._fold_any("t"))).count() == 0
