@@ -206,3 +206,9 @@ def test_ascii_is_folded_as_any_text(spark):
     df = spark.createDataFrame([(x,) for x in texts] + [(None,)], "t string")
     whole = F.regexp_replace(X._fold_any(F.regexp_replace(F.regexp_replace("t", r"\p{Cf}", ""), r"\p{Zs}", " ")), r"(?U)\s+", " ")
     assert df.where(~X.visible("t").eqNullSafe(whole) | ~X.fold("t").eqNullSafe(X._fold_any("t"))).count() == 0
+
+
+def test_blocks_of_averages_are_written_once(spark, sf_dir):
+    """The bars' blocks, from which maps and rows come, are not computed again for each."""
+    p = plan(market.w04_ema_series(spark, sf_dir))
+    assert "l_suppkey" not in p and "InPandas" not in p
